@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query and the module whose query() it is.
 OPERATORS = {
     "op4_quality_rules": "quality",
+    "op7_byte_bpe": "bpe",
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",
 }

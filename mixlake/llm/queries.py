@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module whose query() it is.
 OPERATORS = {
+    "op1_toxicity": "toxicity",
     "op3_secret_scan": "secrets",
     "op4_quality_rules": "quality",
     "op7_byte_bpe": "bpe",

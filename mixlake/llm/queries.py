@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_toxicity": "toxicity",
     "op3_secret_scan": "secrets",
     "op4_quality_rules": "quality",
+    "op5_license_scan": "licenses",
     "op7_byte_bpe": "bpe",
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",

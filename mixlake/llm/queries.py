@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query and the module whose query() it is.
 OPERATORS = {
     "op1_toxicity": "toxicity",
+    "op2_nearest_neighbours": "ann",
     "op3_secret_scan": "secrets",
     "op4_quality_rules": "quality",
     "op5_license_scan": "licenses",

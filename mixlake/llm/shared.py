@@ -55,3 +55,23 @@ def unused(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         k, name = k + 1, f"{stem}_{k + 1}"
     return name
+
+
+def aligned(batches):
+    """Arrow batches sorted by their first column, cut so that all rows of a key are in one; only the last key's rows are held."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = pc.equal(batch.column(0), batch.column(0)[-1])
+        cut = pc.index(pc.fill_null(same, False), True).as_py()  # sorted, so the last key's rows come last
+        cut = batch.num_rows if cut < 0 else cut
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -14,6 +14,7 @@ OPERATORS = {
     "op3_secret_scan": "secrets",
     "op4_quality_rules": "quality",
     "op5_license_scan": "licenses",
+    "op6_token_output": "token_output",
     "op7_byte_bpe": "bpe",
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",

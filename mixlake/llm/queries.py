@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_license_scan": "licenses",
     "op6_token_output": "token_output",
     "op7_byte_bpe": "bpe",
+    "op8_html_text": "html_text",
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",
 }

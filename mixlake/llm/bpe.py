@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from mixlake.llm.shared import table, unused
 
 #: Entries of a worker's caches of pieces and of token pairs; a full cache is emptied.
-PIECES, PAIRS = 500_000, 500_000
+PIECES, PAIRS = 250_000, 250_000
 #: Bytes of text that are handled together, or one longer text.
 CHARS = 2_000_000
 

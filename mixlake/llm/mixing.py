@@ -124,7 +124,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. doc_id names a document; rows that repeat it share its largest count, rows without it go."""
     key, times = unused(docs, "_key"), unused(docs, "_times")
-    plan = mix(docs, doc_id, **options).where("times > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("times").alias(times))
+    plan = mix(docs, doc_id, **options).where("times > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("times").alias(times)).hint("merge")  # one plan at every size: the plan has a row per document
     rows = docs.join(plan, F.col(doc_id) == F.col(key)).withColumn(times, F.explode(F.sequence(F.lit(1), times)))
     return rows.select(*docs.columns)
 

@@ -155,7 +155,7 @@ def joined(spans: str) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of its text replaced by `mark`; overlapping spans share one. All columns stay; n_chars is not updated here."""
     key, ids, cuts = unused(docs, "_textkey"), unused(docs, "_id"), unused(docs, "_cuts")
-    found = scan(docs, doc_id, text, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(ids), F.col("text_key").alias(key), F.col("spans").alias(cuts)).dropDuplicates([ids, key])
+    found = scan(docs, doc_id, text, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(ids), F.col("text_key").alias(key), F.col("spans").alias(cuts)).dropDuplicates([ids, key]).hint("merge")  # one plan at every size: the spans grow with the texts
     rows = docs.join(found, F.col(doc_id).eqNullSafe(F.col(ids)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(key)), "left")
     pieces = f"""aggregate({cuts}, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> named_struct(
         'at', greatest(a.at, s.stop),

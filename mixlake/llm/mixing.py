@@ -20,7 +20,7 @@ from mixlake.llm.shared import WORD, materialize, table, unused
 EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of one source that meet in one window, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Parts into which an interval of finish times is divided in one pass, and entries at which the search for the cut ends.
 PARTS, ENTRIES = 1024, 4096
 

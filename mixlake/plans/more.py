@@ -291,3 +291,66 @@ def unassign_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.TableSchema.fit(orders.select("o_orderstatus")).encode(orders).withColumn("cluster", (F.col("o_orderkey") % 3).cast("int"))
     batch = rows.where("o_orderkey % 10 = 0").select("o_orderkey")
     return sufficient_statistics(rows.join(batch, "o_orderkey", "left_anti"), ["o_orderstatus"]).select("cluster", "feature", "category", "n")
+
+
+# ---- fits: their draws have no SQL; tests hold them to invariants and closed forms
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int], int]:
+    """Encoded orders with row_id, the key's rank by equal key ranges of hashed keys: here the key itself, dense enough for batches."""
+    orders = raw_orders(spark, sf_dir)
+    schema = S.TableSchema.fit(orders.select(*FEATURES), 5)
+    sizes = {r.feature: r.k for r in schema.domain().groupBy("feature").agg(F.count("*").alias("k")).collect()}
+    rows = schema.encode(orders).withColumn("row_id", F.col("o_orderkey"))
+    return rows, [sizes[f] for f in FEATURES], orders.count()
+
+
+def _folder(spark: SparkSession) -> str:
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return "file:///tmp/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+
+
+def _summary(spark: SparkSession, fit) -> DataFrame:
+    from mixlake.operators.inference import weights
+
+    w = weights(fit.p.log_w)
+    rows = [(p, c, float(w[p]), float(fit.p.pi[p, c]), int(fit.p.rows[p, c])) for p in range(fit.p.n) for c in range(fit.p.pi.shape[1])]
+    return spark.createDataFrame(rows, "particle int, cluster int, weight double, log_pi double, n long")
+
+
+@query("smc_fit")
+def smc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixlake.operators.inference import Fit, smc
+
+    rows, sizes, n = _encoded(spark, sf_dir)
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 4, 3, seed=1), n, n // 4, 3, 1))
+
+
+@query("mcmc_fit")
+def mcmc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixlake.operators.inference import Fit, mcmc
+
+    rows, sizes, n = _encoded(spark, sf_dir)
+    return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=2), n, n // 4, 2))
+
+
+@query("hyper_fit")
+def hyper_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixlake.operators.inference import Fit, smc
+
+    rows, sizes, n = _encoded(spark, sf_dir)
+    grids = ([0.5, 1.0, 2.0], [0.5, 1.0, 2.0])
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 3, 3, seed=3, grids=grids), n, n // 3, 2))
+
+
+@query("sgd_fit")
+def sgd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixlake.operators.inference import Fit, gradient_fit
+
+    rows, sizes, n = _encoded(spark, sf_dir)
+    _, _, losses = gradient_fit(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=4), n // 2, 4, n)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step int, loss double")

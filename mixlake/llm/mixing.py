@@ -66,7 +66,7 @@ def queue(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _finish(epoch: int) -> F.Column:
-    return (F.lit(epoch) * F.col("source_size") + F.col("done")).cast("double") / F.col("target")
+    return F.try_divide((F.lit(epoch) * F.col("source_size") + F.col("done")).cast("double"), F.col("target"))
 
 
 def cut(queued: DataFrame, budget: int, epochs: int = EPOCHS) -> tuple[float, int]:

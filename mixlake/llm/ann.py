@@ -27,7 +27,7 @@ WINDOW, TABLES, BUCKET_ROWS = 256, 12, 48
 ROUNDS, SETTLED = 3, 0.02
 #: Best pairs that each neighbour takes from one introduction.
 INTRODUCED = 10
-#: Pairs of a node that leave a task at most: each task meets only part of them.
+#: Nearest of a window that each of its rows takes from the start.
 SENT = 12
 #: Nodes in a query's beam, followed at a time, that every search may start from, and the most steps.
 BEAM, FOLLOWED, ENTRIES, STEPS = 96, 24, 256, 16
@@ -104,8 +104,8 @@ def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return u[place < k], v[place < k], s[place < k]
 
 
-def _block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a block its k nearest others in it."""
+def _block(ids: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a block its k nearest others in it, only those nearer than `worst` if that is given."""
     s = x @ x.T
     s[ids[:, None] == ids[None, :]] = -np.inf
     k = min(k, len(ids) - 1)
@@ -114,23 +114,21 @@ def _block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         return none, none, none.astype(np.float32)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     u, v, w = np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()
-    real = np.isfinite(w)
+    real = np.isfinite(w) if worst is None else np.isfinite(w) & (w > np.repeat(worst, k))
     return u[real], v[real], w[real]
 
 
-def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Pairs from many blocks, thinned to the best of each u before they are sent."""
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Pairs from many blocks in batches of about `rows`."""
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += len(part[0])
         if size >= rows:
-            held = [_best(*(np.concatenate([h[i] for h in held]) for i in range(3)), SENT)]
-            if (size := len(held[0][0])) >= rows // 2:
-                yield _pairs(*held[0])
-                held, size = [], 0
+            yield _pairs(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+            held, size = [], 0
     if size:
-        yield _pairs(*_best(*(np.concatenate([h[i] for h in held]) for i in range(3)), SENT))
+        yield _pairs(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
 
 def _start(coded: DataFrame, n: int, seed: int) -> DataFrame:
@@ -180,14 +178,17 @@ def _introduce(graph: DataFrame, coded: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for t in aligned(batches):
-                hub, ids, x = t.column(0).to_numpy(), t.column(1).to_numpy(), _codes(t.column(2))
+                hub, ids, x, worst = t.column(0).to_numpy(), t.column(1).to_numpy(), _codes(t.column(2)), t.column(3).to_numpy()
                 starts = np.r_[np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]]), len(hub)]
                 for a, b in zip(starts, starts[1:], strict=False):
-                    yield _block(ids[a:b], x[a:b], INTRODUCED)
+                    yield _block(ids[a:b], x[a:b], INTRODUCED, worst[a:b])
 
         yield from _gathered(parts())
 
-    return members.join(coded.select("node", "code"), "node").select("hub", "node", "code").repartition("hub").sortWithinPartitions("hub").mapInArrow(run, _GRAPH)
+    # a node that has all its neighbours only hears of nearer ones
+    worst = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+    known = coded.select("node", "code").join(worst, F.col("node") == F.col("u"), "left").select("node", "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+    return members.join(known, "node").select("hub", "node", "code", "worst").repartition("hub").sortWithinPartitions("hub").mapInArrow(run, _GRAPH)
 
 
 def neighbour_graph(coded: DataFrame, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:

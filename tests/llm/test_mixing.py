@@ -70,6 +70,6 @@ def test_mixed_documents_and_empty(spark):
     _, docs = corpus(spark)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6  # a repeated row, three times each
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 9  # three rows of one doc_id, three times each
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("source = 'none'")).agg(F.sum("taken")).first()[0] == 0

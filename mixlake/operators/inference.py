@@ -272,7 +272,7 @@ def smc(fit: Fit, n_rows: int, batch_size: int, steps: int, rejuvenation: int =
     if n_rows < batch_size * steps:
         raise ValueError("not enough rows for the steps")
     for t in range(steps):
-        fit.smc_step(fit.batch(t * batch_size, (t + 1) * batch_size))
+        fit.smc_step(fit.batch(t * batch_size, (t + 1) * batch_size), rejuvenation > 0)  # such a move may have reached them before
         for _ in range(rejuvenation):
             fit.gibbs(fit.random_batch(batch_size, n_rows), True)
             fit.p.gamma = log_target(fit.p)

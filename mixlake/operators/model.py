@@ -201,6 +201,13 @@ def particle_weights(weights: DataFrame) -> DataFrame:
     return rows.select("particle", (F.col("e") / F.sum("e").over(w)).alias("w"))
 
 
+def particle_of_rows(rows: DataFrame, weights: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
+    """(row_id, particle): the particle that each new row is drawn from, by weight; equal weights give the uniform policy. One row of weights is sent to all."""
+    packed = weights.agg(F.array_sort(F.collect_list(F.struct("particle", "w"))).alias("_w"))
+    at = draw_index(F.transform("_w", lambda x: x["w"]), uniform(seed, "particle", F.col(row_id)))
+    return rows.crossJoin(F.broadcast(packed)).select(row_id, F.get(F.transform("_w", lambda x: x["particle"]), at).alias("particle"))
+
+
 def effective_sample_size(weights: DataFrame) -> DataFrame:
     return particle_weights(weights).agg((1 / F.sum(F.col("w") * F.col("w"))).alias("ess"))
 

@@ -10,7 +10,7 @@ from mixlake.operators import distances as D
 from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
 from mixlake.operators.model import Model, averaged
-from mixlake.plans.registry import CLUSTERS, FEATURES, _MARG, edges_sql, fitted, hidden, joint_sql, model_sql, query, raw_orders, table
+from mixlake.plans.registry import CLUSTERS, FEATURES, _MARG, edges_sql, SEED, fitted, hidden, joint_sql, model_sql, query, raw_orders, table, u_sql
 
 CATS = ["o_orderstatus", "o_orderpriority"]
 
@@ -293,6 +293,90 @@ def unassign_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sufficient_statistics(rows.join(batch, "o_orderkey", "left_anti"), ["o_orderstatus"]).select("cluster", "feature", "category", "n")
 
 
+# ---- particles as one mixture, generators, traces
+
+@query("q18_weighted_particle_rows", f"WITH p AS (SELECT o_orderkey % 16 AS particle, max(o_totalprice) / 20000.0 AS log_w FROM orders GROUP BY 1), w AS (SELECT particle, exp(log_w - (SELECT max(log_w) FROM p)) AS e FROM p), c AS (SELECT particle, sum(e) OVER (ORDER BY particle) AS c, sum(e) OVER () AS t FROM w), r AS (SELECT range AS row_id FROM range(300)) SELECT row_id, coalesce(min(particle) FILTER (c > t * {u_sql(str(SEED), repr('particle'), 'row_id')}), max(particle)) AS particle FROM r, c GROUP BY row_id")
+def weighted_particle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The particle that each of 300 new rows is drawn from, by weight."""
+    from mixlake.operators.model import particle_of_rows, particle_weights
+
+    w = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 16).alias("particle")).agg((F.max("o_totalprice") / 20000.0).alias("log_w"))
+    return particle_of_rows(spark.range(300).withColumnRenamed("id", "row_id"), particle_weights(w), SEED)
+
+
+_TRUE = "(VALUES (0, 0, 0.7), (0, 1, 0.2), (0, 2, 0.1), (1, 0, 0.1), (1, 1, 0.2), (1, 2, 0.7)) v(cluster, k, p)"
+
+
+@query("q23_true_model_rows", f"WITH t AS (SELECT * FROM {_TRUE}), r AS (SELECT range AS row_id FROM range(500)), c AS (SELECT row_id, CASE WHEN {u_sql(str(SEED), repr('c'), 'row_id')} < 0.6 THEN 0 ELSE 1 END AS cluster FROM r), d AS (SELECT row_id, feature, k, sum(p) OVER (PARTITION BY row_id, feature ORDER BY k) AS c, sum(p) OVER (PARTITION BY row_id, feature) AS s, {u_sql(str(SEED), 'feature', 'row_id')} AS u FROM c JOIN t USING (cluster), (SELECT unnest(['f0', 'f1']) AS feature)) SELECT row_id, CAST(min(k) FILTER (c > u * s AND feature = 'f0') AS INTEGER) AS f0, CAST(min(k) FILTER (c > u * s AND feature = 'f1') AS INTEGER) AS f1 FROM d GROUP BY row_id")
+def true_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return true_model(spark, 2).sample(500, SEED)
+
+
+@query("q24_optimal_loglik", f"WITH t AS (SELECT * FROM {_TRUE}), m AS (SELECT a.k AS i, b.k AS j, sum(CASE a.cluster WHEN 0 THEN 0.6 ELSE 0.4 END * a.p * b.p) AS p FROM t a JOIN t b ON a.cluster = b.cluster GROUP BY ALL) SELECT round(CAST(sum(p * ln(p)) AS DOUBLE), 6) AS log_likelihood FROM m")
+def optimal_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best expected log-likelihood a row can have under the true model, by enumeration of all rows."""
+    cells = spark.range(9).select((F.col("id") % 3).cast("int").alias("f0"), F.floor(F.col("id") / 3).cast("int").alias("f1"))
+    return true_model(spark, 2).logprob(cells).agg(rounded(F.sum(F.exp("log_p") * F.col("log_p"))).alias("log_likelihood"))
+
+
+def true_model(spark: SparkSession, features: int) -> Model:
+    """Two clusters of weights .6 and .4 over three categories."""
+    import math
+
+    p = ((0.7, 0.2, 0.1), (0.1, 0.2, 0.7))
+    theta = [(c, f"f{d}", k, math.log(p[c][k])) for c in range(2) for d in range(features) for k in range(3)]
+    pi = spark.createDataFrame([(0, math.log(0.6)), (1, math.log(0.4))], "cluster int, log_p double")
+    return Model(pi, spark.createDataFrame(theta, "cluster int, feature string, category int, log_p double"), 2, tuple(f"f{d}" for d in range(features)))
+
+
+@query("j17_trace", "SELECT CAST(event_id // 500 AS BIGINT) AS step, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1")
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("step"))
+    return ev.agg(rounded(F.avg("value")).alias("mean"), rounded(F.stddev_pop("value")).alias("sd"))
+
+
+@query("j21_throughput", "SELECT event_type, round(count(*) * 30.0 / sum(value), 6) AS rate, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(rounded(F.count("*") * 30.0 / F.sum("value")).alias("rate"), rounded(F.stddev_pop("value")).alias("sd"))
+
+
+@query("j28_cumulative_time", "SELECT event_id, round(2.0 + sum(value) OVER (PARTITION BY user_id % 7 ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS time FROM events")
+def cumulative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 7)
+    return M.cumulative(ev, ["event_id"], "value", "t", ["run"]).select("event_id", F.round(F.lit(2.0) + F.col("t"), 4).alias("time"))
+
+
+@query("s11_run_settings", "SELECT p_partkey, CAST(p_size AS INTEGER) AS particles, CAST(p_partkey % 90 AS INTEGER) AS clusters, CAST(p_partkey % 7 AS INTEGER) AS steps, CAST(p_size * 10 AS INTEGER) AS batch FROM part")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixlake.sources.tables import run_settings as parsed
+
+    name = F.concat(F.lit("run_P"), F.col("p_size"), F.lit("_C"), F.col("p_partkey") % 90, F.lit("_T"), F.col("p_partkey") % 7, F.lit("_B"), F.col("p_size") * 10, F.lit("_out"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("n")).select("p_partkey", *(c.alias(k) for k, c in parsed(F.col("n")).items()))
+
+
+@query("r10_first_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
+
+
+@query("r12_count_distinct", "SELECT count(DISTINCT o_orderpriority) AS priorities, count(DISTINCT o_custkey) AS customers, count(DISTINCT (o_orderstatus, o_orderpriority)) AS pairs FROM orders")
+def count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").agg(F.count_distinct("o_orderpriority").alias("priorities"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus", "o_orderpriority").alias("pairs"))
+
+
+@query("r23_histogram", "SELECT CAST(b AS INTEGER) AS bin, count(o_totalprice) AS n FROM (SELECT range AS b FROM range(10)) LEFT JOIN orders ON least(floor(o_totalprice / 50000.0), 9) = b GROUP BY b")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of ten bins, empty ones included."""
+    n = table(spark, sf_dir, "orders").groupBy(F.least(F.floor(F.col("o_totalprice") / 50000.0), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return spark.range(10).select(F.col("id").cast("int").alias("bin")).join(n, "bin", "left").na.fill(0, ["n"])
+
+
+@query("r35_feature_pairs", "SELECT a.c AS feature_i, b.c AS feature_j FROM (SELECT unnest(['o_orderpriority', 'o_orderstatus', 'o_totalprice']) AS c) a, (SELECT unnest(['o_orderpriority', 'o_orderstatus', 'o_totalprice']) AS c) b WHERE a.c < b.c")
+def feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(f,) for f in FEATURES], "feature_i string")
+    return names.join(names.withColumnRenamed("feature_i", "feature_j"), F.col("feature_i") < F.col("feature_j"))
+
+
 # ---- fits: their draws have no SQL; tests hold them to invariants and closed forms
 
 
@@ -309,7 +393,7 @@ def _folder(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         return "file:///tmp/checkpoints"
     raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
 

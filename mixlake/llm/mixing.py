@@ -26,16 +26,16 @@ PARTS, ENTRIES = 1024, 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, rank, source_size, target) from (source, size).
+    """(source, rank, source_size, rows, target) from (source, size).
 
     Sources by code point, null last, take `weights` in turn and share all words by weight. A target
     stops at `epochs` times its source's size and its excess goes to the others by weight: in order of
     size per weight, sources are full up to the first that isn't at the water level that remains. The
     windows here hold one row per source.
     """
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    one = one.select("source", "source_size", rank.alias("rank"))
+    one = one.select("source", "source_size", "rows", rank.alias("rank"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     one = one.select("*", weight.alias("w"), (F.lit(float(epochs)) * F.col("source_size")).alias("cap"))
     order = W.orderBy(F.col("cap") / F.col("w"), "rank")
@@ -46,17 +46,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     one = one.withColumn("level", level).withColumn("place", F.row_number().over(order))
     open_ = F.when(F.col("cap") > F.col("w") * F.col("level"), F.struct("place", "level"))
     water = F.min(open_).over(everything)["level"]
-    return one.select("source", "rank", "source_size", F.coalesce(F.least("cap", F.col("w") * water), F.col("cap")).alias("target"))
+    return one.select("source", "rank", "source_size", "rows", F.coalesce(F.least("cap", F.col("w") * water), F.col("cap")).alias("target"))
 
 
 def queue(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     """sizes (doc_id, source, size) with rank, source_size, target and `done`: its source's words up to and with it, in shuffled order."""
-    rows = sizes.count()
-    bits = max(0, math.ceil(math.log2(max(1, rows / RANGE_ROWS))))
     mixed = F.xxhash64(F.lit(seed), "doc_id", "size")
-    part = F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long")
+    bits = F.greatest(F.ceil(F.log2(F.col("rows") / RANGE_ROWS)), F.lit(0)).cast("int")  # a source's ranges follow its rows
+    part = F.when(F.col("_bits") > 0, F.expr("shiftrightunsigned(_h, 64 - _bits)")).otherwise(0)
     goals = goals.withColumnRenamed("source", "_source")
-    dealt = sizes.withColumn("_h", mixed).withColumn("_part", part).join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    dealt = sizes.withColumn("_h", mixed).join(goals.withColumn("_bits", bits), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_part", part).drop("_source", "_bits", "rows")
     sums = dealt.groupBy("rank", "_part").agg(F.sum("size").alias("_sum"))
     ahead = F.coalesce(F.sum("_sum").over(W.partitionBy("rank").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("rank", "_part", ahead.alias("_ahead"))

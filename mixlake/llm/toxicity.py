@@ -89,13 +89,14 @@ class Model:
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         """Texts are convolved in chunks; a text longer than a chunk continues with the overlap of the widest filter."""
         pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
-        pad, held, owner, size = max(WIDTHS) - 1, [], [], 0
+        pad, held, owner, ends, size = max(WIDTHS) - 1, [], [], [], 0
         gap = np.zeros((pad, 3), np.int32)
 
         def flush() -> None:
             starts = np.cumsum([0, *(len(h) + pad for h in held[:-1])])
-            _, by = self.responses(np.concatenate([x for h in held for x in (h, gap)]))
-            best = np.concatenate([np.maximum.reduceat(h, starts, axis=0) for h in by], axis=1)
+            _, by = self.responses(np.concatenate([*(x for h in held for x in (h, gap)), gap]))
+            spans = np.stack([starts, starts + ends], axis=1).ravel()  # no window starts in the padding
+            best = np.concatenate([np.maximum.reduceat(h, spans, axis=0)[::2] for h in by], axis=1)
             np.maximum.at(pooled, owner, best)
 
         for i, rows in enumerate(texts):
@@ -103,10 +104,11 @@ class Model:
                 part = rows[max(0, k - pad) : k + CHUNK]
                 held.append(part if len(part) else np.zeros((1, 3), np.int32))
                 owner.append(i)
+                ends.append(len(held[-1]) - (pad if k + CHUNK < len(rows) else 0))  # where a text goes on, the next part has its last windows
                 size += len(held[-1]) + pad
                 if size >= CHUNK:
                     flush()
-                    held, owner, size = [], [], 0
+                    held, owner, ends, size = [], [], [], 0
         if held:
             flush()
         return _leaky(pooled + self.bias) @ self.out + self.shift

@@ -17,7 +17,7 @@ def corpus(spark):
             words[r.randrange(len(words))] = r.choice(bad[lang])
         rows.append((i, " ".join(words), lang, 1.0))
         labels.append((i, 1, int(toxic)))
-    rows += [(900, None, "en", 1.0), (901, "", None, 1.0), (None, "awfulone awfultwo", "en", 1.0), (902, " ".join(vocabulary * 300 + ["awfulone"] * 3 + vocabulary), "en", 1.0), (5, rows[5][1], "en", 1.0)]
+    rows += [(900, None, "en", 1.0), (901, "", None, 1.0), (None, "awfulone awfultwo", "en", 1.0), (902, " ".join(vocabulary * 300 + ["awfulone", "awfultwo", "nastyone"] * 2 + vocabulary), "en", 1.0), (5, rows[5][1], "en", 1.0)]
     labels += [(None, 1, 1), (903, 1, None), (7, 1, 0), (904, 1, 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search on it.
 
-Equal vectors are one node. The graph starts from windows over rows sorted by random hyperplane bits.
-Then, round by round, each node introduces its neighbours (and a sample of the nodes that have it as a
+Equal vectors are one node; each vector length has a graph of its own. The graph starts from windows over
+buckets of random hyperplane bits; a crowded bucket is dealt again, by which of two of its own rows is nearer. Then, round by round, each node introduces its neighbours (and a sample of the nodes that have it as a
 neighbour) to one another, and every node keeps the NEIGHBOURS best it has met, until few change.
 A search keeps a beam of nodes per query and follows the graph from the best until all of the beam
 have been followed. Rounds work on vectors of 8-bit integers; what a search returns is scored again
@@ -10,8 +10,10 @@ on the original vectors in double precision.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,16 @@ from mixlake.llm.shared import aligned, materialize, table
 NEIGHBOURS, REVERSE = 30, 20
 #: Rows that a window of the start compares, tables of hyperplanes, and mean rows of a bucket.
 WINDOW, TABLES, BUCKET_ROWS = 256, 12, 48
-ROUNDS, SETTLED = 3, 0.02
+#: Rounds end when at most this share of the edges is new.
+SETTLED = 0.02
+#: Pairs of a crowded bucket's rows that deal it again, and how often at most; what is left then is compared in windows.
+PIVOTS, DEALS = 8, 16
 #: Best pairs that each neighbour takes from one introduction.
 INTRODUCED = 10
 #: Nearest of a window that each of its rows takes from the start.
 SENT = 12
-#: Nodes in a query's beam, followed at a time, that every search may start from, and the most steps.
-BEAM, FOLLOWED, ENTRIES, STEPS = 96, 24, 256, 16
+#: Nodes in a query's beam, followed at a time, that every search may start from.
+BEAM, FOLLOWED, ENTRIES = 96, 24, 256
 
 
 def _norm(v: str) -> Column:
@@ -50,10 +55,8 @@ def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
 def nodes(rows: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors as (node, embedding, code), where node is their smallest vec_id; and (node, vec_id) of the `copies` smallest ids of each.
 
-    code holds the unit vector as 8-bit integers. Only vectors of the most frequent length take part.
+    code holds the unit vector as 8-bit integers. All vectors have the same length.
     """
-    lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    rows = rows.where(F.size("embedding") == (lengths.n if lengths else 0))
     ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("_rank") <= copies)
     ranked = materialize(ranked, "copies")
     firsts = ranked.where("_rank = 1").select(F.col("vec_id").alias("node"), "embedding")
@@ -132,7 +135,7 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows:
 
 
 def _start(coded: DataFrame, n: int, seed: int) -> DataFrame:
-    """Pairs of nodes that are near in the order of their hyperplane bits."""
+    """Pairs of nodes that share a bucket of hyperplane bits; crowded buckets are dealt again until windows hold them."""
     bits = max(1, math.ceil(math.log2(max(2, n / BUCKET_ROWS))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +158,42 @@ def _start(coded: DataFrame, n: int, seed: int) -> DataFrame:
 
         yield from _gathered(parts())
 
-    keyed = coded.select("node", "code").mapInArrow(place, "key long, node long, code binary")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, _GRAPH)
+    keyed = materialize(coded.select("node", "code").mapInArrow(place, "key long, node long, code binary"), "buckets")
+    dealt = None
+    for level in range(DEALS):
+        crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW // 2)
+        crowded = materialize(crowded, "crowded")
+        if crowded.isEmpty():
+            break
+        order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), F.lit(level), "key", "node"), "node")
+        drawn = keyed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * PIVOTS)
+        # rows of equal codes can't be told apart: such buckets stay
+        pivots = drawn.join(crowded, "key").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("_r", "code"))).alias("x"))
+        pivots = materialize(pivots.where(F.size(F.array_distinct("x.code")) > 1).select("key", "n", F.col("x.code").alias("pivots")), "pivots")
+        done = keyed.join(pivots.select("key"), "key", "left_anti")
+        dealt = done if dealt is None else dealt.unionByName(done)
+        keyed = materialize(keyed.join(pivots, "key").select("key", "node", "code", "n", "pivots").mapInArrow(_dealt_again, "key long, node long, code binary"), "buckets")
+    dealt = keyed if dealt is None else dealt.unionByName(keyed)
+    # each table has its own order, so windows of what stays crowded differ
+    return dealt.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(compare, _GRAPH)
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, code) of rows with their bucket's n and pivots: a bit for each pair of pivots, 1 if the first is nearer, joins the key."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            b = whole.slice(k, 1000)
+            x, key, out = _codes(b.column(2)), b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64)
+            for one in np.unique(key):
+                own = np.flatnonzero(key == one)
+                pivots = _codes(b.column(4)[int(own[0])].values)
+                pairs = min(len(pivots) // 2, math.ceil(math.log2(b.column(3)[int(own[0])].as_py() / BUCKET_ROWS)))
+                s = x[own] @ pivots.T
+                bits = (s[:, : 2 * pairs : 2] > s[:, 1 : 2 * pairs : 2]) @ (1 << np.arange(pairs, dtype=np.int64))
+                with np.errstate(over="ignore"):
+                    mixed = (one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bits.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+                    out[own] = (mixed ^ (mixed >> np.uint64(32))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(out), b.column(1), b.column(2)], names=["key", "node", "code"])
 
 
 def _merge(pairs: DataFrame) -> DataFrame:
@@ -191,11 +228,14 @@ def _introduce(graph: DataFrame, coded: DataFrame, seed: int) -> DataFrame:
     return members.join(known, "node").select("hub", "node", "code", "worst").repartition("hub").sortWithinPartitions("hub").mapInArrow(run, _GRAPH)
 
 
-def neighbour_graph(coded: DataFrame, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v, s): about the NEIGHBOURS nearest nodes of every node. Fewer than two nodes have no edges."""
+def neighbour_graph(coded: DataFrame, seed: int = 0) -> DataFrame:
+    """(u, v, s): about the NEIGHBOURS nearest nodes of every node. Fewer than two nodes have no edges.
+
+    Rounds go on until the graph is settled; neighbours only get nearer, so they end.
+    """
     n = coded.count()
     graph = materialize(_merge(_start(coded, n, seed)), "graph")
-    for k in range(rounds):
+    for k in itertools.count():
         grown = materialize(_merge(_introduce(graph, coded, seed + k).unionByName(graph)), "graph")
         new = grown.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
         graph = grown
@@ -237,7 +277,7 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, beam: int = B
     keep = lambda df: df.groupBy("query_id", "node").agg(F.max("s").alias("s"), F.max("followed").alias("followed")).withColumn("_r", rank).where(F.col("_r") <= beam).drop("_r")
     codes = queries.select("query_id", F.col("code").alias("q"))
     state = materialize(keep(queries.select("query_id", "code", "start").mapInArrow(enter, shape)), "beam")
-    for _ in range(STEPS):
+    while not state.where("not followed").isEmpty():
         turn = F.row_number().over(W.partitionBy("query_id").orderBy("followed", F.desc("s"), "node"))
         marked = state.withColumn("_t", turn).withColumn("_go", ~F.col("followed") & (F.col("_t") <= FOLLOWED))
         go = marked.where("_go").select("query_id", F.col("node").alias("u"))
@@ -246,8 +286,6 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, beam: int = B
         scored = met.join(coded.select("node", "code"), "node").join(codes, "query_id").select("query_id", "node", "code", "q").mapInArrow(rescore, shape)
         after = marked.select("query_id", "node", "s", (F.col("followed") | F.col("_go")).alias("followed"))
         state = materialize(keep(after.unionByName(scored)), "beam")
-        if state.where("not followed").isEmpty():
-            break
     return state.select("query_id", "node")
 
 
@@ -255,10 +293,18 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id"
     """(query_id, rank, vec_id, score): the k nearest other rows of each row for which `queries` holds, nearest first, ties to the smaller vec_id.
 
     queries is a condition on the column vec_id. Every row is indexed. The score is the cosine of the
-    original vectors. A query has fewer than k rows only if there are no more. An empty table gives an
-    empty one; other columns are left out, whatever their names.
+    original vectors. Vectors of each length are an index of their own, searched by that length's queries.
+    A query has fewer than k rows only if its length has no more. An empty table gives an empty one;
+    other columns are left out, whatever their names.
     """
     own = materialize(vectors(rows, vec_id, embedding), "vectors")
+    lengths = [r.n for r in own.where(queries).select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
+    parts = [_nearest(own.where(F.size("embedding") == n), queries, k, seed) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(own: DataFrame, queries: Column, k: int, seed: int) -> DataFrame:
+    """nearest() of vectors of one length."""
     coded, members = nodes(own, k + 1)
     members = materialize(members, "members")
     asked = own.where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

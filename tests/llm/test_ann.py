@@ -44,3 +44,25 @@ def test_empty_and_single(spark):
     rows = frame(spark, [(0, [1.0, 2.0], "e")])
     assert ann.nearest(rows, F.col("vec_id") % 50 == 0).count() == 0
     assert ann.nearest(rows.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def tight(n, d=64, noise=0.05, seed=5):
+    r = np.random.default_rng(seed)
+    return r.normal(size=d) + noise * r.normal(size=(n, d))
+
+
+def test_tables_add_pairs_in_a_crowded_bucket(spark):
+    x = tight(3000)
+    coded, _ = ann.nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 1)
+    pairs = ann._start(coded, 3000, 0).select("u", "v")
+    # every window of every table sends SENT neighbours of a row; one order in all tables would send the same ones
+    assert pairs.distinct().count() > 0.6 * ann.TABLES * ann.SENT * 3000
+
+
+def test_each_length_is_indexed(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)]
+    got = ann.nearest(frame(spark, [(*x, "e") for x in rows]), F.col("vec_id") % 50 == 0).collect()
+    for q in range(0, 300, 50):
+        peers = [x for x in rows if len(x[1]) == len(rows[q][1])]
+        assert np.allclose(sorted((x.score for x in got if x.query_id == q), reverse=True), brute(peers, [q])[q])

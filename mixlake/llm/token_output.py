@@ -10,6 +10,7 @@ stride of its shard, so a reader starts anywhere and resumes by its slot alone.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlake.llm.shared import table
+from mixlake.llm.bpe import encode
+from mixlake.llm.shared import materialize, shared_dir, table
 
 #: Tokens of a sequence, sequences of a shard, and the key of the order.
 LENGTH, SHARD, KEY = 4096, 1024, 20_240_601
 #: Byte ids: END and PAD are bytes that UTF-8 never has.
 END, PAD = 0xFF, 0xFE
+#: Ids after the last of the 50,256 of the tokenizer.
+END_ID, PAD_ID = 50_256, 50_257
 #: Rows of one range of the hash, about; ranges at most. A range's sum is one row for the driver.
 RANGE_ROWS, RANGES = 2000, 1 << 16
 ROUNDS = 6
@@ -136,6 +140,48 @@ def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", e
     return dealt.mapInArrow(join, "shard long, slot long, position long, sequence long, doc_ids array<long>, payload binary")
 
 
+class _Shards:
+    """Writes shards one after the other, each under a name of its own until it is whole."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.files.create_dir(self.root, recursive=True)
+        self.now, self.name, self.out = None, "", None
+
+    def put(self, shard: int, data: bytes) -> bool:
+        """Adds a sequence; whether it is its shard's first."""
+        first = shard != self.now
+        if first:
+            self.close()
+            self.now, self.name = shard, f".{uuid.uuid4().hex}"
+            self.out = self.files.open_output_stream(f"{self.root}/{self.name}")
+        self.out.write(data)
+        return first
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.files.move(f"{self.root}/{self.name}", f"{self.root}/shard-{self.now:08d}.bin")
+            self.out = None
+
+
+def write_dealt(rows: DataFrame, folder: str) -> DataFrame:
+    """write_shards() for the very rows of sequences(), whose shards are held by one task each already: they aren't dealt again. Gives the rows without payload."""
+    names = [c for c in rows.columns if c != "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _Shards(folder)
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                shards.put(shard, data)
+            yield batch.select(names)
+        shards.close()
+
+    return rows.mapInArrow(run, rows.drop("payload").schema)
+
+
 def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     """Writes each shard of sequences() as folder/shard-NNNNNNNN.bin and returns (shard, n_sequences, n_bytes).
 
@@ -144,30 +190,13 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        now, out, written = None, None, []
-
-        def close() -> None:
-            out.close()
-            files.move(f"{root}/{name}", f"{root}/shard-{now:08d}.bin")
-
+        shards, written = _Shards(folder), []
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != now:
-                    if now is not None:
-                        close()
-                    now, name = shard, f".{uuid.uuid4().hex}"
-                    out = files.open_output_stream(f"{root}/{name}")
+                if shards.put(shard, data):
                     written.append([shard, 0, 0])
-                out.write(data)
                 written[-1][1:] = written[-1][1] + 1, written[-1][2] + len(data)
-        if now is not None:
-            close()
+        shards.close()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*written, strict=True) if written else ((), (), ()))], names=["shard", "n_sequences", "n_bytes"])
 
     ordered = rows.select("shard", "payload", "slot").repartition("shard").sortWithinPartitions("slot").select("shard", "payload")
@@ -190,6 +219,37 @@ def read_slots(folder: str, first: int, count: int, stride: int = LENGTH, shard:
                 first, count = first + 1, count - 1
 
 
+def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
+    """rows of write_dealt() with the payload that the shard files hold at their positions."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        now, data = None, None
+        for batch in batches:
+            out = []
+            for shard, position in zip(batch.column("shard").to_pylist(), batch.column("position").to_pylist(), strict=True):
+                if shard != now:
+                    if data is not None:
+                        data.close()
+                    now, data = shard, files.open_input_file(f"{root}/shard-{shard:08d}.bin")
+                data.seek(position * stride)
+                out.append(data.read(stride))
+                if len(out[-1]) < stride:
+                    raise OSError(f"shard {shard} lacks sequence {position}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "payload"])
+        if data is not None:
+            data.close()
+
+    return rows.mapInArrow(run, rows.withColumn("payload", F.lit(b"")).schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", byte_tokens(F.col("text")).alias("tokens"))
-    return sequences(docs)
+    """The sequences of all documents' tokenizer ids, two bytes each, as the written shards hold them."""
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", packed_ids(F.col("ids")).alias("tokens"))
+    docs = materialize(docs, "tokens")  # read three times, encoded once
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/shards-{uuid.uuid4().hex}"
+    rows = sequences(docs, end=END_ID.to_bytes(2, "little"), pad=PAD_ID.to_bytes(2, "little"))
+    return read_back(materialize(write_dealt(rows, folder), "slots"), folder, LENGTH * 2)

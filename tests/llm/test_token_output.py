@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mixlake.llm import bpe
 from mixlake.llm import token_output as O
 
 
@@ -44,3 +45,24 @@ def test_wide_ids_and_empty(spark):
     ids = np.frombuffer(got[0].payload, "<u2").tolist()
     assert len(got) == 1 and sorted(ids) == sorted([5, 50_000, 7, 50_256, 50_256, 50_256, 50_257, 50_257])
     assert O.sequences(rows.limit(0)).count() == 0
+
+
+def test_query_writes_shards_of_tokenizer_ids(spark, monkeypatch):
+    texts = [(1, "the license, the license"), (2, None), (3, ""), (4, "é漢 code" * 700)]
+    monkeypatch.setattr(O, "table", lambda *a: spark.createDataFrame(texts, "doc_id long, text string"))
+    folders, write = [], O.write_dealt
+    monkeypatch.setattr(O, "write_dealt", lambda rows, folder: folders.append(folder) or write(rows, folder))
+    got = sorted(O.query(spark, "").collect(), key=lambda x: x.sequence)
+    ids = np.frombuffer(b"".join(x.payload for x in got), "<u2").tolist()
+    while ids[-1] == O.PAD_ID:
+        ids.pop()
+    docs, own = [], []
+    for i in ids:
+        if i == O.END_ID:
+            docs.append(own)
+            own = []
+        else:
+            own.append(i)
+    decode = bpe.encoder(bpe.default_path()).decode
+    assert Counter(decode(d) for d in docs) == Counter((t or "").encode() for _, t in texts)
+    assert list(O.read_slots(folders[0], 0, len(got), 2 * O.LENGTH)) == [bytes(x.payload) for x in sorted(got, key=lambda x: x.slot)]

@@ -1,17 +1,21 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line; its tokens are its distinct words. It matches a template if it holds at least
+A block is a line, or a paragraph of several lines without their comment markers; its tokens are its
+distinct words. A block matches a template if it holds at least
 CONTAINMENT of the template's tokens. Tokens are ordered globally, rarest in all blocks first. Any
 match shares a token with the template's prefix, its first m - need + 1 tokens in that order; it has
 at least `need` tokens; and what can still follow the first shared token, by its positions in both,
-must reach `need`. Blocks that pass these filters are verified, so no match is lost. All of this is
-DataFrame and SQL functions.
+must reach `need`. Blocks that pass these filters are verified, so no match is lost. As the words of
+a long paragraph may come from anywhere in it, a paragraph must also hold the template's pairs of
+successive words, as many as are left where 1 - CONTAINMENT of the words are lost. All of this is DataFrame
+and SQL functions.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Part of a template's tokens that a block must hold.
 CONTAINMENT = 0.8
+#: What may stand before the words of a wrapped notice's line, and what lies between paragraphs.
+MARKER, BETWEEN = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--|\.\.|(?:dnl|rem|REM)(?=[ \t]))?[ \t\r]*", r"\n\n+"
 #: Templates: sentences of public licenses and common notices, with their labels.
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
@@ -51,12 +57,31 @@ def _array(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def _blocks(docs: DataFrame, known: list[str], rare: list[str]) -> DataFrame:
-    """docs's keys with each block that has a word of `rare`: tokens, its words that templates know, and size, its number of distinct words."""
-    blocks = docs.select("doc_id", "text_key", F.explode(F.split("t", "\n")).alias("line"))
-    blocks = blocks.select("doc_id", "text_key", F.array_distinct(_words(F.col("line"))).alias("all"))
-    blocks = blocks.select("doc_id", "text_key", F.size("all").alias("size"), F.array_intersect("all", _array(known)).alias("tokens"))
-    return blocks.where(F.arrays_overlap("tokens", _array(rare)))
+def _pairs(words: list[str]) -> list[str]:
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+def _blocks(docs: DataFrame, known: list[str], rare: list[str], pairs: list[str] | None = None) -> DataFrame:
+    """docs's keys with each block that has a word of `rare`: tokens, its words that templates know, size, its number of distinct words, and follows.
+
+    Blocks are lines and, if `pairs` is given, paragraphs of several lines; follows has those of `pairs` that a
+    paragraph holds, and is null for lines.
+    """
+    texts = docs.withColumn("lower", lower_ascii(F.col("t")))
+    has = lambda c: reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in rare))
+    lines = texts.select("doc_id", "text_key", F.explode(F.split("lower", "\n")).alias("block"), F.lit(False).alias("wrapped"))
+    lines = lines.where(has(F.col("block"))) if pairs is not None else lines
+    if pairs:
+        # only texts with such a word at all are cut into paragraphs
+        many = texts.where(F.contains("lower", F.lit("\n")) & has(F.col("lower")))
+        many = many.select("doc_id", "text_key", F.explode(F.split(F.regexp_replace("lower", MARKER, ""), BETWEEN)).alias("block"), F.lit(True).alias("wrapped"))
+        lines = lines.unionByName(many.where(F.contains("block", F.lit("\n")) & has(F.col("block"))))
+    blocks = lines.select("doc_id", "text_key", "wrapped", F.regexp_extract_all("block", F.lit(WORD), F.lit(0)).alias("w"))
+    blocks = blocks.select("*", F.array_distinct("w").alias("all"))
+    blocks = blocks.select("doc_id", "text_key", "wrapped", "w", F.size("all").alias("size"), F.array_intersect("all", _array(known)).alias("tokens")).where(F.arrays_overlap("tokens", _array(rare)))
+    held = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
+    follows = F.when(F.col("wrapped") & (F.size("w") > 1), F.array_intersect(held, _array(pairs))) if pairs else F.lit(None).cast("array<string>")
+    return blocks.select("doc_id", "text_key", "size", "tokens", follows.alias("follows"))
 
 
 def global_order(blocks: DataFrame, known: list[str]) -> list[str]:
@@ -73,26 +98,31 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, conta
     spark, known = docs.sparkSession, sorted({w for _, _, words in template_tokens(templates) for w in words})
     order = global_order(_blocks(docs, known, known), known)
     place = {w: k for k, w in enumerate(order)}
-    index, prefixes = [], set()
+    index, prefixes, every = [], set(), set()
     for number, label, words in template_tokens(templates):
         need = max(1, math.ceil(containment * len(words) - 1e-9))
         ranked = sorted(words, key=place.__getitem__)
+        pairs = _pairs(re.findall("[0-9a-z]+|[^\x00-\x7f]+", templates[number][1].lower()))
+        # a lost word takes two pairs with it
+        least = math.ceil((2 * containment - 1) * len(pairs) - 1e-9)
+        every.update(pairs)
         for p, w in enumerate(ranked[: len(ranked) - need + 1]):
-            index.append((w, number, label, p, need, ranked))
+            index.append((w, number, label, p, need, ranked, pairs, least))
             prefixes.add(w)
     if not index:
         return docs.select("doc_id", "text_key").limit(0).select("*", F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("share"))
     # a row for each prefix token: its number is fixed by the templates
-    small = spark.createDataFrame(index, "token string, template int, label string, place int, need int, ranked array<string>")
-    blocks = _blocks(docs, known, sorted(prefixes))
+    small = spark.createDataFrame(index, "token string, template int, label string, place int, need int, ranked array<string>, pairs array<string>, least int")
+    blocks = _blocks(docs, known, sorted(prefixes), sorted(every))
     # known words of a block in global order; unknown ones don't count, so fewer may follow than size allows
     sorted_tokens = F.filter(_array(order), lambda w: F.array_contains("tokens", w))
-    probes = blocks.select("doc_id", "text_key", "size", sorted_tokens.alias("tokens")).select("*", F.posexplode("tokens").alias("at", "token"))
+    probes = blocks.select("doc_id", "text_key", "size", "follows", sorted_tokens.alias("tokens")).select("*", F.posexplode("tokens").alias("at", "token"))
     pairs = probes.join(F.broadcast(small), "token")
     follow = F.least(F.size("ranked") - F.col("place"), F.size("tokens") - F.col("at"))
     pairs = pairs.where((F.col("size") >= F.col("need")) & (F.size("tokens") >= F.col("need")) & (follow + F.least("place", "at") >= F.col("need")))
     share = F.size(F.array_intersect("tokens", "ranked"))
     verified = pairs.withColumn("overlap", share).where(F.col("overlap") >= F.col("need"))
+    verified = verified.where(F.col("follows").isNull() | (F.size(F.array_intersect("follows", "pairs")) >= F.col("least")))
     return verified.groupBy("doc_id", "text_key", "template", "label").agg(F.max(F.col("overlap") / F.size("ranked")).alias("share"))
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 from mixlake.llm import licenses as L
@@ -43,3 +44,16 @@ def test_matches_brute_force(spark):
         assert L.scan(docs.limit(0)).count() == 0
     finally:
         L.table = table
+
+
+def test_wrapped_notices(spark):
+    texts = {}
+    for i, (_, t) in enumerate(L.TEMPLATES):
+        for k, (mark, width) in enumerate([("", 72), (" * ", 40), ("# ", 70), ("// ", 24)]):
+            texts[i * 10 + k] = "code here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n" + mark.rstrip() + "\nmore code"
+    scattered = sorted(set(re.findall("[a-z]+", L.TEMPLATES[1][1].lower())))
+    texts[900] = "\n".join(" ".join(scattered[k : k + 4]) for k in range(0, len(scattered), 4))  # the words, but no notice
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {(x.label, x.share) for x in r.found} for r in L.scan(docs).collect()}
+    assert got.pop(900) == set() and len(got) == 40
+    assert all((L.TEMPLATES[i // 10][0], 1.0) in found for i, found in got.items())

@@ -40,8 +40,27 @@ WIDEST, MOST_SPANNED = 60, 1000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|(?:^|\s)style\s*=\s*(?:"[^"]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*?(?:display\s*:\s*none|visibility\s*:\s*hidden))|(?:^|\s)aria-hidden\s*=\s*["']?true""", re.I)
-_SPAN = re.compile(r"""(?:^|\s)colspan\s*=\s*["']?\s*(\d+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_MAY_HIDE = re.compile("hidden|none", re.I)
+_HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_SPAN = re.compile(r"\s*(\d+)")
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-cased name, the first of a repeated name as in browsers; names without a value have an empty one."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        if name:
+            out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _hides(raw: str) -> bool:
+    """Whether an element with these attributes isn't shown."""
+    if not _MAY_HIDE.search(raw):
+        return False
+    found = _attributes(raw)
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDING_STYLE.search(unescape(found.get("style", ""))))
 
 
 class _Lines:
@@ -132,7 +151,7 @@ class _Page:
         while self.open and tag in ENDED_BY.get(self._nearest(tag), ()):
             if not self._close(self._nearest(tag)):
                 break
-        hidden = self.hidden or tag in HIDDEN or bool(attributes and _HIDING.search(attributes))
+        hidden = self.hidden or tag in HIDDEN or bool(attributes and _hides(attributes))
         lines = self.out[-1]
         if tag in VOID:
             if not hidden and tag in ("br", "hr"):
@@ -150,7 +169,7 @@ class _Page:
                 return
             if not self.tables[-1]:
                 self.tables[-1].append([])
-            found = _SPAN.search(attributes)
+            found = _SPAN.match(_attributes(attributes).get("colspan", ""))
             self.spans.append(min(MOST_SPANNED, int(found[1][:4])) if found else 1)
             self.out.append(_Lines())
             return

@@ -38,3 +38,13 @@ def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a", "u"), (1, "<p>a", "u"), (None, None, "v"), (2, "", "w")], "page_id long, html string, text2 string")
     assert sorted(map(str, extract(pages).select("page_id", "text").collect())) == sorted(["Row(page_id=1, text='a')"] * 2 + ["Row(page_id=None, text='')", "Row(page_id=2, text='')"])
     assert extract(pages.limit(0)).count() == 0 and extract(pages.withColumn("text", pages.text2)).columns.count("text") == 2
+
+
+@pytest.mark.parametrize("attributes", ["title='a hidden gem in Rome'", 'aria-label="show hidden items"', 'class="x hidden y"', "title=\"style='display:none'\"", 'data-x="1" title=" aria-hidden=true "', "style='--display:none'", "class=hidden"])
+def test_words_in_values_hide_nothing(attributes):
+    assert render(f"<div {attributes}>seen<p>too</div>") == "seen\n\ntoo"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class=x hidden", "style=display:none", "style='color:red; visibility : hidden'", 'style="DISPLAY:none!important"', "title='a>b' hidden/"])
+def test_attributes_that_hide(attributes):
+    assert render(f"a<div {attributes}>no<p>no</div>b") == "a\nb" or render(f"a<div {attributes}>no<p>no</div>b") == "ab"

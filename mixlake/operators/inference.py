@@ -258,8 +258,9 @@ class Fit:
         if ess < self.p.n / 2 and self.p.n > 1:
             self.maps.append(resampled(self.p, self.seed, self.step))
 
-    def batch(self, begin: int, end: int) -> DataFrame:
-        return self.rows.where((F.col("row_id") >= begin) & (F.col("row_id") < end))
+    def batch(self, begin: int, end: int | None) -> DataFrame:
+        rows = self.rows.where(F.col("row_id") >= begin)
+        return rows if end is None else rows.where(F.col("row_id") < end)
 
     def random_batch(self, size: int, n_rows: int) -> DataFrame:
         """About `size` rows, chosen by a hash of (seed, step, row_id): no sort of the table."""
@@ -268,11 +269,11 @@ class Fit:
 
 
 def smc(fit: Fit, n_rows: int, batch_size: int, steps: int, rejuvenation: int = 0) -> Fit:
-    """Contiguous batches, each seen once; after each, `rejuvenation` moves of rows already seen or not, which leave weights alone."""
-    if n_rows < batch_size * steps:
+    """Contiguous batches, each seen once, the last to the end of the rows; after each, `rejuvenation` moves of rows already seen or not, which leave weights alone."""
+    if n_rows <= batch_size * (steps - 1):
         raise ValueError("not enough rows for the steps")
     for t in range(steps):
-        fit.smc_step(fit.batch(t * batch_size, (t + 1) * batch_size), rejuvenation > 0)  # such a move may have reached them before
+        fit.smc_step(fit.batch(t * batch_size, (t + 1) * batch_size if t < steps - 1 else None), rejuvenation > 0)  # such a move may have reached them before
         for _ in range(rejuvenation):
             fit.gibbs(fit.random_batch(batch_size, n_rows), True)
             fit.p.gamma = log_target(fit.p)

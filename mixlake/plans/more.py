@@ -398,10 +398,13 @@ def _folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
 
 
-def _summary(spark: SparkSession, fit) -> DataFrame:
+def _summary(spark: SparkSession, fit, n_rows: int) -> DataFrame:
+    """Weights, log pi and rows of each particle's clusters; every row is in one of them."""
     from mixlake.operators.inference import weights
 
     w = weights(fit.p.log_w)
+    if (fit.p.rows.sum(-1) != n_rows).any():
+        raise RuntimeError("a particle lacks rows")
     rows = [(p, c, float(w[p]), float(fit.p.pi[p, c]), int(fit.p.rows[p, c])) for p in range(fit.p.n) for c in range(fit.p.pi.shape[1])]
     return spark.createDataFrame(rows, "particle int, cluster int, weight double, log_pi double, n long")
 
@@ -411,7 +414,7 @@ def smc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, smc
 
     rows, sizes, n = _encoded(spark, sf_dir)
-    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 4, 3, seed=1), n, n // 4, 3, 1))
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 4, 3, seed=1), n, -(-n // 3), 3, 1), n)
 
 
 @query("mcmc_fit")
@@ -419,7 +422,7 @@ def mcmc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, mcmc
 
     rows, sizes, n = _encoded(spark, sf_dir)
-    return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=2), n, n // 4, 2))
+    return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=2), n, n // 4, 2), n)
 
 
 @query("hyper_fit")
@@ -428,7 +431,7 @@ def hyper_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, sizes, n = _encoded(spark, sf_dir)
     grids = ([0.5, 1.0, 2.0], [0.5, 1.0, 2.0])
-    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 3, 3, seed=3, grids=grids), n, n // 3, 2))
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 3, 3, seed=3, grids=grids), n, -(-n // 2), 2), n)
 
 
 @query("sgd_fit")

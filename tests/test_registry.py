@@ -34,3 +34,9 @@ def test_query_and_sql_agree(spark, duck, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 1500
+
+
+@pytest.mark.parametrize("name", ["smc_fit", "hyper_fit"])
+def test_fits_assign_every_order(spark, duck, name):
+    rows = registry.queries()[name](spark, SF).groupBy("particle").sum("n").collect()
+    assert {r[1] for r in rows} == {duck.sql("select count(*) from orders").fetchall()[0][0]}

@@ -8,7 +8,7 @@ at least `need` tokens; and what can still follow the first shared token, by its
 must reach `need`. Blocks that pass these filters are verified, so no match is lost. As the words of
 a long paragraph may come from anywhere in it, a paragraph must also hold the template's pairs of
 successive words, as many as are left where 1 - CONTAINMENT of the words are lost. All of this is DataFrame
-and SQL functions.
+and SQL functions. Texts are read and cut into words once; of the blocks only those are kept that could match.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlake.llm.shared import lower_ascii, materialize, table
+from mixlake.llm.shared import LOWER, UPPER, lower_ascii, materialize, table
 
 #: A word, and phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,6 +29,8 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 CONTAINMENT = 0.8
 #: What may stand before the words of a wrapped notice's line, and what lies between paragraphs.
 MARKER, BETWEEN = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--|\.\.|(?:dnl|rem|REM)(?=[ \t]))?[ \t\r]*", r"\n\n+"
+_PLACES = "array<struct<start:int,label:string>>"
+_BLOCKS = "array<struct<wrapped:boolean,size:int,tokens:array<string>,follows:array<string>>>"
 #: Templates: sentences of public licenses and common notices, with their labels.
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
@@ -45,43 +47,71 @@ TEMPLATES = [
 
 
 def template_tokens(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, list[str]]]:
-    """(number, label, distinct words) of each template."""
-    return [(i, label, sorted(set(re.findall("[0-9a-z]+|[^\x00-\x7f]+", text.lower())))) for i, (label, text) in enumerate(templates)]
+    """(number, label, distinct words) of each template, by the words of texts."""
+    return [(i, label, sorted(set(_cut(text)))) for i, (label, text) in enumerate(templates)]
+
+
+def _cut(text: str) -> list[str]:
+    """A template's words in order."""
+    return re.findall(WORD, text.translate({ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}))
+
+
+def _need(words: list[str], containment: float) -> int:
+    return max(1, math.ceil(containment * len(words) - 1e-9))
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def _array(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+    return F.array(*map(F.lit, words)) if words else F.expr("cast(array() as array<string>)")
 
 
 def _pairs(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _blocks(docs: DataFrame, known: list[str], rare: list[str], pairs: list[str] | None = None) -> DataFrame:
-    """docs's keys with each block that has a word of `rare`: tokens, its words that templates know, size, its number of distinct words, and follows.
+def _blocks(lower: Column, templates: list[tuple[str, str]], containment: float) -> Column:
+    """The text's blocks that could match, as an array of structs: wrapped, size (distinct words), tokens (those that
+    templates have) and follows (those of the templates' pairs of successive words that a paragraph holds; null for lines).
+
+    A block with fewer known words than the shortest template needs can't match.
+    """
+    own = template_tokens(templates)
+    known, least = _array(sorted({w for _, _, words in own for w in words})), min(_need(words, containment) for _, _, words in own)
+    pairs = _array(sorted({x for _, text in templates for x in _pairs(_cut(text))}))
+
+    def block(text: Column, wrapped: bool) -> Column:
+        words = _words(text)
+        held = F.when(F.size(words) > 1, F.array_intersect(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)), pairs))
+        follows = F.coalesce(held, F.expr("cast(array() as array<string>)")) if wrapped else F.lit(None).cast("array<string>")
+        return F.struct(F.lit(wrapped).alias("wrapped"), F.size(F.array_distinct(words)).alias("size"), F.array_intersect(words, known).alias("tokens"), follows.alias("follows"))
+
+    enough = lambda text: F.size(F.array_intersect(_words(text), known)) >= least
+    lines = F.transform(F.filter(F.split(lower, "\n"), enough), lambda x: block(x, False))
+    cut = F.split(F.regexp_replace(lower, MARKER, ""), BETWEEN)
+    wrapped = F.transform(F.filter(cut, lambda x: F.contains(x, F.lit("\n")) & enough(x)), lambda x: block(x, True))
+    return F.concat(lines, wrapped)
+
+
+def read(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, text_key, n_words, places, blocks) of docs (doc_id, t): the only pass over the texts.
 
-    Blocks are lines and, if `pairs` is given, paragraphs of several lines; follows has those of `pairs` that a
-    paragraph holds, and is null for lines.
+    Blocks are cut only from texts whose words hold enough of some template, as a block holds no more than its text.
     """
-    texts = docs.withColumn("lower", lower_ascii(F.col("t")))
-    has = lambda c: reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in rare))
-    lines = texts.select("doc_id", "text_key", F.explode(F.split("lower", "\n")).alias("block"), F.lit(False).alias("wrapped"))
-    lines = lines.where(has(F.col("block"))) if pairs is not None else lines
-    if pairs:
-        # only texts with such a word at all are cut into paragraphs
-        many = texts.where(F.contains("lower", F.lit("\n")) & has(F.col("lower")))
-        many = many.select("doc_id", "text_key", F.explode(F.split(F.regexp_replace("lower", MARKER, ""), BETWEEN)).alias("block"), F.lit(True).alias("wrapped"))
-        lines = lines.unionByName(many.where(F.contains("block", F.lit("\n")) & has(F.col("block"))))
-    blocks = lines.select("doc_id", "text_key", "wrapped", F.regexp_extract_all("block", F.lit(WORD), F.lit(0)).alias("w"))
-    blocks = blocks.select("*", F.array_distinct("w").alias("all"))
-    blocks = blocks.select("doc_id", "text_key", "wrapped", "w", F.size("all").alias("size"), F.array_intersect("all", _array(known)).alias("tokens")).where(F.arrays_overlap("tokens", _array(rare)))
-    held = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
-    follows = F.when(F.col("wrapped") & (F.size("w") > 1), F.array_intersect(held, _array(pairs))) if pairs else F.lit(None).cast("array<string>")
-    return blocks.select("doc_id", "text_key", "size", "tokens", follows.alias("follows"))
+    own = template_tokens(templates)
+    told = sorted({w for _, _, words in own for w in words} | {w for phrase in PHRASES for w in phrase.split(" ")})
+    rows = docs.select("doc_id", F.xxhash64("t").alias("text_key"), lower_ascii(F.col("t")).alias("lower"))
+    rows = rows.select("*", _words(F.col("lower")).alias("w"))
+    rows = rows.select("*", F.array_intersect("w", _array(told)).alias("told"))
+    places = F.when(reduce(Column.__or__, (F.size(F.array_intersect("told", _array(phrase.split(" ")))) == len(set(phrase.split(" "))) for phrase in PHRASES)), _phrases("w")).otherwise(F.expr(f"cast(array() as {_PLACES})"))
+    rows = rows.select("doc_id", "text_key", "lower", F.size("w").cast("long").alias("n_words"), places.alias("places"), "told")
+    if not own:
+        return rows.select("doc_id", "text_key", "n_words", "places", F.expr(f"cast(array() as {_BLOCKS})").alias("blocks"))
+    may = reduce(Column.__or__, (F.size(F.array_intersect("told", _array(words))) >= _need(words, containment) for _, _, words in own))
+    blocks = F.when(may, _blocks(F.col("lower"), templates, containment)).otherwise(F.expr(f"cast(array() as {_BLOCKS})"))
+    return rows.select("doc_id", "text_key", "n_words", "places", blocks.alias("blocks"))
 
 
 def global_order(blocks: DataFrame, known: list[str]) -> list[str]:
@@ -90,34 +120,26 @@ def global_order(blocks: DataFrame, known: list[str]) -> list[str]:
     return sorted(known, key=lambda w: (counts.get(w, 0), w))
 
 
-def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def matches(blocks: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, text_key, template, label, share): the largest share of each template that a block of the text holds, if enough.
 
-    docs: doc_id, text_key, t. Two passes over the texts: token counts, then the join.
+    blocks: doc_id, text_key, size, tokens, follows. The templates' prefixes are a table that is joined by token; Spark
+    broadcasts it if it is small.
     """
-    spark, known = docs.sparkSession, sorted({w for _, _, words in template_tokens(templates) for w in words})
-    order = global_order(_blocks(docs, known, known), known)
+    spark, own = blocks.sparkSession, template_tokens(templates)
+    known = sorted({w for _, _, words in own for w in words})
+    order = global_order(blocks, known)
     place = {w: k for k, w in enumerate(order)}
-    index, prefixes, every = [], set(), set()
-    for number, label, words in template_tokens(templates):
-        need = max(1, math.ceil(containment * len(words) - 1e-9))
-        ranked = sorted(words, key=place.__getitem__)
-        pairs = _pairs(re.findall("[0-9a-z]+|[^\x00-\x7f]+", templates[number][1].lower()))
-        # a lost word takes two pairs with it
-        least = math.ceil((2 * containment - 1) * len(pairs) - 1e-9)
-        every.update(pairs)
-        for p, w in enumerate(ranked[: len(ranked) - need + 1]):
-            index.append((w, number, label, p, need, ranked, pairs, least))
-            prefixes.add(w)
-    if not index:
-        return docs.select("doc_id", "text_key").limit(0).select("*", F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("share"))
-    # a row for each prefix token: its number is fixed by the templates
+    index = []
+    for number, label, words in own:
+        need, ranked, pairs = _need(words, containment), sorted(words, key=place.__getitem__), _pairs(_cut(templates[number][1]))
+        least = math.ceil((2 * containment - 1) * len(pairs) - 1e-9)  # a lost word takes two pairs with it
+        index += [(w, number, label, p, need, ranked, pairs, least) for p, w in enumerate(ranked[: len(ranked) - need + 1])]
     small = spark.createDataFrame(index, "token string, template int, label string, place int, need int, ranked array<string>, pairs array<string>, least int")
-    blocks = _blocks(docs, known, sorted(prefixes), sorted(every))
     # known words of a block in global order; unknown ones don't count, so fewer may follow than size allows
     sorted_tokens = F.filter(_array(order), lambda w: F.array_contains("tokens", w))
     probes = blocks.select("doc_id", "text_key", "size", "follows", sorted_tokens.alias("tokens")).select("*", F.posexplode("tokens").alias("at", "token"))
-    pairs = probes.join(F.broadcast(small), "token")
+    pairs = probes.join(small, "token")
     follow = F.least(F.size("ranked") - F.col("place"), F.size("tokens") - F.col("at"))
     pairs = pairs.where((F.col("size") >= F.col("need")) & (F.size("tokens") >= F.col("need")) & (follow + F.least("place", "at") >= F.col("need")))
     share = F.size(F.array_intersect("tokens", "ranked"))
@@ -130,25 +152,25 @@ def _phrases(words: str) -> Column:
     """Array of (start, label) of all places of all phrases among the words."""
     found = []
     for phrase, label in PHRASES.items():
-        parts = phrase.split(" ")
-        same = " and ".join(f"get({words}, i + {k}) = '{w}'" for k, w in enumerate(parts))
-        # only texts with the first word at all are searched place by place
-        found.append(f"if(array_contains({words}, '{parts[-1]}') and array_contains({words}, '{parts[0]}'), transform(filter(sequence(0, size({words}) - 1), i -> {same}), i -> struct(i as start, '{label}' as label)), cast(array() as array<struct<start:int,label:string>>))")
-    return F.expr(f"if(size({words}) = 0, cast(array() as array<struct<start:int,label:string>>), concat({', '.join(found)}))")
+        same = " and ".join(f"get({words}, i + {k}) = '{w}'" for k, w in enumerate(phrase.split(" ")))
+        found.append(f"transform(filter(sequence(0, size({words}) - 1), i -> {same}), i -> struct(i as start, '{label}' as label))")
+    return F.expr(f"concat({', '.join(found)})")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, places (start, label of every phrase), found (label, share of every template).
 
     Null texts count as empty and have neither. Rows that agree in doc_id and text, also with a null doc_id,
-    have the same result. Other columns are left out, whatever their names.
+    have the same result. Other columns are left out, whatever their names. Without templates nothing is found.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", F.xxhash64("t").alias("text_key"))
-    base = rows.select("doc_id", "text_key", _words(F.col("t")).alias("w")).select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), _phrases("w").alias("places"))
-    hits = matches(rows, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("label", "share")).alias("found"))
-    both = base.join(materialize(hits, "licenses"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    base = materialize(read(rows, templates, containment), "words")
     none = F.expr("cast(array() as array<struct<label:string,share:double>>)")
+    if not templates:
+        return base.select("doc_id", "n_words", "places", none.alias("found"))
+    blocks = base.where(F.size("blocks") > 0).select("doc_id", "text_key", F.explode("blocks").alias("b")).select("doc_id", "text_key", "b.*")
+    hits = matches(blocks, templates, containment).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("label", "share")).alias("found"))
+    both = base.drop("blocks").join(materialize(hits, "licenses"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return both.select("doc_id", "n_words", "places", F.coalesce("found", none).alias("found"))
 
 

@@ -11,6 +11,7 @@ from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
 from mixlake.operators.model import Model, averaged
 from mixlake.plans.registry import CLUSTERS, FEATURES, _MARG, edges_sql, SEED, fitted, hidden, joint_sql, model_sql, query, raw_orders, table, u_sql
+from mixlake.sources.scratch import shared_dir
 
 CATS = ["o_orderstatus", "o_orderpriority"]
 
@@ -389,15 +390,6 @@ def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int], in
     return rows, [sizes[f] for f in FEATURES], orders.count()
 
 
-def _folder(spark: SparkSession) -> str:
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
-        return "file:///tmp/checkpoints"
-    raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-
-
 def _summary(spark: SparkSession, fit, n_rows: int) -> DataFrame:
     """Weights, log pi and rows of each particle's clusters; every row is in one of them."""
     from mixlake.operators.inference import weights
@@ -414,7 +406,7 @@ def smc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, smc
 
     rows, sizes, n = _encoded(spark, sf_dir)
-    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 4, 3, seed=1), n, -(-n // 3), 3, 1), n)
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, shared_dir(spark), 4, 3, seed=1), n, -(-n // 3), 3, 1), n)
 
 
 @query("mcmc_fit")
@@ -422,7 +414,7 @@ def mcmc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, mcmc
 
     rows, sizes, n = _encoded(spark, sf_dir)
-    return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=2), n, n // 4, 2), n)
+    return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, shared_dir(spark), 1, 3, seed=2), n, n // 4, 2), n)
 
 
 @query("hyper_fit")
@@ -431,7 +423,7 @@ def hyper_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, sizes, n = _encoded(spark, sf_dir)
     grids = ([0.5, 1.0, 2.0], [0.5, 1.0, 2.0])
-    return _summary(spark, smc(Fit(rows, FEATURES, sizes, _folder(spark), 3, 3, seed=3, grids=grids), n, -(-n // 2), 2), n)
+    return _summary(spark, smc(Fit(rows, FEATURES, sizes, shared_dir(spark), 3, 3, seed=3, grids=grids), n, -(-n // 2), 2), n)
 
 
 @query("sgd_fit")
@@ -439,5 +431,5 @@ def sgd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, gradient_fit
 
     rows, sizes, n = _encoded(spark, sf_dir)
-    _, _, losses = gradient_fit(Fit(rows, FEATURES, sizes, _folder(spark), 1, 3, seed=4), n // 2, 4, n)
+    _, _, losses = gradient_fit(Fit(rows, FEATURES, sizes, shared_dir(spark), 1, 3, seed=4), n // 2, 4, n)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step int, loss double")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixlake.sources.scratch import discard, drop_shared, materialize, shared_dir
+
+__all__ = ["LOWER", "UPPER", "WORD", "aligned", "discard", "drop_shared", "lower_ascii", "materialize", "shared_dir", "table", "unused", "without"]
+
 #: The words of most contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,34 +23,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or for local sessions one under /tmp."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    return "file:///tmp/checkpoints"
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(spark: SparkSession) -> None:
-    """Deletes what this application has materialised. Frames that read it can't be used afterwards."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """A column name starting with stem that df doesn't have, in any case."""
     taken, name, k = {c.lower() for c in df.columns}, stem, 0
@@ -57,6 +31,12 @@ def unused(df: DataFrame, stem: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: list[str], keep: str) -> DataFrame:
+    """df without the columns that a new column replaces: those of these names, in any case, but for `keep`."""
+    gone = {n.lower() for n in names}
+    return df.drop(*(c for c in df.columns if c.lower() in gone and c != keep))
+
+
 def aligned(batches):
     """Arrow batches sorted by their first column, cut so that all rows of a key are in one; only the last key's rows are held."""
     import pyarrow as pa

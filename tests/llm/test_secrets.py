@@ -72,3 +72,35 @@ def test_redaction_and_empty(spark):
     assert got == [(1, "é [SECRET] x [SECRET]"), (2, "é [SECRET] x [SECRET]"), (3, None), (4, "clean")]
     assert S.redact(docs).columns == docs.columns
     assert S.scan(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_spans_match_brute_force_and_many_hits_end_soon(spark):
+    token = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+    r = random.Random(4)
+    pick = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = ["", S.BLOT * 3 + " token=abcdefghijklmnop", "x" * 24 + "password=abcdefghijklmn", pick(30) + "AKIA" + "B" * 20 + pick(30), "0123456789abcdefapi_key=abcdefghijklmn " + pick(40)]
+    texts += [" ".join(r.choice(["é🎉", "word", pick(r.choice([5, 20, 33])), "token=" + pick(r.choice([3, 14])), "0123456789abcdef" * 2, "AKIA" + "Z" * 15]) for _ in range(60)) for _ in range(40)]
+    got = {x.doc_id: x for x in S.read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string"), "t").collect()}
+    for i, t in enumerate(texts):
+        own = base(t)
+        assert [tuple(x) for x in got[i].base] == own
+        free = [(m.start(), m.end()) for m in token.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in own)]
+        assert [(x.start, x.stop) for x in got[i].loose] == free and [x.token for x in got[i].loose] == [t[a:b] for a, b in free]
+    for joint in (" ", "\n"):
+        hostile = joint.join(f"token=abcdefghijklmn{i:06d} {i:040x}" for i in range(50_000))
+        docs = spark.createDataFrame([(1, hostile)], "doc_id long, text string")
+        assert len(S.scan(docs).first().base) == 100_000
+        assert S.redact(docs).first().text == joint.join(["[SECRET] [SECRET]"] * 50_000)
+
+
+def test_tokens_without_decoys_count_on_no_side(spark):
+    rows = [(2, 0.8, None)] * 60 + [(3, 0.8, 0.0)] * 60
+    assert S.cutoffs(spark.createDataFrame(rows, "range int, p double, decoy_p double")) == {3: 0.001}
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    assert all(x.spans == x.base for x in S.scan(docs).collect())
+
+
+def test_redact_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "a"), (2, None, "b")], "loose int, base string, _sa string")
+    assert sorted(map(tuple, S.redact(docs, "base").collect())) == [(1, "[SECRET]", "a"), (2, None, "b")]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from mixlake.llm.shared import table, unused
+from mixlake.llm.shared import table, unused, without
 
 #: Elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,13 +37,53 @@ WALLS = {"li": frozenset("ul ol table td th".split()), "dt": frozenset({"dl"}),
 TABLE_WALL = frozenset({"table"})
 #: A column is padded to this at most; wider cells stay whole. Columns that a cell may span.
 WIDEST, MOST_SPANNED = 60, 1000
+#: Levels of lists that are indented; deeper ones stand below the last.
+MOST_INDENTED = 64
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+# names don't give characters back, so a tag is read once
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _MAY_HIDE = re.compile("hidden|none", re.I)
 _HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_SPAN = re.compile(r"\s*(\d+)")
+_SPAN = re.compile(r"\s*([0-9]{1,9})")
+_LONG_NUMBER = re.compile(r"&#(?:0*+[0-9]{8,}+|[xX]0*+[0-9a-fA-F]{8,}+);?")
+_LONG_ZEROS = re.compile(r"(&#[xX]?)0{8,}+(?=[0-9a-fA-F])")
+_CELLS = frozenset({"td", "th"})
+_STAYS_IN_BLOCK = frozenset("tr td th tbody thead tfoot li dt dd".split())
+
+
+def _unescaped(text: str) -> str:
+    """Character references as characters; numbers beyond Unicode, however long, as U+FFFD."""
+    if "&#" in text:
+        text = _LONG_NUMBER.sub("\ufffd", _LONG_ZEROS.sub(r"\g<1>0", text))
+    return unescape(text)
+
+
+def _blocks_way(name: str, tag: str) -> bool:
+    """Whether the start of `tag` reaches no element outside an open `name`."""
+    return name in WALLS.get(tag, ()) or name in TABLE_WALL or name in ("td", "th", "ul", "ol", "dl") or name in BLOCK and tag not in _STAYS_IN_BLOCK
+
+
+#: Tags whose start may end an element, grouped by what it ends and what keeps it from doing so.
+_KINDS: dict[str, int] = {}
+#: By element: the kinds whose start ends it, and those that it keeps within.
+_ENDS: dict[str, tuple[int, ...]] = {}
+_KEEPS: dict[str, tuple[int, ...]] = {}
+
+
+def _group() -> None:
+    names = sorted(BLOCK | set(ENDED_BY) | {"table", "td", "th", "ul", "ol", "dl"})
+    rules: dict[tuple, int] = {}
+    for tag in sorted(set().union(*ENDED_BY.values())):
+        rule = tuple((tag in ENDED_BY.get(n, ()), _blocks_way(n, tag)) for n in names)
+        _KINDS[tag] = rules.setdefault(rule, len(rules))
+    for at, n in enumerate(names):
+        _ENDS[n] = tuple(k for rule, k in rules.items() if rule[at][0])
+        _KEEPS[n] = tuple(k for rule, k in rules.items() if rule[at][1] and not rule[at][0])
+
+
+_group()
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -60,7 +100,7 @@ def _hides(raw: str) -> bool:
     if not _MAY_HIDE.search(raw):
         return False
     found = _attributes(raw)
-    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDING_STYLE.search(unescape(found.get("style", ""))))
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDING_STYLE.search(_unescaped(found.get("style", ""))))
 
 
 class _Lines:
@@ -138,6 +178,36 @@ class _Page:
         self.spans: list[int] = []
         self.lists: list[int | None] = []  # the next number of each open list, None for bullets
         self.pre = 0
+        # places in `open`, lowest first: of each tag, of blocks and of cells, and by kind of start tag what it ends and what keeps it in
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.cells: list[int] = []
+        self.ends: list[list[int]] = [[] for _ in range(max(_KINDS.values()) + 1)]
+        self.keeps: list[list[int]] = [[] for _ in range(max(_KINDS.values()) + 1)]
+
+    def _push(self, tag: str, hidden: bool) -> None:
+        place = len(self.open)
+        self.open.append((tag, hidden))
+        for held in self._held(tag):
+            held.append(place)
+
+    def _pop(self) -> tuple[str, bool]:
+        tag, hidden = self.open.pop()
+        for held in self._held(tag):
+            held.pop()
+        return tag, hidden
+
+    def _held(self, tag: str) -> Iterator[list[int]]:
+        """The lists of places that an element of this name is on."""
+        yield self.at.setdefault(tag, [])
+        if tag in BLOCK or tag in _CELLS:
+            yield self.blocks
+        if tag in _CELLS:
+            yield self.cells
+        for k in _ENDS.get(tag, ()):
+            yield self.ends[k]
+        for k in _KEEPS.get(tag, ()):
+            yield self.keeps[k]
 
     @property
     def hidden(self) -> bool:
@@ -145,12 +215,11 @@ class _Page:
 
     def text(self, data: str) -> None:
         if not self.hidden and data:
-            self.out[-1].add(unescape(data), self.pre > 0)
+            self.out[-1].add(_unescaped(data), self.pre > 0)
 
     def start(self, tag: str, attributes: str) -> None:
-        while self.open and tag in ENDED_BY.get(self._nearest(tag), ()):
-            if not self._close(self._nearest(tag)):
-                break
+        while name := self._nearest(tag):
+            self._close(name)
         hidden = self.hidden or tag in HIDDEN or bool(attributes and _hides(attributes))
         lines = self.out[-1]
         if tag in VOID:
@@ -160,7 +229,7 @@ class _Page:
                 else:
                     lines.end(blank=True)
             return
-        self.open.append((tag, hidden))
+        self._push(tag, hidden)
         if hidden:
             return
         if tag in ("td", "th"):
@@ -170,7 +239,7 @@ class _Page:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             found = _SPAN.match(_attributes(attributes).get("colspan", ""))
-            self.spans.append(min(MOST_SPANNED, int(found[1][:4])) if found else 1)
+            self.spans.append(min(MOST_SPANNED, int(found[1])) if found else 1)
             self.out.append(_Lines())
             return
         if tag in BLOCK:
@@ -179,7 +248,7 @@ class _Page:
             self.lists.append(1 if tag == "ol" else None)
         elif tag == "li" and self.lists:
             number = self.lists[-1]
-            lines.indent, lines.bullet = len(self.lists) - 1, "- " if number is None else f"{number}. "
+            lines.indent, lines.bullet = min(MOST_INDENTED, len(self.lists) - 1), "- " if number is None else f"{number}. "
             if number is not None:
                 self.lists[-1] = number + 1
         elif tag == "pre":
@@ -190,50 +259,36 @@ class _Page:
             self.tables[-1].append([])
 
     def _nearest(self, tag: str) -> str:
-        """The innermost open element that the start of tag could end."""
-        for name, _ in reversed(self.open):
-            if tag in ENDED_BY.get(name, ()):
-                return name
-            if name in WALLS.get(tag, ()) or name in TABLE_WALL or name in ("td", "th", "ul", "ol", "dl") or (name in BLOCK and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "li", "dt", "dd")):
-                return ""
-        return ""
+        """The innermost open element that the start of tag ends, empty if there is none within reach."""
+        kind = _KINDS.get(tag)
+        if kind is None or not self.ends[kind]:
+            return ""
+        place = self.ends[kind][-1]
+        return "" if self.keeps[kind] and self.keeps[kind][-1] > place else self.open[place][0]
 
     def end(self, tag: str) -> None:
-        if tag in ("br", "p") and not any(t == tag for t, _ in self.open):
-            self.start(tag, "")
-            if tag == "br":
-                return
-        for name, _ in reversed(self.open):
-            if name == tag:
-                if tag in BLOCK or tag in ENDED_BY or tag in HIDDEN or self.open[-1][0] == tag or not self._blocks_above(tag):
-                    self._close(tag)
-                return
-            if name == "table" and tag != "table" or name in ("td", "th") and tag in BLOCK - {"table", "tr"} and not self._inside_cell(tag):
+        places = self.at.get(tag)
+        if not places:
+            if tag in ("br", "p"):  # as browsers do
+                self.start(tag, "")
+            if tag != "p":
                 return
-
-    def _blocks_above(self, tag: str) -> bool:
-        """Whether a block is open inside the innermost `tag`: then its end tag is misplaced and has no bearing on the text."""
-        for name, _ in reversed(self.open):
-            if name == tag:
-                return False
-            if name in BLOCK or name in ("td", "th"):
-                return True
-        return False
-
-    def _inside_cell(self, tag: str) -> bool:
-        for name, _ in reversed(self.open):
-            if name == tag:
-                return True
-            if name in ("td", "th"):
-                return False
-        return False
+            places = self.at["p"]
+        place = places[-1]
+        if tag != "table" and self.at.get("table") and self.at["table"][-1] > place:
+            return
+        if tag in BLOCK - {"table", "tr"} and self.cells and self.cells[-1] > place:
+            return
+        # an inline element's end tag is misplaced if a block is open in it; then it has no bearing on the text
+        if tag in BLOCK or tag in ENDED_BY or tag in HIDDEN or place == len(self.open) - 1 or not (self.blocks and self.blocks[-1] > place):
+            self._close(tag)
 
     def _close(self, tag: str) -> bool:
         """Ends the innermost `tag` and all that is open in it."""
         if not tag:
             return False
         while self.open:
-            name, hidden = self.open.pop()
+            name, hidden = self._pop()
             if not hidden:
                 self._ended(name)
             if name == tag:
@@ -259,7 +314,7 @@ class _Page:
         if tag in BLOCK:
             lines.end(blank=tag in SPACED and not (tag in ("ul", "ol") and self.lists))
         if tag == "li":
-            lines.bullet, lines.indent = "", max(0, len(self.lists) - 1)
+            lines.bullet, lines.indent = "", min(MOST_INDENTED, max(0, len(self.lists) - 1))
         if tag in ("ul", "ol") and not self.lists:
             lines.indent = 0
 
@@ -270,13 +325,23 @@ class _Page:
 
 
 def render(html: str | None) -> str:
-    """The page's visible text; null and empty pages give an empty one."""
+    """The page's visible text; null and empty pages give an empty one. Time follows the page's length."""
     if not html:
         return ""
-    page, at = _Page(), 0
-    while found := _TAG.search(html, at):
-        page.text(html[at : found.start()])
-        at = found.end()
+    page, at, seek = _Page(), 0, 0
+    last = html.rfind(">") + 1  # no tag ends beyond
+    while (begin := html.find("<", seek)) >= 0:
+        if begin >= last and not html.startswith("<!--", begin):
+            seek = html.find("<!--", begin)  # a comment may go on to the end
+            if seek < 0:
+                break
+            continue
+        found = _TAG.match(html, begin)
+        if not found:
+            seek = begin + 1
+            continue
+        page.text(html[at:begin])
+        at = seek = found.end()
         name = found[2] or found[5]
         if not name:
             continue
@@ -286,20 +351,22 @@ def render(html: str | None) -> str:
             continue
         page.start(name, found[3] or found[6] or "")
         if name in RAW:  # its text has no tags
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(html, at, max(at, last))
             if not page.hidden:
                 page.text(html[at : close.start() if close else len(html)])
-            at = close.end() if close else len(html)
+            at = seek = close.end() if close else len(html)
             page.end(name)
     page.text(html[at:])
     return page.finish()
 
 
 def extract(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
-    """pages with `html` replaced by its text (string). Null pages give an empty text; repeated rows repeat, other columns stay.
+    """pages with `html` replaced by its text (string). Null pages give an empty text; repeated rows repeat, other columns stay,
+    but for one that has the name of the text, which is replaced.
 
     A page is held whole by one task, as its layout can depend on all of it.
     """
+    pages = without(pages, [name], html)
     out, place = unused(pages, "_text"), pages.columns.index(html)
     schema = T.StructType([*pages.drop(html).schema.fields, T.StructField(out, T.StringType())])
 

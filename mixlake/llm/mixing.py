@@ -2,131 +2,117 @@
 
 Documents of a source are shuffled by a keyed hash and queued, up to EPOCHS times over. A document's
 virtual finish time is its source's cumulative words divided by its source's target. All sources'
-queues are merged by finish time and cut where the words reach the total budget. The cumulative words
-are summed in two steps, within ranges of the hash and then over the ranges, so one huge source is
-never in one task.
+queues are merged by a global range sort on finish time and truncated where the words reach the total
+budget. Sums along an order are made range by range, so one huge source, or a million equal rows, are never in one task.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixlake.llm.shared import WORD, materialize, table, unused
+from mixlake.operators.ordering import running_sums
 
 EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Rows of one source that meet in one window, about.
-RANGE_ROWS = 2_000
-#: Parts into which an interval of finish times is divided in one pass, and entries at which the search for the cut ends.
-PARTS, ENTRIES = 1024, 4096
+#: Equal rows that one task numbers.
+COPIES = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, rank, source_size, rows, target) from (source, size).
+    """(source, rank, source_size, before, target) from (source, size); before: the words of the sources of smaller ranks.
 
     Sources by code point, null last, take `weights` in turn and share all words by weight. A target
     stops at `epochs` times its source's size and its excess goes to the others by weight: in order of
-    size per weight, sources are full up to the first that isn't at the water level that remains. The
-    windows here hold one row per source.
+    size per weight, sources are full up to the first that isn't at the water level that remains.
     """
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    one = one.select("source", "source_size", "rows", rank.alias("rank"))
+    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    one = running_sums(one, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1), "upto": "source_size"})
+    one = one.select("source", "source_size", (F.col("rank") - 1).alias("rank"), (F.col("upto") - F.col("source_size")).alias("before"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    one = one.select("*", weight.alias("w"), (F.lit(float(epochs)) * F.col("source_size")).alias("cap"))
-    order = W.orderBy(F.col("cap") / F.col("w"), "rank")
-    everything = W.partitionBy()
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - before) / after
-    one = one.withColumn("level", level).withColumn("place", F.row_number().over(order))
-    open_ = F.when(F.col("cap") > F.col("w") * F.col("level"), F.struct("place", "level"))
-    water = F.min(open_).over(everything)["level"]
-    return one.select("source", "rank", "source_size", "rows", F.coalesce(F.least("cap", F.col("w") * water), F.col("cap")).alias("target"))
+    one = one.withColumns({"w": weight, "cap": F.lit(float(epochs)) * F.col("source_size")})
+    total, all_weights = one.agg(F.sum("source_size"), F.sum("w")).first()
+    one = running_sums(one, [F.col("cap") / F.col("w"), F.col("rank")], {"place": F.lit(1), "caps": "cap", "ws": "w"})
+    level = F.try_divide(F.lit(float(total or 0)) - F.col("caps") + F.col("cap"), F.lit(float(all_weights or 0)) - F.col("ws") + F.col("w"))
+    found = one.where(F.col("cap") > F.col("w") * level).agg(F.min(F.struct("place", level.alias("level"))).alias("x")).first()
+    water = F.lit(found.x.level if found.x else None).cast("double")
+    return one.select("source", "rank", "source_size", "before", F.coalesce(F.least("cap", F.col("w") * water), F.col("cap")).alias("target"))
 
 
 def queue(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
-    """sizes (doc_id, source, size) with rank, source_size, target and `done`: its source's words up to and with it, in shuffled order."""
-    mixed = F.xxhash64(F.lit(seed), "doc_id", "size")
-    bits = F.greatest(F.ceil(F.log2(F.col("rows") / RANGE_ROWS)), F.lit(0)).cast("int")  # a source's ranges follow its rows
-    part = F.when(F.col("_bits") > 0, F.expr("shiftrightunsigned(_h, 64 - _bits)")).otherwise(0)
+    """sizes (doc_id, source, size) with copy, rank, source_size, target, h and `done`: its source's words up to and with it, in shuffled order.
+
+    Equal rows are told apart by `copy`, which counts them from 0: a sum by partial aggregates, then numbered in portions.
+    """
+    same = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n"))
+    portions = same.withColumn("_portion", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    many = portions.where(f"_n > {COPIES}").repartition("doc_id", "source", "size", "_portion").unionByName(portions.where(f"_n <= {COPIES}"))
+    copies = many.withColumn("copy", F.explode(F.expr(f"sequence(_portion * {COPIES}, least(_n, (_portion + 1) * {COPIES}) - 1)"))).drop("_n", "_portion")
+    key = F.concat_ws(" ", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "size", "copy")
     goals = goals.withColumnRenamed("source", "_source")
-    dealt = sizes.withColumn("_h", mixed).join(goals.withColumn("_bits", bits), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_part", part).drop("_source", "_bits", "rows")
-    sums = dealt.groupBy("rank", "_part").agg(F.sum("size").alias("_sum"))
-    ahead = F.coalesce(F.sum("_sum").over(W.partitionBy("rank").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("rank", "_part", ahead.alias("_ahead"))
-    within = F.sum("size").over(W.partitionBy("rank", "_part").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    dealt = dealt.withColumn("_within", within).join(sums, ["rank", "_part"])
-    return dealt.withColumn("done", F.col("_within") + F.col("_ahead")).drop("_h", "_part", "_within", "_ahead")
-
-
-def _finish(epoch: int) -> F.Column:
-    return F.try_divide((F.lit(epoch) * F.col("source_size") + F.col("done")).cast("double"), F.col("target"))
-
-
-def cut(queued: DataFrame, budget: int, epochs: int = EPOCHS) -> tuple[float, int]:
-    """(finish time, rank of source) of the last entry before the words of all entries, merged in this order, exceed budget."""
-    entries = queued.where("size > 0 and target > 0").select("rank", "size", F.explode(F.array(*(_finish(e) for e in range(epochs)))).alias("v"))
-    low, high, spent = 0.0, float(entries.agg(F.max("v")).first()[0] or 0.0), 0
-    high = math.nextafter(high, math.inf)
-    while True:
-        width = (high - low) / PARTS
-        if width <= 0 or low + width <= low:
-            break
-        inside = entries.where((F.col("v") >= low) & (F.col("v") < high))
-        part = F.least(F.floor((F.col("v") - low) / width), F.lit(PARTS - 1))
-        found = sorted(inside.groupBy(part.alias("part")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect())
-        if sum(r.n for r in found) <= ENTRIES:
-            break
-        for r in found:
-            if spent + r.s > budget:
-                break
-            spent += r.s
-        else:
-            return math.inf, 0
-        if (r.least, r.most) == (low, math.nextafter(high, -math.inf)):
-            break
-        low, high = r.least, math.nextafter(r.most, math.inf)
-    last = (-math.inf, -1) if low == 0.0 else (math.nextafter(low, -math.inf), 1 << 30)
-    inside = entries.where((F.col("v") >= low) & (F.col("v") < high)).orderBy("v", "rank")
-    for r in inside.toLocalIterator():
-        if spent + r["size"] > budget:
-            return last
-        spent, last = spent + r["size"], (r.v, r["rank"])
-    return math.inf, 0
+    dealt = copies.withColumn("h", F.md5(key.cast("binary"))).join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    summed = running_sums(dealt, ["rank", "h", "doc_id", "size", "copy"], {"done": "size"})
+    return summed.withColumn("done", F.col("done") - F.col("before")).drop("before")
+
+
+def merged(queued: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """All entries of the queues in the order of their finish times: doc_id, rank, size, copy, v, and spent, the words up to and with each."""
+    times = F.array(*(F.try_divide((F.lit(e) * F.col("source_size") + F.col("done")).cast("double"), F.col("target")) for e in range(epochs)))
+    entries = queued.select("doc_id", "rank", "size", "copy", "h", F.explode(times).alias("v"))
+    return running_sums(entries, ["v", "rank", "h", "doc_id", "copy"], {"spent": "size"})
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, times, taken.
+    """One row per document: doc_id, size, source_size, target, times, taken, source.
 
     size counts words (null text: 0); times says how often the mix takes the document, at most
     `epochs`; taken is size times that. Null sources are one source, sorted last. Repeated rows queue
-    each; equal hashes are ordered by doc_id and size, so reruns agree whatever the partitions. Empty
-    documents have no finish time of their own and are taken 0 times. Other columns are left out,
+    each; the order depends on values only, so reruns agree whatever the partitions. Empty
+    documents have no words to take and are taken 0 times. Other columns are left out,
     whatever their names. An empty table gives an empty one.
     """
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = materialize(sizes, "sizes")
     goals = materialize(targets(sizes, weights, epochs), "targets")
-    queued = materialize(queue(sizes, goals, seed), "queue")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    at, rank = cut(queued, total, epochs)
-    in_time = lambda v: (v < F.lit(at)) | ((v == F.lit(at)) & (F.col("rank") <= F.lit(rank)))
-    times = sum(F.when((F.col("size") > 0) & (F.col("target") > 0) & in_time(_finish(e)), 1).otherwise(0) for e in range(epochs))
-    return queued.select("doc_id", "size", "source_size", "target", times.alias("times")).withColumn("taken", F.col("size") * F.col("times"))
-
-
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. doc_id names a document; rows that repeat it share its largest count, rows without it go."""
-    key, times = unused(docs, "_key"), unused(docs, "_times")
-    plan = mix(docs, doc_id, **options).where("times > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("times").alias(times)).hint("merge")  # one plan at every size: the plan has a row per document
-    rows = docs.join(plan, F.col(doc_id) == F.col(key)).withColumn(times, F.explode(F.sequence(F.lit(1), times)))
-    return rows.select(*docs.columns)
+    queued = queue(sizes, goals, seed)
+    budget = sizes.agg(F.sum("size")).first()[0] or 0
+    in_time = F.count_if((F.col("spent") <= budget) & (F.col("size") > 0)).cast("int")
+    times = merged(queued, epochs).groupBy("doc_id", "rank", "size", "copy").agg(in_time.alias("times"))
+    goals = goals.withColumnRenamed("rank", "_rank")
+    return times.join(goals, F.col("rank") == F.col("_rank")).select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, also rows without doc_id. Rows that agree in doc_id, source and size share their turns evenly, rounded up."""
+    key, times, size = unused(docs, "_key"), unused(docs, "_times"), unused(docs, "_size")
+    own = lambda i, s, n: F.xxhash64(i, s, n)
+    plan = mix(docs, doc_id, source, text, **options).groupBy("doc_id", "source", "size").agg(F.ceil(F.avg("times")).cast("int").alias(times)).where(F.col(times) > 0)
+    plan = plan.select(own("doc_id", "source", "size").alias(key), *(F.col(c).alias(f"_plan_{c}") for c in ("doc_id", "source", "size")), times)
+    plan = plan.hint("merge")  # one plan at every size: the plan has a row per document
+    rows = docs.withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    left = [rows[doc_id], rows[source], rows[size]]
+    same = [a.eqNullSafe(plan[f"_plan_{c}"]) for a, c in zip(left, ("doc_id", "source", "size"), strict=True)]
+    both = rows.join(plan, (own(*left) == plan[key]) & same[0] & same[1] & same[2])
+    return both.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(rows[c] for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same in DuckDB's SQL. Equal rows are numbered in any order, as they are alike.
+SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+one AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+capped AS (SELECT *, CAST([5, 2, 1][CAST(rank % 3 + 1 AS INT)] AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM one),
+levels AS (SELECT *, row_number() OVER o AS place, ((SELECT sum(source_size) FROM one) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped WINDOW o AS (ORDER BY cap / w, rank)),
+goals AS (SELECT source, rank, source_size, coalesce(least(cap, w * (SELECT arg_min(level, place) FROM levels WHERE cap > w * level)), cap) AS target FROM levels),
+copied AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM sized),
+hashed AS (SELECT *, md5(concat_ws(' ', 0, coalesce(CAST(doc_id AS VARCHAR), '-'), size, copy)) AS h FROM copied),
+queued AS (SELECT c.*, g.rank, g.source_size, g.target, sum(c.size) OVER (PARTITION BY g.rank ORDER BY h, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS done FROM hashed c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
+entries AS (SELECT q.*, CASE WHEN target > 0 THEN CAST(e * source_size + done AS DOUBLE) / target END AS v FROM queued q, (SELECT unnest([0, 1, 2]) AS e)),
+merged AS (SELECT *, sum(size) OVER (ORDER BY v NULLS FIRST, rank, h, doc_id, copy ROWS UNBOUNDED PRECEDING) AS spent FROM entries)
+SELECT doc_id, size, source_size, target, CAST(size * count(*) FILTER (WHERE size > 0 AND spent <= (SELECT sum(size) FROM sized)) AS BIGINT) AS taken
+FROM merged GROUP BY doc_id, rank, size, copy, source_size, target
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, module in OPERATORS.items() if (sql := getattr(importlib.import_module(f"mixlake.llm.{module}"), "SQL", None))}

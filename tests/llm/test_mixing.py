@@ -1,3 +1,7 @@
+import hashlib
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,8 +34,7 @@ def corpus(spark):
 
 
 def test_mix_follows_the_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
-    monkeypatch.setattr(mixing, "ENTRIES", 20)
+    monkeypatch.setattr(mixing, "COPIES", 3)
     rows, docs = corpus(spark)
     sizes = {}
     for _, t, s, _ in rows:
@@ -58,12 +61,39 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert sum(x[5] for x in a) <= sum(x[1] for x in a)
 
 
-def test_cut_is_the_longest_prefix_of_the_merged_queues(spark, monkeypatch):
-    _, docs = corpus(spark)
-    whole = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
-    monkeypatch.setattr(mixing, "ENTRIES", 3)
-    monkeypatch.setattr(mixing, "PARTS", 4)
-    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == whole
+def slow_mix(rows):
+    """(doc_id, size, source) and how often it is taken, for each row."""
+    seen, docs, sizes = {}, [], {}
+    for i, t, s, _ in rows:
+        key = (i, s, len((t or "").split()))
+        docs.append((*key, seen.setdefault(key, 0)))
+        seen[key] += 1
+        sizes[s] = sizes.get(s, 0) + key[2]
+    goal, entries = slow_targets(sizes), []
+    for rank, s in enumerate([*sorted((x for x in sizes if x is not None), key=lambda x: x.encode()), None]):
+        done = 0
+        for h, i, n, c in sorted((hashlib.md5(f"0 {'-' if i is None else i} {n} {c}".encode()).hexdigest(), i, n, c) for i, x, n, c in docs if x == s):
+            done += n
+            entries += [((e * sizes[s] + done) / goal[s], rank, h, (i, s, n, c)) for e in range(3) if n]
+    times, spent = dict.fromkeys(docs, 0), 0
+    for _, _, _, d in sorted(entries):
+        spent += d[2]
+        if spent > sum(sizes.values()):
+            break
+        times[d] += 1
+    return Counter((i, n, s, k) for (i, s, n, _), k in times.items())
+
+
+def test_merge_and_cut_match_brute_force(spark):
+    rows, docs = corpus(spark)
+    rows = rows + [(9, "same", "b", 1)] * 20
+    docs = spark.createDataFrame(rows, docs.schema).repartition(5)
+    got = Counter((r.doc_id, r["size"], r.source, r.times) for r in mixing.mix(docs).collect())
+    assert got == slow_mix(rows)
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    sql = Counter((x[0], x[1], x[4]) for x in db.sql(mixing.SQL).fetchall())
+    assert sql == Counter((i, n, n * k) for (i, n, _, k), m in got.items() for _ in range(m))
 
 
 def test_mixed_documents_and_empty(spark):
@@ -73,3 +103,13 @@ def test_mixed_documents_and_empty(spark):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 9  # three rows of one doc_id, three times each
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("source = 'none'")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_mixed_documents_follow_the_plan_also_without_ids(spark):
+    rows, docs = corpus(spark)
+    want = Counter()
+    for (i, n, s, k), m in slow_mix(rows).items():
+        want[(i, n, s)] += k * m
+    got = Counter((r.doc_id, len((r.text or "").split()), r.source) for r in mixing.mixed_documents(docs).collect())
+    assert got[(None, 2, "a")] > 0
+    assert all(got[x] == k for x, k in want.items() if x[0] not in (5, 7)) and all(k <= got[x] <= k + 1 for x, k in want.items())

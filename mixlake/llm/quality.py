@@ -1,11 +1,11 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
 A rule rejects a text whose feature exceeds a cutoff. In each stratum (language), labelled good
-documents are a holdout: going from the loosest cutoff of a fixed ladder to stricter ones, a cutoff
-passes while the exact binomial probability of seeing so few rejected good documents, were the rate
-RISK, is at most CONFIDENCE / (rules x strata). Testing in this fixed order, with that correction over
-rules and strata, bounds by CONFIDENCE the chance that any chosen cutoff rejects more than RISK of its
-stratum's good documents. A stratum with too few labels gets no cutoff and loses nothing.
+documents are a holdout. All rules go down their fixed ladders of cutoffs together, from the loosest on; a
+step passes while the exact binomial probability of seeing so few good documents rejected by any rule, were the rate
+RISK, is at most CONFIDENCE / strata. Testing in this fixed order, with that correction over
+strata, bounds by CONFIDENCE the chance that in any stratum the rules together reject more than RISK of the
+good documents. A stratum with too few labels gets no cutoff and loses nothing.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlake.llm.shared import materialize, table, unused
+from mixlake.llm.shared import materialize, table, unused, without
 
-#: Rate of good documents that one rule may reject in a stratum, and the chance that any rule exceeds it.
+#: Rate of good documents that all rules together may reject in a stratum, and the chance that any stratum exceeds it.
 RISK, CONFIDENCE = 0.01, 0.05
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: A rule's feature, and its ladder of cutoffs from loose to strict. Fixed before any label is seen.
@@ -62,21 +62,22 @@ def _repeated(words: list[bytes]) -> int:
     return total
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with a struct column `_counts` of COUNTS (longs)."""
-    place = docs.columns.index(text)
+def with_counts(docs: DataFrame, text: str = "text", name: str = "_counts", keep: bool = False) -> DataFrame:
+    """docs without its text (with it, if keep), with a struct column `name` of COUNTS (longs), which replaces one of that name."""
+    docs = without(docs, [name], text)
+    place, out = docs.columns.index(text), unused(docs, "_new")
     struct = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-    schema = T.StructType([*docs.drop(text).schema.fields, T.StructField("_counts", struct)])
+    schema = T.StructType([*(docs if keep else docs.drop(text)).schema.fields, T.StructField(out, struct)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_counts(x) for k in range(0, batch.num_rows, 256) for x in batch.column(place).slice(k, 256).to_pylist()]
             cols = np.array(rows, np.int64).reshape(-1, len(COUNTS))
             counts = pa.StructArray.from_arrays([pa.array(cols[:, i]) for i in range(len(COUNTS))], names=COUNTS)
-            rest = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != place]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), counts], names=[*(n for n, _ in rest), "_counts"])
+            rest = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if keep or i != place]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), counts], names=[*(n for n, _ in rest), out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).withColumnRenamed(out, name)
 
 
 def _features(c: str = "_counts") -> dict[str, F.Column]:
@@ -113,35 +114,49 @@ def choose_cutoff(rejected: list[int], n: int, risk: float, level: float) -> int
     return len(rejected)
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "_stratum", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected): the chosen cutoffs; a rule without a guarantee in a stratum has no row.
+def _stratum(lang: str) -> F.Column:
+    """A null language is a stratum of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit(""))
 
-    counted: doc_id, the stratum and _counts. labels: doc_id, quality; a document counts as good if all
-    its labels say 1, else as bad. Of the cutoffs that pass, the one with most bad less good documents
+
+def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "_stratum", counts: str = "_counts", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(stratum, cut, n_good, n_rejected): cut maps each rule to its cutoff; a stratum without a guarantee has no row.
+
+    counted: doc_id, the stratum and the counts. labels: doc_id, quality; a document counts as good if all
+    its labels say 1, else as bad. It counts once, however many rows have its doc_id: in its smallest
+    stratum, by its worst values. Of the steps that pass, the one with most bad less good documents
     rejected is taken, the loosest if several are equal: all that pass hold their guarantee, so this
-    choice keeps it. Only counts by stratum, rule and rung are shuffled.
+    choice keeps it. Only counts by stratum and step are sent on.
     """
     label = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_q"))
-    held = counted.where(~_base_failed()).join(label, F.col("doc_id") == F.col("_labelled"))
-    names, features = list(RULES), _features()
-    # the rung of a value: how many cutoffs of the ladder it exceeds, counted from the strictest
-    rungs = [F.struct(F.lit(r).alias("rule"), sum((features[r] > F.lit(c)).cast("int") for c in RULES[r]).alias("rung")) for r in names]
-    tally = held.select(F.col(stratum).alias("stratum"), (F.col("_q") == 1).alias("good"), F.explode(F.array(*rungs)).alias("x"))
-    tally = tally.groupBy("stratum", "x.rule", "x.rung").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("n_bad"))
+    steps, features = len(LADDER), _features(counts)
+    # how many steps, counted from the strictest, reject the text by any rule
+    rung = F.greatest(*(sum((features[r] > F.lit(c)).cast("int") for c in ladder) for r, ladder in RULES.items()))
+    slim = counted.where(~_base_failed(counts)).select("doc_id", F.col(stratum).alias("stratum"), rung.alias("rung"))
+    held = slim.join(label, F.col("doc_id") == F.col("_labelled")).groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.max("rung").alias("rung"), F.min("_q").alias("_q"))
+    tally = held.groupBy("stratum", "rung").agg(F.count_if(F.col("_q") == 1).alias("n"), F.count_if(F.col("_q") != 1).alias("n_bad"))
     tally = materialize(tally, "tally")
-    strata = max(1, tally.select("stratum").distinct().count())
-    level = confidence / (len(names) * strata)
+    level = confidence / max(1, tally.select("stratum").distinct().count())
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ladder, n = RULES[key[1]], int(pdf["n"].sum())
-        # cutoffs fall along the ladder: a value above the i-th of them exceeds that and all stricter ones, len - i in all
-        rejected, caught = ([int(pdf.loc[pdf["rung"] >= len(ladder) - i, c].sum()) for i in range(len(ladder))] for c in ("n", "n_bad"))
+        n = int(pdf["n"].sum())
+        # a text that step i rejects is rejected by all stricter ones too: steps - i of them and itself
+        rejected, caught = ([int(pdf.loc[pdf["rung"] >= steps - i, c].sum()) for i in range(steps)] for c in ("n", "n_bad"))
         passed = range(choose_cutoff(rejected, n, risk, level))
         best = max(passed, key=lambda i: (caught[i] - rejected[i], -i), default=None)
-        rows = [] if best is None else [(key[0], key[1], ladder[best], n, rejected[best])]
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "n_rejected"])
+        rows = [] if best is None else [(key[0], {r: ladder[best] for r, ladder in RULES.items()}, n, rejected[best])]
+        return pd.DataFrame(rows, columns=["stratum", "cut", "n_good", "n_rejected"])
+
+    return tally.groupBy("stratum").applyInPandas(choose, "stratum string, cut map<string,double>, n_good long, n_rejected long")
 
-    return tally.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double, n_good long, n_rejected long")
+
+def _judged(counted: DataFrame, labels: DataFrame, doc_id: str, stratum: str, counts: str, risk: float, confidence: float) -> tuple[DataFrame, F.Column, F.Column]:
+    """counted with its stratum's cutoffs, whether the base fails, and the rules exceeded, comma-joined."""
+    chosen = cutoffs(counted.select(F.col(doc_id).alias("doc_id"), stratum, counts), labels, stratum, counts, risk, confidence)
+    cut = unused(counted, "_cut")
+    wide = materialize(chosen.select(F.col("stratum").alias(f"{cut}_of"), F.col("cut").alias(cut)), "cutoffs")
+    over = [F.when(value > F.try_element_at(cut, F.lit(rule)), F.lit(rule)) for rule, value in _features(counts).items()]
+    return counted.join(wide, F.col(stratum) == F.col(f"{cut}_of"), "left"), _base_failed(counts), F.concat_ws(",", *over)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
@@ -151,22 +166,20 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     null or unlabelled doc_id is judged, but calibrates nothing. Repeated rows are judged each. With no
     labels at all only the base decides. Other columns are left out, whatever their names.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_stratum"), F.col(text).alias("_text"))
-    counted = materialize(with_counts(slim, "_text"), "counts")
-    chosen = cutoffs(counted, labels, risk=risk, confidence=confidence)
-    wide = materialize(chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut")), "cutoffs")
-    both = counted.join(wide, F.col("_stratum") == F.col("stratum"), "left")
-    over = [F.when(value > F.try_element_at("_cut", F.lit(rule)), F.lit(rule)) for rule, value in _features().items()]
-    failed = _base_failed()
-    reasons = F.concat_ws(",", *over)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), _stratum(lang).alias("_stratum"), F.col(text).alias("_text"))
+    both, failed, reasons = _judged(materialize(with_counts(slim, "_text"), "counts"), labels, "doc_id", "_stratum", "_counts", risk, confidence)
     return both.select("doc_id", "_counts.*", failed.alias("base_failed"), (~failed & (reasons == "")).alias("kept"), reasons.alias("reasons"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is kept; rows with a null doc_id can't be matched and go."""
-    kept = unused(docs, "_kept")
-    verdict = judge(docs, labels, **options).where("kept").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col(kept), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """The rows of docs that judge() keeps, each by its own text, also those without doc_id.
+
+    The rows are written once with their counts, as the cutoffs need those of all labelled ones; texts aren't shuffled.
+    """
+    stratum, counts = unused(docs, "_stratum"), unused(docs, "_counts")
+    counted = materialize(with_counts(docs.withColumn(stratum, _stratum(lang)), text, counts, keep=True), "counts")
+    both, failed, reasons = _judged(counted, labels, doc_id, stratum, counts, risk, confidence)
+    return both.where(~failed & (reasons == "")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

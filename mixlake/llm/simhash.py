@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlake.llm.components import connected_components
-from mixlake.llm.shared import materialize, table, unused
+from mixlake.llm.shared import materialize, table, unused, without
 
 BITS = 64
 #: A bucket with more fingerprints than this is dealt again.
@@ -29,17 +29,17 @@ BUCKET = 4096
 #: Seconds for a row that is shuffled, and for a pair that is compared: the weights of the plan's cost.
 ROW_S, PAIR_S = 1e-6, 1e-8
 LEVELS = 4
-PARTS = 4
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42, name: str = "fingerprint") -> DataFrame:
-    """Adds the column `name` (long: the 64 bits) and keeps all others.
+    """Replaces the text by the column `name` (long: the 64 bits), also one that has this name already, and keeps all others.
 
     Words are runs of anything but space and \\t-\\r, A-Z lower-cased; shingles of `shingle` words
     count as often as they occur, fewer words make one shingle. A bit is set if more than half of the
     shingles' XXH64 values have it. Null and empty texts and texts without words get 0.
     Very long texts are hashed in pieces, so memory follows the words of one text.
     """
+    docs = without(docs, [name], text)
     out = unused(docs, "_fp")
     schema = T.StructType([*docs.drop(text).schema.fields, T.StructField(out, T.LongType())])
     place = docs.columns.index(text)
@@ -180,8 +180,8 @@ def _deal(prints: DataFrame, groups: list[tuple[int, int]]) -> DataFrame:
     return prints.select("fingerprint").mapInArrow(run, _BUCKETS)
 
 
-def _split(buckets: DataFrame) -> DataFrame:
-    """Deals the rows of crowded buckets again: links agree on one of PARTS parts of the bits not yet fixed."""
+def _split(buckets: DataFrame, parts: int) -> DataFrame:
+    """Deals the rows of crowded buckets again: links that differ in fewer than `parts` bits agree on one of as many parts of the bits not yet fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +190,8 @@ def _split(buckets: DataFrame) -> DataFrame:
             for mask in np.unique(fixed):
                 rows = fixed == mask
                 free = [b for b in range(BITS) if not int(mask) >> b & 1]
-                for j in range(PARTS):
-                    part = np.uint64(sum(1 << b for b in free[j::PARTS]))
+                for j in range(parts):
+                    part = np.uint64(sum(1 << b for b in free[j::parts]))
                     yield _arrow(_key(key[rows] + np.uint64(j + 1), x[rows] & part), np.full(rows.sum(), mask | part, np.uint64), own[rows], x[rows])
 
     return buckets.mapInArrow(run, _BUCKETS)
@@ -283,7 +283,7 @@ def links(prints: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFra
             break
         crowded = materialize(crowded, "crowded")
         ready.append(todo.join(crowded, "key", "left_anti"))
-        todo = materialize(_split(todo.join(crowded, "key", "left_semi").select("key", "fixed", "own", "fingerprint")), "split")
+        todo = materialize(_split(todo.join(crowded, "key", "left_semi").select("key", "fixed", "own", "fingerprint"), distance + 1), "split")
     out = None
     for part in ready:
         found = _link(part.select("key", "fixed", "own", "fingerprint").repartition("key").sortWithinPartitions("key"), distance)
@@ -291,6 +291,12 @@ def links(prints: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFra
     return out
 
 
+def _grouped(nodes: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """nodes (a row for each fingerprint) with component, the smallest fingerprint that each reaches."""
+    member = connected_components(links(nodes.select("fingerprint"), distance, bucket))
+    return nodes.join(member, F.col("fingerprint") == F.col("node"), "left").drop("node")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id, the smallest doc_id of all it is linked with.
 
@@ -300,18 +306,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, seed), "prints")
     nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    member = connected_components(links(nodes.select("fingerprint"), distance, bucket))
-    linked = nodes.join(member, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", "component")
+    linked = _grouped(nodes, distance, bucket)
     lowest = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
     named = linked.join(lowest, "component", "left").select("fingerprint", F.coalesce("lowest", "least").alias("component_id"))
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row for each such doc_id; rows without doc_id stay."""
-    verdict = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.where("doc_id is not null").join(verdict, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component of docs: that of the smallest doc_id; of several rows with this id the one of the smallest text hash.
+
+    Rows without doc_id come last: one stays if its component has no other. Rows of one doc_id whose texts aren't
+    linked are in different components, so each stays. Texts are shuffled once, to meet the verdict.
+    """
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    rows = materialize(fingerprints(slim, "text", shingle, seed), "prints")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = materialize(rows.groupBy("fingerprint").agg(F.min(rank).alias("first")), "nodes")
+    linked = _grouped(nodes, distance, bucket)
+    first = linked.groupBy(F.coalesce("component", "fingerprint")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    ids, keys, both = unused(docs, "_ids"), unused(docs, "_keys"), unused(docs, "_both")
+    own = lambda i, k: F.xxhash64(i, k)
+    first = first.select(F.col("doc_id").alias(f"{ids}_1"), F.col("text_key").alias(f"{keys}_1"), own("doc_id", "text_key").alias(f"{both}_1"))
+    marked = docs.withColumn(keys, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(both, own(F.col(doc_id), F.col(keys)))
+    # one plan at every size: the verdict has a row per component
+    kept = marked.join(first.hint("merge"), (F.col(both) == F.col(f"{both}_1")) & F.col(doc_id).eqNullSafe(F.col(f"{ids}_1")) & (F.col(keys) == F.col(f"{keys}_1")), "left_semi")
+    return kept.dropDuplicates([both, keys, doc_id]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlake.llm.shared import table, unused
+from mixlake.llm.shared import table, unused, without
 
 #: Entries of a worker's caches of pieces and of token pairs; a full cache is emptied.
 PIECES, PAIRS = 250_000, 250_000
@@ -36,9 +36,13 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: length of the longest token that ends in each byte
+        self.reach = [0] * 256
+        for token in ranks:
+            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merged(self, piece: bytes, below: float = math.inf) -> list[bytes]:
@@ -83,12 +87,13 @@ class PrefixBPE:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border comes before both of its sides are used up."""
-        key = (a, b)
-        if key not in self.pairs:
+        key = a << 32 | b
+        found = self.pairs.get(key)
+        if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = self._compatible(a, b)
-        return self.pairs[key]
+            found = self.pairs[key] = self._compatible(a, b)
+        return found
 
     def _compatible(self, a: int, b: int) -> bool:
         ranks = self.ranks
@@ -105,11 +110,19 @@ class PrefixBPE:
 
     def grow(self, last: list[int], piece: bytes, until: int | None = None) -> None:
         """Adds to `last`, the last tokens of the first prefixes of piece, those of the longer ones."""
-        ranks = self.ranks
+        token_of, known, reach = self.ranks.get, self.pairs.get, self.reach
         for end in range(len(last) + 1, (len(piece) if until is None else until) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = ranks.get(piece[begin:end])
-                if token is not None and (self.compatible(last[begin - 1], token) if begin else self.stands(token)):
+            for begin in range(max(0, end - reach[piece[end - 1]]), end):
+                token = token_of(piece[begin:end])
+                if token is None:
+                    continue
+                if begin:
+                    fits = known(last[begin - 1] << 32 | token)
+                    if fits is None:
+                        fits = self.compatible(last[begin - 1], token)
+                else:
+                    fits = self.stands(token)
+                if fits:
                     last.append(token)
                     break
             else:
@@ -205,7 +218,8 @@ def default_pattern() -> str:
 
 
 def _mapped(docs: DataFrame, text: str, path: str | None, pattern: str | None, fields: list[T.StructField], one) -> DataFrame:
-    """docs without its text and with `fields`, which one(bpe, pieces) gives."""
+    """docs without its text and with `fields`, which one(bpe, pieces) gives; columns of their names are replaced."""
+    docs = without(docs, [f.name for f in fields], text)
     path, pattern = path or default_path(), pattern or default_pattern()
     place = docs.columns.index(text)
     names = [unused(docs, f"_new_{f.name}") for f in fields]

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlake.llm.shared import table, unused
+from mixlake.llm.shared import table, unused, without
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 16, 12, (1, 2, 3)
 PREFIX = 6
-#: The fit's bounds: labelled rows of each class, and characters of a text; longer ones aren't learned from.
+#: The fit's bounds: labelled rows of each class, and characters of a text; longer ones aren't candidates for these rows.
 CLASS_ROWS, TRAIN_CHARS = 3000, 20_000
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
 THRESHOLD = 0.7
@@ -226,19 +226,23 @@ def learnable(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, seed: int = 0) -> Model:
     """Learns from at most class_rows labelled rows of each class, those of the smallest hashes of doc_id.
 
-    docs: doc_id, text, lang. Labels that are null, conflict or have no document are left out. Every fifth
+    docs: doc_id, text, lang. Labels that are null, conflict or have no document of at most TRAIN_CHARS characters are
+    left out before rows are chosen; of several rows with one doc_id the smallest text is learned from. Every fifth
     of the rows calibrates. Without labels of both classes every text scores alike, by the share of toxic rows.
     """
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where(learnable() & (F.col("toxic") == F.col("_most")))
     counts = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    usable = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).where(learnable() & (F.length("text") <= TRAIN_CHARS))
     order = F.xxhash64(F.lit(seed), "doc_id")
+    rows = rows.join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
     some = None
     for c in (0, 1):
         part = rows.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(class_rows).select("doc_id", "toxic")
         some = part if some is None else some.unionByName(part)
-    taken = docs.select("doc_id", "text", "lang").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(some), "doc_id")  # broadcast: 2 * class_rows ids
-    found = sorted(taken.select("doc_id", "toxic", "text", F.coalesce(F.col("lang").cast("string"), F.lit(""))).limit(4 * class_rows).collect(), key=lambda r: (r[0], r[2]))
+    taken = usable.join(F.broadcast(some), "doc_id")  # broadcast: 2 * class_rows ids
+    taken = taken.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "toxic", "x.text", "x.lang")
+    found = sorted(taken.collect(), key=lambda r: r[0])
     texts, toxic = [word_rows(r[2]) for r in found], np.array([r[1] for r in found], np.float32)
     held = np.array([crc32(f"calibrate {r[0]}".encode()) % 5 == 0 for r in found], bool)
     if len(set(toxic[~held])) < 2:
@@ -253,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, seed:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs without its text and with a score (double, 0 to 1). Null and empty texts score as texts without words; repeated rows score alike."""
+    """docs without its text and with a score (double, 0 to 1), which replaces a column of its name. Null and empty texts score as texts without words; repeated rows score alike."""
+    docs = without(docs, [name], text)
     out, place = unused(docs, "_score"), docs.columns.index(text)
     schema = T.StructType([*docs.drop(text).schema.fields, T.StructField(out, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and DIM

@@ -57,12 +57,9 @@ def draw_index(weights: Column, u: Column) -> Column:
 
 
 def bin_right_closed(x: Column, edges: list[float]) -> Column:
-    """The least i >= 1 with x <= edges[i], less one; the last bin takes what is above. Null stays null, NaN is above all."""
-    last = len(edges) - 2
-    out = F.lit(last)
-    for i in range(last, 0, -1):
-        out = F.when(x <= F.lit(float(edges[i])), i - 1).otherwise(out)
-    return F.when(x.isNotNull(), out.cast("int"))
+    """How many inner edges lie below x: a bin has its right edge, and the outer bins what is beyond. Null stays null, NaN is above all."""
+    inner = F.array(*(F.lit(float(e)) for e in edges[1:-1])) if len(edges) > 2 else F.expr("cast(array() as array<double>)")
+    return F.when(x.isNotNull(), F.size(F.filter(inner, lambda e: x > e)))
 
 
 def bin_digitize(x: Column, edges: list[float]) -> Column:

@@ -1,30 +1,44 @@
 """Mixture models over encoded tables, and the questions they answer.
 
 A model has pi (cluster, log_p) and theta (cluster, feature, category, log_p), as DataFrames. Rows are
-scored without a shuffle of the rows: each feature's codes look up an array with one log-probability
-per cluster, and the arrays are added.
+scored in one pass without a join, by numpy on Arrow batches of the features' columns only. Models of more than
+PACKED numbers aren't sent to tasks but joined, feature by feature.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixlake.functions.exprs import NEG_INF, draw_index, lgamma, lse_array, safe_ln, uniform
-from mixlake.operators.schema import to_long
+from mixlake.operators.scoring import Packed, lists, lse
+from mixlake.sources.scratch import materialize
 
 EPS = 1e-10
+#: Log-probabilities of a model that is sent to all tasks as constants, at most.
+PACKED = 500_000
 
 
-def sufficient_statistics(rows: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
-    """(cluster, feature, category, n): counts of non-missing cells by cluster. Only partial counts are shuffled."""
-    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("category")) for f in features))).alias("x")
+def sufficient_statistics(rows: DataFrame, features: list[str], cluster: str = "cluster", kind: str = "int") -> DataFrame:
+    """(cluster, feature, category, n): counts of non-missing cells, codes or values of another `kind`, by cluster. Only partial counts are shuffled."""
+    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("category")) for f in features))).alias("x")
     return rows.select(F.col(cluster).alias("cluster"), cells).where("x.category is not null and cluster is not null").groupBy("cluster", "x.feature", "x.category").agg(F.count("*").alias("n"))
 
 
+def unused_name(names: list[str]) -> str:
+    """A name that isn't among these, in any case."""
+    taken, name = {n.lower() for n in names}, "_every"
+    while name in taken:
+        name += "_"
+    return name
+
+
 @dataclass(frozen=True)
 class Model:
     pi: DataFrame
@@ -34,19 +48,50 @@ class Model:
 
     @classmethod
     def from_assignments(cls, rows: DataFrame, domain: DataFrame, features: list[str], n_clusters: int, alpha_pi: float = 1.0, alpha_theta: float = 1.0, cluster: str = "cluster") -> Model:
-        """Posterior means. Categories that a cluster never has come from `domain`."""
+        """Posterior means. Categories that a cluster never has come from `domain`. The counts are written to the shared folder, so questions don't read the rows again."""
         spark = rows.sparkSession
         clusters = spark.range(n_clusters).select(F.col("id").cast("int").alias("cluster"))
-        seen = rows.groupBy(F.col(cluster).cast("int").alias("cluster")).agg(F.count("*").alias("n"))
+        # one scan: a cell that every row has counts the clusters
+        every = unused_name(features)
+        counted = materialize(sufficient_statistics(rows.withColumn(every, F.lit(0)), [*features, every], cluster).withColumn("cluster", F.col("cluster").cast("int")), "phi")
+        seen = counted.where(F.col("feature") == every).select("cluster", "n")
         total = F.sum("n").over(W.partitionBy())
         pi = clusters.join(seen, "cluster", "left").na.fill(0, ["n"]).select("cluster", F.ln((F.col("n") + alpha_pi) / (total + alpha_pi * n_clusters)).alias("log_p"))
-        phi = sufficient_statistics(rows, features, cluster).withColumn("cluster", F.col("cluster").cast("int"))
+        phi = counted.where(F.col("feature") != every)
         cells = clusters.crossJoin(domain.where(F.col("feature").isin(features)).select("feature", "category"))  # the model's own size
         w = W.partitionBy("cluster", "feature")
         p = (F.col("n") + alpha_theta) / (F.sum("n").over(w) + alpha_theta * F.count("*").over(w))
         theta = cells.join(phi, ["cluster", "feature", "category"], "left").na.fill(0, ["n"]).select("cluster", "feature", "category", F.ln(p).alias("log_p"))
         return cls(pi, theta, n_clusters, tuple(features))
 
+    @cached_property
+    def packed(self) -> Packed | None:
+        """The model's numbers for tasks; None for models of more than PACKED numbers, as counted or as laid out."""
+        rows = self.theta.where(F.col("category") >= 0).limit(PACKED + 1).collect()
+        sizes = {f: 0 for f in self.features}
+        for r in rows:
+            sizes[r.feature] = max(sizes.get(r.feature, 0), r.category + 1)
+        if len(rows) > PACKED or sum(sizes.values()) * self.n_clusters > PACKED:
+            return None
+        tables = {f: np.full((k, self.n_clusters), NEG_INF) for f, k in sizes.items()}
+        known = {f: np.zeros(k, bool) for f, k in sizes.items()}
+        for r in rows:
+            tables[r.feature][r.category, r.cluster], known[r.feature][r.category] = r.log_p, True
+        prior = np.full(self.n_clusters, NEG_INF)
+        for r in self.pi.collect():
+            prior[r.cluster] = r.log_p
+        return Packed(prior, tuple(tables[f] for f in self.features), tuple(known[f] for f in self.features))
+
+    def _scored(self, kind: str, score) -> Column:
+        """score(packed, codes) of the features' columns as a column."""
+        own, n = self.packed, len(self.features)
+
+        @F.arrow_udf(kind)
+        def run(*columns: pa.Array) -> pa.Array:
+            return score(own, list(columns[:n]))
+
+        return run(*(F.col(f).cast("int") for f in self.features))
+
     def lookup(self, feature: str) -> DataFrame:
         """(category, arr): the feature's log-probabilities by cluster."""
         own = self.theta.where(F.col("feature") == feature)
@@ -60,30 +105,48 @@ class Model:
 
     def joint(self, rows: DataFrame, name: str = "joint") -> DataFrame:
         """rows with the array of log p(cluster, observed cells). Missing cells drop out; codes outside the domain are impossible."""
+        if self.packed is not None and self.features:
+            return rows.withColumn(name, self._scored("array<double>", lambda own, codes: lists(own.joint(codes))))
         out = rows.crossJoin(F.broadcast(self.prior()))  # one row of n_clusters numbers
-        total = F.col("_prior")
-        impossible = F.array_repeat(F.lit(NEG_INF), self.n_clusters)
+        impossible, parts = F.array_repeat(F.lit(NEG_INF), self.n_clusters), []
         for i, f in enumerate(self.features):
             out = out.join(self.lookup(f).select(F.col("category").alias(f"_k{i}"), F.col("arr").alias(f"_a{i}")), F.col(f) == F.col(f"_k{i}"), "left")
-            part = F.when(F.col(f).isNotNull(), F.coalesce(F.col(f"_a{i}"), impossible))
-            total = F.when(part.isNull(), total).otherwise(F.zip_with(total, part, lambda a, b: a + b))
+            parts.append(F.when(F.col(f).isNotNull(), F.coalesce(F.col(f"_a{i}"), impossible)))
+        total = F.aggregate(F.filter(F.array(*parts), lambda x: x.isNotNull()), F.col("_prior"), lambda t, x: F.zip_with(t, x, lambda a, b: a + b)) if parts else F.col("_prior")
         return out.withColumn(name, total).drop("_prior", *(f"_{x}{i}" for i in range(len(self.features)) for x in "ka"))
 
     def logprob(self, rows: DataFrame, name: str = "log_p") -> DataFrame:
         """Log-probability of each row's observed cells; with no cell observed that of nothing, 0."""
+        if self.packed is not None and self.features:
+            return rows.withColumn(name, self._scored("double", lambda own, codes: pa.array(lse(own.joint(codes)))))
         return self.joint(rows, "_joint").withColumn(name, lse_array(F.col("_joint"))).drop("_joint")
 
     def posterior(self, rows: DataFrame, name: str = "posterior") -> DataFrame:
         """Array of log p(cluster | observed cells)."""
-        lse = lse_array(F.col("_joint"))
-        return self.joint(rows, "_joint").withColumn("_lse", lse).withColumn(name, F.transform("_joint", lambda x: x - F.col("_lse"))).drop("_joint", "_lse")
+        if self.packed is not None and self.features:
+            return rows.withColumn(name, self._scored("array<double>", lambda own, codes: lists(own.posterior(codes))))
+        lse_ = lse_array(F.col("_joint"))
+        return self.joint(rows, "_joint").withColumn("_lse", lse_).withColumn(name, F.transform("_joint", lambda x: x - F.col("_lse"))).drop("_joint", "_lse")
 
     def table_of(self, feature: str) -> DataFrame:
         """One row: the feature's categories in order, each with its array over clusters; its size is the model's."""
         return self.lookup(feature).agg(F.array_sort(F.collect_list(F.struct("category", "arr"))).alias(f"_t_{feature}"))
 
+    def _filled(self, rows: DataFrame, found: Column) -> DataFrame:
+        """rows whose missing cells come from the fields f0, f1, ... of a struct."""
+        out = rows.withColumn("_found", found)
+        return out.withColumns({f: F.coalesce(F.col(f), F.col(f"_found.f{i}")) for i, f in enumerate(self.features)}).drop("_found")
+
+    @property
+    def _fields(self) -> list[str]:
+        return [f"f{i}" for i in range(len(self.features))]
+
     def impute(self, rows: DataFrame) -> DataFrame:
         """Missing cells become the likeliest category given the observed ones; ties go to the lowest."""
+        names = self._fields
+        if self.packed is not None and names:
+            kind = f"struct<{', '.join(f'{n}: int' for n in names)}>"
+            return self._filled(rows, self._scored(kind, lambda own, codes: pa.StructArray.from_arrays(own.likeliest(codes), names=names)))
         out = self.posterior(rows, "_post")
         for f in self.features:
             out = out.crossJoin(F.broadcast(self.table_of(f)))
@@ -93,6 +156,17 @@ class Model:
 
     def sample_conditional(self, rows: DataFrame, seed: int, row_id: str) -> DataFrame:
         """Missing cells are drawn given the observed ones: a cluster from the posterior, then each category. Draws depend on seed and row only."""
+        names, own, n = self._fields, self.packed, len(self.features)
+        if own is not None and names:
+
+            @F.arrow_udf(f"struct<{', '.join(f'{x}: int' for x in names)}>")
+            def run(*columns: pa.Array) -> pa.Array:
+                # only cells that are missing have a number
+                u, *by_feature = (np.asarray(c.fill_null(0.0)) for c in columns[n:])
+                return pa.StructArray.from_arrays(own.drawn(list(columns[:n]), u, by_feature), names=names)
+
+            numbers = (F.when(F.col(f).isNull(), uniform(seed, f, F.col(row_id))) for f in self.features)
+            return self._filled(rows, run(*(F.col(f).cast("int") for f in self.features), uniform(seed, "c", F.col(row_id)), *numbers))
         out = self.posterior(rows, "_post")
         out = out.withColumn("_c", draw_index(F.transform("_post", F.exp), uniform(seed, "c", F.col(row_id))))
         for f in self.features:
@@ -148,6 +222,11 @@ class Model:
         diagonal = self.entropy().select(F.col("feature").alias("feature_i"), F.col("feature").alias("feature_j"), F.col("entropy").alias("mi"))
         return mi.unionByName(mirror).unionByName(diagonal).withColumnRenamed("mi", "value")
 
+    def state(self) -> DataFrame:
+        """(cluster, n, n_finite, n_impossible, total): of each cluster its log-probabilities, those that are finite and minus infinity, and the sum of probabilities, which is the number of features."""
+        finite = F.col("log_p") > F.lit(NEG_INF)
+        return self.theta.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(finite).alias("n_finite"), F.count_if(~finite).alias("n_impossible"), F.sum(F.exp("log_p")).alias("total"))
+
     def save(self, path: str) -> None:
         """Writes pi and theta as Parquet under path."""
         self.pi.write.mode("overwrite").parquet(f"{path}/pi")
@@ -234,7 +313,3 @@ def averaged(theta: DataFrame) -> DataFrame:
     """Particles' theta averaged in probability and normalised: (cluster, feature, category, log_p)."""
     p = theta.groupBy("cluster", "feature", "category").agg(F.avg(F.exp("log_p")).alias("p"))
     return p.select("cluster", "feature", "category", safe_ln(F.col("p") / F.sum("p").over(W.partitionBy("cluster", "feature"))).alias("log_p"))
-
-
-def cells(rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
-    return to_long(rows, row_id, features)

@@ -1,6 +1,7 @@
 """Distances between two tables: Jensen-Shannon in its marginal, pairwise, dense and Boolean forms, total variation, marginals.
 
-Every measure is one grouped job over (feature, category) counts of both sides; no loop over columns.
+Every measure is one grouped job over (feature, category) counts of both sides; no loop over columns. A side without
+rows has no distribution: distances to it are null.
 """
 
 from __future__ import annotations
@@ -10,12 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPS = 1e-10
-MISSING = "-1"
+
+
+def _text(column: str) -> Column:
+    """A cell as text that no other cell has; a missing one is a category of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+
+def _js(part: Column, size_1: Column, size_2: Column) -> Column:
+    """The root of half the summed parts; null if a side has no rows."""
+    return F.when((F.max(size_1) > 0) & (F.max(size_2) > 0), F.sqrt(F.greatest(F.sum(part) / 2, F.lit(0.0))))
 
 
 def cells(df: DataFrame, columns: list[str], side: int, keep: list[str] | None = None) -> DataFrame:
     """(keep..., side, feature, category): every cell as text; a missing one is a category of its own."""
-    x = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category")) for c in columns))).alias("x")
+    x = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), _text(c).alias("category")) for c in columns))).alias("x")
     return df.select(*(keep or []), F.lit(side).alias("side"), x).select(*(keep or []), "side", "x.*")
 
 
@@ -25,17 +35,18 @@ def counts(both: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def js_of_counts(counted: DataFrame, over: list[str], eps: float = EPS, support: Column | None = None) -> DataFrame:
-    """(over..., js): the root of the divergence in nats. `support`, if given, counts all categories; absent ones have eps each."""
+    """(over..., js): the root of the divergence in nats; null where a side has no rows.
+
+    `support`, if given, is the number of all categories, seen or not, by which probabilities are normalised.
+    """
     w = W.partitionBy(*over)
-    seen = F.count("*").over(w)
-    rest = (support - seen) if support is not None else F.lit(0)
-    size = seen + rest
-    p = (F.col("n1") / F.sum("n1").over(w) + eps) / (1 + eps * size)
-    q = (F.col("n2") / F.sum("n2").over(w) + eps) / (1 + eps * size)
-    rows = counted.select(*over, p.alias("p"), q.alias("q"))
+    size = F.count("*").over(w) if support is None else support
+    t1, t2 = (F.sum(n).over(w) for n in ("n1", "n2"))
+    p, q = ((F.try_divide(F.col(n), t) + eps) / (1 + eps * size) for n, t in (("n1", t1), ("n2", t2)))
+    rows = counted.select(*over, p.alias("p"), q.alias("q"), t1.alias("t1"), t2.alias("t2"))
     m = (F.col("p") + F.col("q")) / 2
     part = F.col("p") * F.ln(F.col("p") / m) + F.col("q") * F.ln(F.col("q") / m)
-    return rows.groupBy(*over).agg(F.sqrt(F.greatest(F.sum(part) / 2, F.lit(0.0))).alias("js"))
+    return rows.groupBy(*over).agg(_js(part, F.col("t1"), F.col("t2")).alias("js"))
 
 
 def js_features(a: DataFrame, b: DataFrame, columns: list[str], eps: float = EPS) -> DataFrame:
@@ -64,25 +75,15 @@ def js_pairs(a: DataFrame, b: DataFrame, columns: list[str], eps: float = EPS, d
     pairs = [(i, j) for x, i in enumerate(columns) for j in columns[x:]]
 
     def long(df: DataFrame, side: int) -> DataFrame:
-        text = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns}
-        x = F.explode(F.array(*(F.struct(F.lit(i).alias("feature_i"), F.lit(j).alias("feature_j"), (text[i] if i == j else F.concat_ws("|", text[i], text[j])).alias("category")) for i, j in pairs))).alias("x")
+        x = F.explode(F.array(*(F.struct(F.lit(i).alias("feature_i"), F.lit(j).alias("feature_j"), F.struct(_text(i).alias("i"), _text(j).alias("j")).alias("category")) for i, j in pairs))).alias("x")
         return df.select(F.lit(side).alias("side"), x).select("side", "x.*")
 
     counted = counts(long(a, 1).unionByName(long(b, 2)), ["feature_i", "feature_j", "category"])
-    support = None
-    if dense:
-        sizes = F.create_map(*(F.lit(x) for c, k in dense.items() for x in (c, k)))
-        k_i, k_j = (F.element_at(sizes, F.col(c)) for c in ("feature_i", "feature_j"))
-        support = F.when(F.col("feature_i") == F.col("feature_j"), k_i).otherwise(k_i * k_j)
-        counted = counted.withColumn("_s", support)
-        w = W.partitionBy("feature_i", "feature_j")
-        size = F.col("_s")
-        p, q = ((F.col(n) / F.sum(n).over(w) + eps) / (1 + eps * size) for n in ("n1", "n2"))
-        rows = counted.select("feature_i", "feature_j", p.alias("p"), q.alias("q"))
-        m = (F.col("p") + F.col("q")) / 2
-        part = F.col("p") * F.ln(F.col("p") / m) + F.col("q") * F.ln(F.col("q") / m)
-        return rows.groupBy("feature_i", "feature_j").agg(F.sqrt(F.greatest(F.sum(part) / 2, F.lit(0.0))).alias("js"))
-    return js_of_counts(counted, ["feature_i", "feature_j"], eps)
+    if not dense:
+        return js_of_counts(counted, ["feature_i", "feature_j"], eps)
+    sizes = F.create_map(*(F.lit(x) for c, k in dense.items() for x in (c, k)))
+    k_i, k_j = (F.element_at(sizes, F.col(c)) for c in ("feature_i", "feature_j"))
+    return js_of_counts(counted, ["feature_i", "feature_j"], eps, F.when(F.col("feature_i") == F.col("feature_j"), k_i).otherwise(k_i * k_j))
 
 
 def js_boolean_pairs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,17 +105,20 @@ def js_one_hot(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 
 def _jsd(counted: DataFrame, over: list[str]) -> DataFrame:
     w = W.partitionBy(*over)
-    rows = counted.select(*over, (F.col("n1") / F.sum("n1").over(w)).alias("p"), (F.col("n2") / F.sum("n2").over(w)).alias("q"))
+    t1, t2 = (F.sum(n).over(w) for n in ("n1", "n2"))
+    rows = counted.select(*over, F.try_divide(F.col("n1"), t1).alias("p"), F.try_divide(F.col("n2"), t2).alias("q"), t1.alias("t1"), t2.alias("t2"))
     m = (F.col("p") + F.col("q")) / 2
     term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / m)).otherwise(0.0)
-    return rows.groupBy(*over).agg((F.sum(term("p") + term("q")) / 2).alias("jsd"))
+    both = (F.max("t1") > 0) & (F.max("t2") > 0)
+    return rows.groupBy(*over).agg(F.when(both, F.sum(term("p") + term("q")) / 2).alias("jsd"))
 
 
-def marginals(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, category, p) over non-missing cells."""
+def marginals(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., feature, category, p) over non-missing cells."""
+    by = by or []
     x = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns))).alias("x")
-    n = df.select(x).select("x.*").where("category is not null").groupBy("feature", "category").agg(F.count("*").alias("n"))
-    return n.select("feature", "category", (F.col("n") / F.sum("n").over(W.partitionBy("feature"))).alias("p"))
+    n = df.select(*by, x).select(*by, "x.*").where("category is not null").groupBy(*by, "feature", "category").agg(F.count("*").alias("n"))
+    return n.select(*by, "feature", "category", (F.col("n") / F.sum("n").over(W.partitionBy(*by, "feature"))).alias("p"))
 
 
 def differences(p: DataFrame, q: DataFrame) -> DataFrame:

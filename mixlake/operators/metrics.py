@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mixlake.operators.ordering import running_sums
+
 Z95 = 1.959963984540054
 
 
@@ -117,16 +119,54 @@ def nearest_key(df: DataFrame, key: str, targets: list[int]) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: ROC-AUC from counts of each distinct score; ties count half."""
+    """One row: ROC-AUC from counts of each distinct score, summed range by range; ties count half. Null if a class has no rows."""
     by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return by.select("pos", "neg", below.alias("below")).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    rows = running_sums(by, ["s"], {"upto": "neg"})
+    return rows.agg(F.try_divide(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def label_codes(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """(label, code): the sorted union of both tables' labels."""
     both = a.select(F.col(column).alias("label")).unionByName(b.select(F.col(column).alias("label"))).where("label is not null").distinct()
-    return both.withColumn("code", (F.dense_rank().over(W.orderBy("label")) - 1).cast("int"))
+    return running_sums(both, ["label"], {"code": F.lit(1)}).withColumn("code", (F.col("code") - 1).cast("int"))
+
+
+def accuracy(predicted: DataFrame, prediction: str, label: str) -> DataFrame:
+    """One row: n, accuracy and the macro mean of recalls over the labels that occur."""
+    by = predicted.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"), F.count_if(F.col(prediction) == F.col(label)).alias("hit"))
+    return by.agg(F.sum("n").alias("n"), F.try_divide(F.sum("hit").cast("double"), F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("macro_recall"))
+
+
+def auc_one_vs_rest(scored: DataFrame, row_id: str, label: str, classes: list[str], scores: list[str]) -> DataFrame:
+    """(class, auc) of each class against the rest, all in one pass: `scores` holds the column with each class's score."""
+    x = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(s).cast("double").alias("s"), (F.col(label) == c).cast("int").alias("y")) for c, s in zip(classes, scores, strict=True)))).alias("x")
+    by = scored.select(x).select("x.*").groupBy("class", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    rows = running_sums(by, ["class", "s"], {"upto": "neg"})
+    # ranks within a class: what lies before it is the least of its own sums
+    own = rows.groupBy("class").agg(F.min(F.col("upto") - F.col("neg")).alias("b"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("t"))
+    return own.select("class", F.try_divide(F.col("t") - F.col("p") * F.col("b"), F.col("p") * F.col("n")).alias("auc"))
+
+
+def timing(batches: DataFrame, seconds: str, rows: str) -> DataFrame:
+    """One row: batches, rows, mean and population deviation of milliseconds a row by batch, and rows a second over all; the true row counts are used."""
+    per = F.try_divide(F.lit(1000.0) * F.col(seconds), F.col(rows))
+    return batches.agg(F.count("*").alias("n_batches"), F.sum(rows).alias("n_rows"), F.avg(per).alias("ms_per_row"), F.stddev_pop(per).alias("ms_deviation"), F.try_divide(F.sum(rows).cast("double"), F.sum(seconds)).alias("rows_per_s"))
+
+
+def throughput(runs: DataFrame, steps: str, batch: str, rejuvenations: str, seconds: str, by: str) -> DataFrame:
+    """(by, rate, mean, sd, least, most): row visits a second of each group's runs, steps x batch x (1 + rejuvenations) in all, and statistics of the runs' seconds."""
+    visits = F.col(steps) * F.col(batch) * (1 + F.col(rejuvenations))
+    return runs.groupBy(by).agg(F.try_divide(F.sum(visits).cast("double"), F.sum(seconds)).alias("rate"), F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("sd"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
+
+
+def checkpoint_of(steps: DataFrame, targets: list[int], save_every: int = 1, step: str = "step") -> DataFrame:
+    """(target, step): the saved step at or before each target's place, target rounded down to a multiple of save_every; the
+    closest one where that is absent (the smaller of two), the last beyond the last."""
+    goals = [(t, t // save_every * save_every) for t in targets]
+    s = F.col(step)
+    picks = F.array(*(F.struct(F.lit(t).cast("long").alias("target"), F.min_by(step, F.struct(F.abs(s - g), s)).cast("long").alias("near"), F.max(step).cast("long").alias("last")) for t, g in goals))
+    x = steps.agg(picks.alias("x")).select(F.explode("x").alias("x"))
+    return x.select("x.target", F.when(F.col("x.target") > F.col("x.last"), F.col("x.last")).otherwise(F.col("x.near")).alias(step))
 
 
 def target_choice(df: DataFrame) -> str | None:

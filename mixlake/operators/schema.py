@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixlake.functions.exprs import bin_digitize, bin_right_closed
+from mixlake.operators.ordering import running_sums
+from mixlake.sources.scratch import materialize
 
 PARTS = 2048
 
@@ -68,7 +70,7 @@ class TableSchema:
 
     @classmethod
     def fit(cls, df: DataFrame, n_bins: int = 20, coerce: bool = False) -> TableSchema:
-        """Strings are categorical, doubles numerical; other types raise unless `coerce` casts them. Levels are sorted, nulls left out."""
+        """Strings are categorical, doubles numerical; other types raise unless `coerce` casts them. Levels are sorted, nulls left out, and written to the shared folder."""
         df = coerced(df) if coerce else df
         features = []
         for name, kind in df.dtypes:
@@ -78,7 +80,7 @@ class TableSchema:
                 features.append(Feature(name, "numerical", tuple(order_statistics(df, name, [i / n_bins for i in range(n_bins + 1)]))))
             else:
                 raise ValueError(f"{name}: {kind} is neither string nor double")
-        return cls(tuple(features), levels(df, [f.name for f in features if f.kind == "categorical"]))
+        return cls(tuple(features), materialize(levels(df, [f.name for f in features if f.kind == "categorical"]), "levels"))
 
     def domain(self) -> DataFrame:
         """(feature, category, label) of every value a code can have; bins have the number as label."""
@@ -128,9 +130,10 @@ def coerced(df: DataFrame) -> DataFrame:
 
 
 def categorical_index(domain: DataFrame, order: list[str]) -> DataFrame:
-    """(place, feature_place): for each level in `order`'s feature order, the feature that it belongs to."""
+    """(feature, category, feature_place, place): for each level in `order`'s feature order, its place among all, summed range by range."""
     rank = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(order) for x in (f, i))), F.col("feature"))
-    return domain.select("feature", "category", rank.alias("feature_place")).withColumn("place", F.row_number().over(W.orderBy("feature_place", "category")) - 1)
+    rows = domain.select("feature", "category", rank.alias("feature_place"))
+    return running_sums(rows, ["feature_place", "category"], {"place": F.lit(1)}).withColumn("place", (F.col("place") - 1).cast("int"))
 
 
 def to_long(df: DataFrame, row_id: str, features: list[str]) -> DataFrame:
@@ -150,18 +153,44 @@ def from_one_hot(a: Column, n_valid: int | None = None) -> Column:
     return F.array_position(part, F.array_max(part)).cast("int") - 1
 
 
-def from_dummies(df: DataFrame, sep: str = "_") -> DataFrame:
-    """Columns named prefix + sep + level become one column per prefix with the level whose value is 1."""
+def from_dummies(df: DataFrame, sep: str = "_", keep: list[str] | None = None) -> DataFrame:
+    """Columns named prefix + sep + level become one column per prefix with the level whose value is 1; columns of `keep` stay as they are."""
     groups: dict[str, list[tuple[str, str]]] = {}
     for c in df.columns:
         prefix, _, level = c.rpartition(sep)
-        groups.setdefault(prefix, []).append((c, level))
-    return df.select(*(F.coalesce(*(F.when(F.col(f"`{c}`") == 1, F.lit(level)) for c, level in members)).alias(prefix) for prefix, members in groups.items() if prefix))
+        if prefix and c not in (keep or []):
+            groups.setdefault(prefix, []).append((c, level))
+    return df.select(*(keep or []), *(F.coalesce(*(F.when(F.col(f"`{c}`") == 1, F.lit(level)) for c, level in members)).alias(prefix) for prefix, members in groups.items()))
 
 
-def repaired(code: Column) -> Column:
-    """A row without any category takes the first."""
-    return F.coalesce(code, F.lit(0))
+def padded_one_hot(codes: list[str], sizes: dict[str, int]) -> Column:
+    """Array over features of arrays as long as the largest domain: one 1 for each code, zeros beyond a feature's own domain and for missing codes."""
+    most = max(sizes.values())
+    return F.array(*(F.when(F.col(c) < sizes[c], one_hot(F.col(c), most)).otherwise(F.array_repeat(F.lit(0), most)) for c in codes))
+
+
+def log_one_hot(a: Column) -> Column:
+    """0 for the place that is 1, minus infinity elsewhere."""
+    return F.transform(a, lambda x: F.when(x == 1, F.lit(0.0)).otherwise(F.lit(float("-inf"))))
+
+
+def from_log_one_hot(a: Column) -> Column:
+    """1 where the logarithm is 0, else 0."""
+    return F.transform(a, lambda x: (x == 0.0).cast("int"))
+
+
+def repaired(a: Column, valid: Column | None = None) -> Column:
+    """A one-hot array that doesn't sum to 1 takes its first place, or the first that the array `valid` allows."""
+    first = F.lit(1) if valid is None else F.array_position(valid, F.lit(True)).cast("int")
+    total = F.aggregate(a, F.lit(0), lambda t, x: t + x)
+    return F.when(total == 1, a).otherwise(F.transform(a, lambda _, i: (i + 1 == first).cast("int")))
+
+
+def masked_pair(train: DataFrame, test: DataFrame, truth: DataFrame | None = None, complete: DataFrame | None = None, n_bins: int = 20) -> tuple[TableSchema, DataFrame, DataFrame, DataFrame | None]:
+    """(schema, train, test, truth) encoded alike. The schema is that of `complete`, the training table before cells were masked, if given, else of train."""
+    columns = [c for c, k in train.dtypes if k in ("string", "double")]
+    schema = TableSchema.fit((train if complete is None else complete).select(*columns), n_bins)
+    return schema, schema.encode(train), schema.encode(test), None if truth is None else schema.encode(truth)
 
 
 def filled(df: DataFrame, text: str = "missing", number: float = -999.0) -> DataFrame:

@@ -119,10 +119,7 @@ def mad_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j10_step_marginals", "WITH m AS (SELECT user_id % 10 AS step, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id % 10) AS p FROM events GROUP BY 1, 2) SELECT 'event_type' AS feature, event_type AS category, round(avg(p), 6) AS p FROM m GROUP BY event_type")
 def step_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("step"), "event_type")
-    n = ev.groupBy("step", "event_type").agg(F.count("*").alias("n"))
-    total = ev.groupBy("step").agg(F.count("*").alias("t"))
-    stepped = n.join(total, "step").select("step", F.lit("event_type").alias("feature"), F.col("event_type").alias("category"), (F.col("n") / F.col("t")).alias("p"))
-    return D.averaged_marginals(stepped).withColumn("p", rounded(F.col("p")))
+    return D.averaged_marginals(D.marginals(ev, ["event_type"], ["step"])).withColumn("p", rounded(F.col("p")))
 
 
 @query("j15_missingness", "SELECT count(*) AS n, count(*) FILTER (toxic IS NULL) AS n_missing, round(100.0 * count(*) FILTER (toxic IS NULL) / count(*), 6) AS pct FROM documents LEFT JOIN labels USING (doc_id)")

@@ -16,7 +16,7 @@ from mixlake.functions.exprs import draw_index, rounded, uniform
 from mixlake.operators import distances as D
 from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
-from mixlake.operators.model import Model, alpha_pi_posterior, alpha_theta_posterior, dirichlet_score, effective_sample_size, resample, weighted_log_likelihood
+from mixlake.operators.model import Model, alpha_pi_posterior, alpha_theta_posterior, dirichlet_score, effective_sample_size, resample, sufficient_statistics, weighted_log_likelihood
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from mixlake.plans import more  # noqa: F401  its queries register themselves
+    from mixlake.plans import benchmark, more  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 
@@ -48,8 +48,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return logprob_missing(spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    return logprob_missing(spark, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,8 +155,7 @@ def onehot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e08_from_dummies", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AUTOMOBILE' WHEN 'BUILDING' THEN 'BUILDING' END AS seg FROM customer")
 def from_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", *((F.col("c_mktsegment") == s).cast("int").alias(f"seg_{s}") for s in ("AUTOMOBILE", "BUILDING")))
-    labels = S.from_dummies(rows.select("seg_AUTOMOBILE", "seg_BUILDING")).columns
-    return rows.select("c_custkey", F.coalesce(*(F.when(F.col(f"seg_{s}") == 1, F.lit(s)) for s in ("AUTOMOBILE", "BUILDING"))).alias(labels[0]))
+    return S.from_dummies(rows, keep=["c_custkey"])
 
 
 @query("e09_train_test_encode", f"WITH e AS MATERIALIZED {edges_sql('(SELECT * FROM orders WHERE o_orderkey % 2 = 0)', 'o_totalprice', 20)}, l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderkey % 2 = 0)), t AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1) SELECT t.o_orderkey, CAST(any_value(l.k) AS INTEGER) AS priority, CAST(coalesce(min(e.i) FILTER (o_totalprice <= e.edge AND e.i BETWEEN 1 AND 19) - 1, 19) AS INTEGER) AS price FROM t LEFT JOIN l ON o_orderpriority = label CROSS JOIN e GROUP BY t.o_orderkey")
@@ -189,8 +188,8 @@ def fill_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m03_phi", "SELECT cluster, feature, category, count(*) AS n FROM (SELECT CAST(l_orderkey % 3 AS INTEGER) AS cluster, 'l_returnflag' AS feature, l_returnflag AS category FROM lineitem UNION ALL SELECT CAST(l_orderkey % 3 AS INTEGER), 'l_linestatus', l_linestatus FROM lineitem) GROUP BY ALL")
 def phi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in ("l_returnflag", "l_linestatus")))).alias("x")
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).cast("int").alias("cluster"), x).groupBy("cluster", "x.feature", "x.category").agg(F.count("*").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("cluster", (F.col("l_orderkey") % 3).cast("int"))
+    return sufficient_statistics(lines, ["l_returnflag", "l_linestatus"], kind="string")
 
 
 @query("m03_posterior_mean", model_sql() + "SELECT CAST(cluster AS INTEGER) AS cluster, feature, CAST(k AS INTEGER) AS category, round(lp, 6) AS log_p FROM theta")

@@ -57,3 +57,47 @@ def dense_to_table(spark: SparkSession, file: str, name: str | None = None) -> D
 def backfilled(df: DataFrame, column: str, value: str) -> DataFrame:
     """Old records without the column, or with a null, get the value."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))
+
+
+def load_pair(spark: SparkSession, folder: str, train: str = "data-train-num.parquet", test: str = "data-test-full-num.parquet") -> tuple[DataFrame, DataFrame]:
+    """A dataset's training and test tables, from any file system that Spark reaches; credentials are Spark's settings."""
+    return spark.read.parquet(f"{folder}/{train}"), spark.read.parquet(f"{folder}/{test}")
+
+
+def table_to_dense(df: DataFrame, file: str, columns: list[str], order: list[str], most: int = 1_000_000) -> None:
+    """The columns as a .npy array of two dimensions, rows in `order`, missing cells -1. For small arrays at the edge of a run: they pass the driver, so more than `most` rows are refused."""
+    import numpy as np
+
+    rows = df.orderBy(*order).select(*(F.coalesce(F.col(c), F.lit(-1)) for c in columns)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    np.save(file, np.array([tuple(r) for r in rows]).reshape(len(rows), len(columns)))
+
+
+#: Columns of a table that make a dataset, by name.
+DATASETS = {
+    "orders": ("orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"]),
+    "customers": ("customer", ["c_mktsegment", "c_acctbal"]),
+    "parts": ("part", ["p_brand", "p_type", "p_retailprice"]),
+}
+
+
+def dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A registered dataset's columns."""
+    source, columns = DATASETS[name]
+    return spark.read.parquet(f"{folder}/{source}.parquet").select(*columns)
+
+
+def run_all(spark: SparkSession, folder: str, names: list[str], job) -> list[tuple[str, bool, float, object]]:
+    """(name, whether it ended well, seconds, result or error) of job(dataset) for each dataset; one that fails doesn't stop the others."""
+    import time
+
+    out = []
+    for name in names:
+        begin = time.perf_counter()
+        try:
+            ok, result = True, job(dataset(spark, folder, name))
+        except Exception as e:  # noqa: BLE001  reported with the dataset's name
+            ok, result = False, str(e)
+        out.append((name, ok, time.perf_counter() - begin, result))
+    return out

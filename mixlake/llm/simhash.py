@@ -328,8 +328,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     own = lambda i, k: F.xxhash64(i, k)
     first = first.select(F.col("doc_id").alias(f"{ids}_1"), F.col("text_key").alias(f"{keys}_1"), own("doc_id", "text_key").alias(f"{both}_1"))
     marked = docs.withColumn(keys, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(both, own(F.col(doc_id), F.col(keys)))
+    # the hash alone is the key of the join, so that the rows lie as the last step needs them; the rest is compared row by row
+    same_id = F.coalesce(F.col(doc_id) == F.col(f"{ids}_1"), F.col(doc_id).isNull() & F.col(f"{ids}_1").isNull())
+    same_text = F.col(keys).bitwiseXOR(F.col(f"{keys}_1")) == 0
     # one plan at every size: the verdict has a row per component
-    kept = marked.join(first.hint("merge"), (F.col(both) == F.col(f"{both}_1")) & F.col(doc_id).eqNullSafe(F.col(f"{ids}_1")) & (F.col(keys) == F.col(f"{keys}_1")), "left_semi")
+    kept = marked.join(first.hint("merge"), (F.col(both) == F.col(f"{both}_1")) & same_id & same_text, "left_semi")
     return kept.dropDuplicates([both, keys, doc_id]).select(*docs.columns)
 
 

@@ -102,3 +102,13 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (7, 9), (9, 8), (8, 7), (None, 4), (2, 1)] + [(100 + i, 101 + i) for i in range(40)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + i: 100 for i in range(41)}}
+
+
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    rows = [(5, "one two three four", "a"), (5, "quite other words here", "b"), (None, "one two three four", "c"), (None, "alone without an id", "d"), (None, "alone without an id", "e"), (7, None, "f"), (8, "", "g"), (9, "same row twice now", "h"), (9, "same row twice now", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string").repartition(4)
+    out = simhash.keep_first(docs)
+    got = sorted((str(r.doc_id), r.text or "", r._kept) for r in out.collect())
+    assert [x[:2] for x in got] == [("5", "one two three four"), ("5", "quite other words here"), ("7", ""), ("9", "same row twice now"), ("None", "alone without an id")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(_both") == 2  # the rows and the verdict, once each

@@ -8,6 +8,7 @@ Draws depend on (seed, step, particle, row_id), so results don't depend on parti
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNSET = -1
+#: Steps' files of one size that are merged into one of the next size.
+FAN = 4
 
 
 @dataclass
@@ -103,6 +105,11 @@ def _lse(x: np.ndarray, axis: int = -1) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """A list for each row of x."""
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+
+
 def draw_clusters(batch: DataFrame, features: list[str], p: Particles, seed: int, step: int, path: str, q_mode: str = "normalized") -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Draws the clusters of the batch's rows in all particles; writes (row_id, codes, clusters) to path and returns added rows, cells and the proposal's log probability."""
     pi, theta, n, sizes = p.pi, p.theta, p.n, [t.shape[-1] for t in p.theta]
@@ -118,7 +125,7 @@ def draw_clusters(batch: DataFrame, features: list[str], p: Particles, seed: int
                 cum = np.exp(j - lse[:, :, None]).cumsum(-1)
                 a = np.minimum((cum <= row_uniforms(ids, n, seed, step)[:, :, None]).sum(-1), c - 1)
                 q = np.take_along_axis(j, a[:, :, None], -1)[:, :, 0] - (lse if q_mode == "normalized" else 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 + i) for i in range(len(sizes))), pa.array(a.tolist(), pa.list_(pa.int32())), pa.array(q.tolist(), pa.list_(pa.float64()))], names=["row_id", *features, "a", "q"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 + i) for i in range(len(sizes))), _lists(a.astype(np.int32)), _lists(q)], names=["row_id", *features, "a", "q"])
 
     schema = ", ".join(["row_id long", *(f"`{f}` int" for f in features), "a array<int>", "q array<double>"])
     batch.select(F.col("row_id").cast("long"), *(F.col(f).cast("int") for f in features)).mapInArrow(run, schema).write.mode("overwrite").parquet(path)
@@ -194,35 +201,100 @@ def resampled(p: Particles, seed: int, step: int) -> np.ndarray:
     return up
 
 
+_STATE = "name string, i int, shape array<int>, numbers array<double>, text string"
+
+
+def saved_steps(rows: DataFrame, path: str) -> list[int]:
+    """The moves after which Fit.save() wrote whole states to path, in order."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = spark.read.schema(f"{_STATE}, step int").parquet(path).where("name = 'fit'").select("step").distinct()
+    return sorted(r.step for r in found.collect())
+
+
 class Fit:
     """A fit over encoded rows (row_id dense from 0, features as codes): its particles, and the clusters of the rows seen so far.
 
     A batch's clusters are Parquet files of their own; resampling adds an ancestor map in place of rewriting
-    them, and the maps are applied when a batch is read.
+    them, and the maps are applied when a batch is read. FAN batches of one size become one of the next, so a
+    move reads a number of tables that grows with the logarithm of the steps. keep: history holds parameters too.
     """
 
-    def __init__(self, rows: DataFrame, features: list[str], sizes: list[int], folder: str, n_particles: int = 1, n_clusters: int = 2, seed: int = 0, alpha_pi: float = 1.0, alpha_theta: float = 1.0, count_mode: str = "rows", q_mode: str = "normalized", grids: tuple[list[float], list[float]] | None = None):
+    def __init__(self, rows: DataFrame, features: list[str], sizes: list[int], folder: str, n_particles: int = 1, n_clusters: int = 2, seed: int = 0, alpha_pi: float = 1.0, alpha_theta: float = 1.0, count_mode: str = "rows", q_mode: str = "normalized", grids: tuple[list[float], list[float]] | None = None, keep: bool = False):
         self.rows, self.features, self.sizes, self.seed = rows, features, sizes, seed
-        self.folder, self.count_mode, self.q_mode, self.grids = f"{folder}/{uuid.uuid4().hex}", count_mode, q_mode, grids
+        self.folder, self.count_mode, self.q_mode, self.grids, self.keep = f"{folder}/{uuid.uuid4().hex}", count_mode, q_mode, grids, keep
         self.p = init_particles(sizes, n_particles, n_clusters, seed, alpha_pi, alpha_theta)
-        self.written: list[tuple[str, int]] = []  # path, maps that were there before it
+        self.written: list[tuple[str, int, int]] = []  # path, maps that were there before it, merges that it went through
         self.maps: list[np.ndarray] = []
-        self.step = 0
-
-    def assigned(self) -> DataFrame | None:
-        """(row_id, features, a): the current clusters of all rows seen; of a row drawn again, the last."""
+        self.step = self.taken = 0  # moves, and those of them that were steps of sequential Monte Carlo
+
+    def save(self, path: str, mark: int = -1) -> None:
+        """Writes the fit but for its rows as path/step=N, one small Parquet file; clusters stay in the files that the steps wrote. mark: a number to find again."""
+        p = self.p
+        arrays = {"pi": [p.pi], "theta": p.theta, "rows": [p.rows], "phi": p.phi, "log_w": [p.log_w], "gamma": [p.gamma], "alpha_pi": [p.alpha_pi], "alpha_theta": [p.alpha_theta], "maps": self.maps}
+        for h in p.history:
+            for name, x in h.items():
+                arrays.setdefault(f"history.{name}", []).extend(x if isinstance(x, list) else [np.asarray(x)])
+        out = [(name, i, list(x.shape), [float(v) for v in x.ravel()], None) for name, parts in arrays.items() for i, x in enumerate(parts)]
+        own = {k: getattr(self, k) for k in ("features", "sizes", "seed", "folder", "count_mode", "q_mode", "grids", "keep", "written", "step", "taken")}
+        out.append(("fit", 0, [], [], json.dumps({**own, "mark": mark})))
+        frame = self.rows.sparkSession.createDataFrame(out, _STATE)
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/step={self.step:08d}")
+
+    @classmethod
+    def resume(cls, rows: DataFrame, path: str, step: int | None = None) -> tuple[Fit, int] | None:
+        """The fit that save() wrote after `step` moves, or last, with its mark; None where nothing was saved. It goes on as if it had never stopped."""
+        steps = saved_steps(rows, path)
+        if not steps or (step is not None and step not in steps):
+            return None
+        parts: dict[str, list] = {}
+        for r in rows.sparkSession.read.schema(_STATE).parquet(f"{path}/step={steps[-1] if step is None else step:08d}").orderBy("name", "i").collect():
+            parts.setdefault(r.name, []).append(r.text or np.array(r.numbers).reshape(r.shape))
+        own = json.loads(parts["fit"][0])
+        fit = cls.__new__(cls)
+        fit.rows, mark = rows, own.pop("mark")
+        for k, v in own.items():
+            setattr(fit, k, v)
+        fit.written, fit.maps = [tuple(w) for w in fit.written], [m.astype(int) for m in parts.get("maps", [])]
+        fit.p = Particles(parts["pi"][0], parts["theta"], parts["rows"][0], parts["phi"], *(parts[k][0] for k in ("log_w", "gamma", "alpha_pi", "alpha_theta")))
+        d = len(fit.sizes)
+        for i, at in enumerate(parts.get("history.step", [])):
+            one = {k: parts[f"history.{k}"][i] for k in ("log_w", "gamma", "pi") if f"history.{k}" in parts}
+            if "history.theta" in parts:
+                one["theta"] = parts["history.theta"][i * d : (i + 1) * d]
+            fit.p.history.append({"step": int(at), **({"ess": float(parts["history.ess"][i])} if "history.ess" in parts else {}), **one})
+        return fit, mark
+
+    def _read(self, entries: list[tuple[str, int, int]]) -> DataFrame:
+        """(row_id, features, a) of consecutive entries of `written`, for the present particles; of a row drawn again, the last."""
         out = None
-        for i, (path, before) in enumerate(self.written):
+        for i, (path, before, _) in enumerate(entries):
             up = np.arange(self.p.n)
             for m in reversed(self.maps[before:]):
                 up = m[up]
             # ancestors are composed from the newest map back, so up[p] is the particle of that time
-            part = self.rows.sparkSession.read.parquet(path).drop("q").withColumn("a", F.transform(F.array(*(F.lit(int(x)) for x in up)), lambda x: F.get("a", x))).withColumn("_age", F.lit(i))
+            part = self.rows.sparkSession.read.parquet(path).select("row_id", *self.features, F.transform(F.array(*(F.lit(int(x)) for x in up)), lambda x: F.get("a", x)).alias("a"), F.lit(i).alias("_age"))
             out = part if out is None else out.unionByName(part)
-        if out is None:
-            return None
+        if len(entries) == 1:
+            return out.drop("_age")
         return out.groupBy("row_id").agg(F.max_by(F.struct(*self.features, "a"), "_age").alias("x")).select("row_id", "x.*")
 
+    def assigned(self) -> DataFrame | None:
+        """(row_id, features, a): the current clusters of all rows seen; of a row drawn again, the last."""
+        return self._read(self.written) if self.written else None
+
+    def _add(self, path: str) -> None:
+        """Takes up a step's file, and merges the last FAN of one size. Merged files stay, as saved states may name them."""
+        self.written.append((path, len(self.maps), 0))
+        while len(last := self.written[-FAN:]) == FAN and len({level for *_, level in last}) == 1:
+            level = last[0][2] + 1
+            merged = f"{path}-merged-{level}"
+            self._read(last).write.mode("overwrite").parquet(merged)
+            self.written[-FAN:] = [(merged, len(self.maps), level)]
+
     def _unassign(self, batch: DataFrame) -> None:
         now = self.assigned()
         if now is None:
@@ -238,7 +310,7 @@ class Fit:
             self._unassign(batch)
         path = f"{self.folder}/step-{self.step:06d}"
         rows, phi, q = draw_clusters(batch, self.features, self.p, self.seed, self.step, path, self.q_mode)
-        self.written.append((path, len(self.maps)))
+        self._add(path)
         self.p.rows += rows
         self.p.phi = [a + b for a, b in zip(self.p.phi, phi, strict=True)]
         q += redraw_parameters(self.p, self.seed, self.step, self.count_mode)
@@ -254,10 +326,14 @@ class Fit:
         self.p.log_w = self.p.log_w + gamma - self.p.gamma - q
         self.p.gamma = gamma
         ess = effective_size(self.p.log_w)
-        self.p.history.append({"step": self.step - 1, "ess": ess, "log_w": self.p.log_w.copy(), "gamma": gamma})
+        self.p.history.append({"step": self.step - 1, "ess": ess, "log_w": self.p.log_w.copy(), "gamma": gamma, **self._kept()})
+        self.taken += 1
         if ess < self.p.n / 2 and self.p.n > 1:
             self.maps.append(resampled(self.p, self.seed, self.step))
 
+    def _kept(self) -> dict:
+        return {"pi": self.p.pi.copy(), "theta": [t.copy() for t in self.p.theta]} if self.keep else {}
+
     def batch(self, begin: int, end: int | None) -> DataFrame:
         rows = self.rows.where(F.col("row_id") >= begin)
         return rows if end is None else rows.where(F.col("row_id") < end)
@@ -286,7 +362,32 @@ def mcmc(fit: Fit, n_rows: int, batch_size: int, steps: int) -> Fit:
     for _ in range(steps):
         fit.gibbs(fit.random_batch(batch_size, n_rows), True)
         fit.p.gamma = log_target(fit.p)
-        fit.p.history.append({"step": fit.step - 1, "gamma": fit.p.gamma.copy()})
+        fit.p.history.append({"step": fit.step - 1, "gamma": fit.p.gamma.copy(), **fit._kept()})
+    return fit
+
+
+def train(fit: Fit, n_rows: int, batch_size: int, path: str, steps: int | None = None, save_every: int = 10, rejuvenation: int = 0) -> Fit:
+    """Steps over consecutive batches that begin again at the first row after the last, n_rows // batch_size by default.
+
+    The fit is saved to `path` before the first step, after every save_every steps and at the end. One that Fit.resume()
+    gives goes on after the steps it has taken, with the same result as without a stop.
+    """
+    steps = n_rows // batch_size if steps is None else steps
+    if not 0 < batch_size <= n_rows:
+        raise ValueError("a batch holds 1 to n_rows rows")
+    if not fit.taken:
+        fit.save(path)
+    while fit.taken < steps:
+        begin = fit.taken * batch_size % n_rows
+        place, over = F.col("row_id"), begin + batch_size - n_rows
+        inside = (place >= begin) & (place < begin + batch_size)
+        seen = rejuvenation > 0 or (fit.taken + 1) * batch_size > n_rows
+        fit.smc_step(fit.rows.where(inside | (place < over) if over > 0 else inside), seen)
+        for _ in range(rejuvenation):
+            fit.gibbs(fit.random_batch(batch_size, n_rows), True)
+            fit.p.gamma = log_target(fit.p)
+        if fit.taken % save_every == 0 or fit.taken == steps:
+            fit.save(path)
     return fit
 
 
@@ -346,8 +447,8 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - _lse(x)[..., None]
 
 
-def gradient_fit(fit: Fit, batch_size: int, steps: int, n_rows: int, rate: float = 0.1, optimizer: str = "adam", random: bool = True) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
-    """Adam or sign descent on mini-batches, random or in order; returns pi, theta (log) and the losses."""
+def gradient_fit(fit: Fit, batch_size: int, steps: int, n_rows: int, rate: float = 0.1, optimizer: str = "adam", random: bool = True, history: list[list[np.ndarray]] | None = None) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+    """Adam or sign descent on mini-batches, random or in order; returns pi, theta (log) and the losses. The logits after each step are added to `history`."""
     r = _rng(fit.seed, 9)
     params = [0.1 * r.standard_normal(fit.p.pi.shape[1]), *(0.1 * r.standard_normal((fit.p.pi.shape[1], k)) for k in fit.sizes)]
     m, v, losses = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], []
@@ -362,4 +463,6 @@ def gradient_fit(fit: Fit, batch_size: int, steps: int, n_rows: int, rate: float
                 continue
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             params[i] = params[i] - rate * (m[i] / (1 - 0.9 ** (t + 1))) / (np.sqrt(v[i] / (1 - 0.999 ** (t + 1))) + 1e-8)
+        if history is not None:
+            history.append([x.copy() for x in params])
     return _log_softmax(params[0]), [_log_softmax(x) for x in params[1:]], losses

@@ -15,12 +15,22 @@ def score_stream(stream: DataFrame, model: Model) -> DataFrame:
 
 
 def follow(stream: DataFrame, fit: Fit, checkpoint: str) -> StreamingQuery:
-    """One sequential Monte Carlo step per micro-batch. A replayed batch id is skipped if its step was already taken."""
-    done: set[int] = set()
+    """One sequential Monte Carlo step per micro-batch, and the fit saved after each under checkpoint/fit.
+
+    A restarted query goes on from what was saved there (`fit` then takes that state). A batch id that the saved state
+    has seen is skipped; one whose step was lost before it was saved is done again from the state before it.
+    """
+    states = f"{checkpoint}/fit"
+    last = -1
+    if found := Fit.resume(fit.rows, states):
+        kept, last = found
+        fit.__dict__.update(kept.__dict__)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in done and not batch.isEmpty():
+        nonlocal last
+        if batch_id > last and not batch.isEmpty():
             fit.smc_step(batch)
-            done.add(batch_id)
+            fit.save(states, batch_id)
+            last = batch_id
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()

@@ -166,3 +166,40 @@ def test_gradient_matches_finite_differences(spark, mixture):
     up = [t.copy() for t in theta]
     up[1][0, 2] += 1e-5
     assert (I.gradient(data, names, pi, up)[0] - I.gradient(data, names, pi, theta)[0]) / 1e-5 == pytest.approx(gt[1][0, 2], abs=0.05)
+
+
+def same_state(a, b):
+    for x, y in zip([a.p.pi, a.p.rows, a.p.log_w, a.p.gamma, *a.p.theta, *a.p.phi], [b.p.pi, b.p.rows, b.p.log_w, b.p.gamma, *b.p.theta, *b.p.phi], strict=True):
+        assert np.allclose(x, y)
+
+
+def test_training_resumes_as_if_it_had_not_stopped(spark, mixture, tmp_path):
+    data, _ = mixture
+    names = [f"f{d}" for d in range(4)]
+    new = lambda k: I.Fit(data, names, [3] * 4, f"file://{tmp_path}/{k}", 3, 2, seed=5, keep=True)
+    whole = I.train(new("a"), 600, 150, f"file://{tmp_path}/a/saved", 6, 2)  # the last two batches are the first two again
+    I.train(new("b"), 600, 150, f"file://{tmp_path}/b/saved", 3, 2)
+    assert I.saved_steps(data, f"file://{tmp_path}/b/saved") == [0, 2, 3]
+    assert I.saved_steps(data, f"file://{tmp_path}/none") == [] and I.Fit.resume(data, f"file://{tmp_path}/none") is None
+    fit, mark = I.Fit.resume(data, f"file://{tmp_path}/b/saved", 2)
+    assert mark == -1 and fit.taken == 2 and fit.p.rows.sum(1).tolist() == [300] * 3
+    I.train(fit, 600, 150, f"file://{tmp_path}/b/saved", 6, 2)
+    same_state(whole, fit)
+    assert whole.p.rows.sum(1).tolist() == [600] * 3 and [h["step"] for h in fit.p.history] == list(range(6))
+    for x, y in zip(whole.p.history, fit.p.history, strict=True):
+        assert x["ess"] == pytest.approx(y["ess"]) and all(np.allclose(p, q) for p, q in zip([x["pi"], *x["theta"]], [y["pi"], *y["theta"]], strict=True))
+    # merged files hold what the steps drew: the kept counts are those of the kept clusters
+    assert max(level for *_, level in fit.written) == 1 and len(fit.written) == 3
+    rows, phi = I.counts(fit.assigned(), names, 3, 2, [3] * 4)
+    assert np.array_equal(rows, fit.p.rows) and all(map(np.array_equal, phi, fit.p.phi))
+    with pytest.raises(ValueError):
+        I.train(fit, 600, 601, f"file://{tmp_path}/b/saved")
+
+
+def test_gradient_history(spark, mixture, tmp_path):
+    data, _ = mixture
+    history = []
+    pi, theta, losses = I.gradient_fit(I.Fit(data, [f"f{d}" for d in range(4)], [3] * 4, f"file://{tmp_path}", 1, 2, seed=6), 300, 3, 600, history=history)
+    assert len(history) == len(losses) == 3
+    for x, logits in zip([pi, *theta], history[-1], strict=True):
+        assert np.allclose(np.exp(x), np.exp(logits) / np.exp(logits).sum(-1, keepdims=True))

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from mixlake.operators.inference import Fit
 from mixlake.operators.model import Model
 from mixlake.sources import tables as T
-from mixlake.streaming.online import score_stream
+from mixlake.streaming.online import follow, score_stream
 
 
 def test_round_trips_and_names(spark, tmp_path):
@@ -35,3 +36,21 @@ def test_models_and_streams(spark, tmp_path):
     q = score_stream(spark.readStream.schema("f int").parquet(f"{tmp_path}/in"), model).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(round(r.log_p, 6) for r in spark.table("scored").collect()) == [-2.5, -0.6, -0.5]
+
+
+def test_a_followed_stream_starts_again_where_it_was(spark, tmp_path):
+    rows = spark.range(90).selectExpr("id AS row_id", "CAST(id % 3 AS INT) AS f", "CAST(id % 2 AS INT) AS g")
+    for k in range(3):
+        rows.where(f"row_id % 3 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+    new = lambda: Fit(rows, ["f", "g"], [3, 2], f"file://{tmp_path}/fit", 2, 2, seed=1)
+
+    def run(fit, parts):
+        spark.read.parquet(*(f"{tmp_path}/in{k}" for k in parts)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("row_id long, f int, g int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        follow(stream, fit, f"file://{tmp_path}/saved").awaitTermination(120)
+        return fit
+
+    first = run(new(), [0])
+    assert first.p.rows.sum(1).tolist() == [30, 30]
+    again = run(new(), [1, 2])  # as after a restart of the driver: nothing is kept in memory
+    assert again.p.rows.sum(1).tolist() == [90, 90] and again.taken == 2 and again.assigned().count() == 90

@@ -10,7 +10,7 @@ from mixlake.operators import distances as D
 from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
 from mixlake.operators.model import Model, averaged
-from mixlake.plans.registry import CLUSTERS, FEATURES, _MARG, edges_sql, SEED, fitted, hidden, joint_sql, model_sql, query, raw_orders, table, u_sql
+from mixlake.plans.registry import CLUSTERS, FEATURES, _IMPUTE, _MARG, edges_sql, SEED, fitted, hidden, joint_sql, model_sql, query, raw_orders, table, u_sql
 from mixlake.sources.scratch import shared_dir
 
 CATS = ["o_orderstatus", "o_orderpriority"]
@@ -257,13 +257,17 @@ def model_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("q15_particle_impute")
+# each order three times, once in each particle; a particle's three clusters are its own, so counts and weights are those of one model of nine
+_PARTICLES = model_sql("p * 3 + CASE p WHEN 0 THEN o_orderkey % 3 WHEN 1 THEN o_custkey % 3 ELSE (o_orderkey + o_custkey) % 3 END", 9).replace("FROM orders, e1,", "FROM orders, (SELECT range AS p FROM range(3)), e1,").rstrip() + ", one AS MATERIALIZED (SELECT DISTINCT o_orderkey, f0, f1, f2 FROM enc)"
+
+
+@query("q15_particle_impute", _PARTICLES + joint_sql(True).replace("enc", "one") + _IMPUTE + " SELECT one.o_orderkey, CAST(coalesce(best.k, one.f1) AS INTEGER) AS priority FROM one LEFT JOIN best USING (o_orderkey)")
 def particle_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three particles (clusters by key modulo 3, by customer modulo 3, by a hash) as one mixture of all their clusters, each weighing alike."""
+    """Three particles (clusters by key modulo 3, by customer modulo 3, by both) as one mixture of all their clusters, each weighing alike."""
     orders = raw_orders(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_k"), "o_custkey"), F.col("o_orderkey") == F.col("_k")).drop("_k")
     schema = S.TableSchema.fit(orders.select(*FEATURES), 5)
     rows = schema.encode(orders)
-    hashes = (F.col("o_orderkey") % 3, F.col("o_custkey") % 3, F.pmod(F.xxhash64("o_orderkey"), F.lit(3)))
+    hashes = (F.col("o_orderkey") % 3, F.col("o_custkey") % 3, (F.col("o_orderkey") + F.col("o_custkey")) % 3)
     pi, theta = None, None
     for p, h in enumerate(hashes):
         m = Model.from_assignments(rows.withColumn("cluster", h), schema.domain(), FEATURES, CLUSTERS)

@@ -180,14 +180,26 @@ def target_choice(df: DataFrame) -> str | None:
 
 
 def cumulative(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """df with the sum of value up to and with each row of its group; nulls add nothing. Groups of any size are summed range by range."""
+    return running_sums(df, order, {name: value}, by)
+
+
+#: Rows that moving averages are made of at a time, about.
+BLOCK = 100_000
 
 
 def moving_average(df: DataFrame, order: list[str], value: str, width: int, name: str, by: list[str] | None = None) -> DataFrame:
-    """Means over `width` consecutive rows; the first width - 1 rows, which have no full window, are left out."""
-    w = W.partitionBy(*(by or [])).orderBy(*order)
-    out = df.withColumn(name, F.avg(value).over(w.rowsBetween(1 - width, 0))).withColumn("_n", F.row_number().over(w))
-    return out.where(F.col("_n") >= width).drop("_n")
+    """Means over `width` consecutive rows; the first width - 1 rows of a group, which have no full window, are left out.
+
+    Rows are counted range by range and cut into blocks; each block also holds the width - 1 rows before it, so none has to hold a group.
+    """
+    by, size = by or [], max(width, BLOCK)
+    at = running_sums(df, order, {"_n": F.lit(1)}, by).withColumn("_n", F.col("_n") - 1)
+    own = F.floor(F.col("_n") / size)
+    blocks = F.when(F.col("_n") % size > size - width, F.array(own, own + 1)).otherwise(F.array(own))
+    w = W.partitionBy(*by, "_block").orderBy("_n")
+    out = at.withColumn("_block", F.explode(blocks)).withColumn(name, F.avg(value).over(w.rowsBetween(1 - width, 0)))
+    return out.where((F.col("_n") >= width - 1) & (F.floor(F.col("_n") / size) == F.col("_block"))).drop("_n", "_block")
 
 
 def direction(corr: Column, margin: float = 0.1) -> Column:

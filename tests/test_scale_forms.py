@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,25 @@ def test_one_vs_rest_and_accuracy(spark):
         pos, neg = ([r[k + 2] for r in rows if (r[1] == c) == side] for side in (True, False))
         assert got[c] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
     assert M.accuracy(df.withColumn("g", F.lit("a")), "g", "y").first().accuracy == pytest.approx(1 / 3)
+
+
+def test_sums_and_averages_of_groups_that_span_ranges(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    group = r.choice([None, "a", "b", "c"], 3000, p=[0.1, 0.6, 0.2, 0.1]).tolist()
+    data = [(g, int(t), None if t % 50 == 0 else float(x)) for g, t, x in zip(group, r.permutation(3000), r.normal(size=3000), strict=True)]
+    df = spark.createDataFrame(data, "g string, t int, x double").repartition(3)
+    sums, averages, rows = {}, {}, {}
+    for g, t, x in sorted(data, key=lambda d: d[1]):
+        rows.setdefault(g, []).append(x)
+        have = rows[g]
+        sums[t] = sum(v for v in have if v is not None)
+        if len(have) >= 7:
+            averages[t] = np.mean([v for v in have[-7:] if v is not None])
+    monkeypatch.setattr(M, "BLOCK", 100)
+    got = {x.t: x.total for x in M.cumulative(df, ["t"], "x", "total", ["g"]).collect()}
+    assert got.keys() == sums.keys() and all(got[t] == pytest.approx(sums[t], abs=1e-9) for t in sums)
+    got = {x.t: x.mean for x in M.moving_average(df, ["t"], "x", 7, "mean", ["g"]).collect()}
+    assert got.keys() == averages.keys() and all(got[t] == pytest.approx(averages[t], abs=1e-9) for t in averages)
+    got = [x.n for x in M.cumulative(df.withColumn("one", F.lit(1)), ["t"], "one", "n").orderBy("t").collect()]
+    assert got == list(range(1, 3001))
+    assert M.cumulative(df.limit(0), ["t"], "x", "total", ["g"]).count() == 0

@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_html_text": "html_text",
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",
+    "op11_centroid_clusters": "centroids",
 }
 
 

@@ -20,6 +20,7 @@ OPERATORS = {
     "op9_mix_sources": "mixing",
     "op10_simhash_neardup": "simhash",
     "op11_centroid_clusters": "centroids",
+    "op12_personal_data": "pii",
     "op13_spelling_variants": "spelling",
 }
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixlake.functions import draws
+
 #: Steps' files of one size that are merged into one of the next size.
 FAN = 4
 
@@ -42,17 +44,6 @@ class Particles:
         return len(self.log_w)
 
 
-def _rng(*key: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence([k & 0xFFFFFFFF for k in key])))
-
-
-def log_dirichlet(rng: np.random.Generator, alpha: np.ndarray, floor: float | None = 1e-10) -> np.ndarray:
-    """Log of Dirichlet draws over the last axis; `floor` keeps entries from vanishing."""
-    g = np.maximum(rng.standard_gamma(alpha), 1e-300)
-    p = g / g.sum(axis=-1, keepdims=True)
-    return np.log(np.maximum(p, floor) if floor else p)
-
-
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
@@ -62,28 +53,27 @@ def dirichlet_score(alpha: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ((alpha - 1) * x).sum(-1) - _lgamma(alpha).astype(float).sum(-1) + _lgamma(alpha.sum(-1)).astype(float)
 
 
+def parameter_draws(alpha_pi: np.ndarray, alpha_theta: list[np.ndarray], particles: np.ndarray, seed: int, step: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log pi [P, C] and log theta by feature [P, C, K_d], drawn by (seed, step, particle, feature, cluster, category)."""
+    own = draws.fold(draws.key(seed, step, draws.WEIGHT), particles)
+    pi = draws.log_dirichlet(own, alpha_pi, None)
+    own, theta = draws.fold(draws.key(seed, step, draws.THETA), particles), []
+    for i, a in enumerate(alpha_theta):
+        theta.append(draws.log_dirichlet(draws.fold(draws.fold(own, i)[:, None], np.arange(a.shape[1])), a))
+    return pi, theta
+
+
 def init_particles(sizes: list[int], n_particles: int, n_clusters: int, seed: int, alpha_pi: float = 1.0, alpha_theta: float = 1.0) -> Particles:
-    """No rows assigned; parameters from their priors."""
-    r = _rng(seed, 0)
-    pi = log_dirichlet(r, np.full((n_particles, n_clusters), alpha_pi), None)
-    theta = [log_dirichlet(r, np.full((n_particles, n_clusters, k), alpha_theta)) for k in sizes]
+    """No rows assigned; parameters from their priors, as drawn before step 0."""
+    shapes = [np.full((n_particles, n_clusters, k), alpha_theta) for k in sizes]
+    pi, theta = parameter_draws(np.full((n_particles, n_clusters), alpha_pi), shapes, np.arange(n_particles), seed, -1)
     zero = np.zeros((n_particles, n_clusters))
     return Particles(pi, theta, zero.copy(), [np.zeros_like(t) for t in theta], np.zeros(n_particles), np.zeros(n_particles), np.full(n_particles, alpha_pi), np.full(n_particles, alpha_theta))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def row_uniforms(row_id: np.ndarray, n_particles: int, seed: int, step: int) -> np.ndarray:
+def row_uniforms(row_id: np.ndarray, particles: np.ndarray, seed: int, step: int) -> np.ndarray:
     """[rows, particles] uniforms that depend on their keys only."""
-    with np.errstate(over="ignore"):
-        base = _mix(row_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + step))
-        x = _mix(base[:, None] + np.arange(1, n_particles + 1, dtype=np.uint64)[None] * np.uint64(0xD1342543DE82EF95))
-    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return draws.unit(draws.fold(draws.fold(draws.key(seed, step, draws.ROW), row_id)[:, None], particles))
 
 
 def joint(codes: list[np.ndarray], pi: np.ndarray, theta: list[np.ndarray]) -> np.ndarray:
@@ -95,6 +85,28 @@ def joint(codes: list[np.ndarray], pi: np.ndarray, theta: list[np.ndarray]) -> n
     return out
 
 
+def drawn_clusters(codes: list[np.ndarray], row_id: np.ndarray, pi: np.ndarray, theta: list[np.ndarray], particles: np.ndarray, seed: int, step: int, q_mode: str = "normalized") -> tuple[np.ndarray, np.ndarray]:
+    """Clusters and their log probabilities [rows, P] of some rows under some particles."""
+    j = joint(codes, pi, theta)
+    lse = _lse(j)
+    cum = np.exp(j - lse[:, :, None]).cumsum(-1)
+    a = np.minimum((cum <= row_uniforms(row_id, particles, seed, step)[:, :, None]).sum(-1), pi.shape[1] - 1)
+    return a, np.take_along_axis(j, a[:, :, None], -1)[:, :, 0] - (lse if q_mode == "normalized" else 0)
+
+
+def cells(codes: list[np.ndarray], a: np.ndarray, n_clusters: int, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows [P, C] and cells by feature [P, C, K_d] of rows' clusters a [rows, P]; a cluster of -1 counts nowhere."""
+    n = a.shape[1]
+    at = np.arange(n)[None] * n_clusters + a
+    there = a >= 0
+    rows = np.bincount(at[there], minlength=n * n_clusters).reshape(n, n_clusters)
+    phi = []
+    for x, k in zip(codes, sizes, strict=True):
+        fine = there & ((x >= 0) & (x < k))[:, None]
+        phi.append(np.bincount((at * k + x[:, None])[fine], minlength=n * n_clusters * k).reshape(n, n_clusters, k))
+    return rows, phi
+
+
 def _codes(batch: pa.RecordBatch, first: int, n: int) -> list[np.ndarray]:
     return [batch.column(first + i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n)]
 
@@ -113,36 +125,45 @@ def _lists(x: np.ndarray) -> pa.ListArray:
 def draw_clusters(batch: DataFrame, features: list[str], p: Particles, seed: int, step: int, path: str, q_mode: str = "normalized") -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Draws the clusters of the batch's rows in all particles; writes (row_id, codes, clusters) to path and returns added rows, cells and the proposal's log probability."""
     pi, theta, n, sizes = p.pi, p.theta, p.n, [t.shape[-1] for t in p.theta]
-    c = pi.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                ids, codes = part.column(0).to_numpy(), _codes(part, 1, len(sizes))
-                j = joint(codes, pi, theta)
-                lse = _lse(j)
-                cum = np.exp(j - lse[:, :, None]).cumsum(-1)
-                a = np.minimum((cum <= row_uniforms(ids, n, seed, step)[:, :, None]).sum(-1), c - 1)
-                q = np.take_along_axis(j, a[:, :, None], -1)[:, :, 0] - (lse if q_mode == "normalized" else 0)
+                a, q = drawn_clusters(_codes(part, 1, len(sizes)), part.column(0).to_numpy(), pi, theta, np.arange(n), seed, step, q_mode)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 + i) for i in range(len(sizes))), _lists(a.astype(np.int32)), _lists(q)], names=["row_id", *features, "a", "q"])
 
     schema = ", ".join(["row_id long", *(f"`{f}` int" for f in features), "a array<int>", "q array<double>"])
     batch.select(F.col("row_id").cast("long"), *(F.col(f).cast("int") for f in features)).mapInArrow(run, schema).write.mode("overwrite").parquet(path)
     drawn = batch.sparkSession.read.parquet(path)
-    return (*counts(drawn, features, n, c, sizes), _summed(drawn, n))
+    return (*counts(drawn, features, n, pi.shape[1], sizes), _summed(drawn, n))
+
+
+#: Rows times particles that are counted at a time, about.
+COUNTED = 1_000_000
 
 
 def counts(drawn: DataFrame, features: list[str], n: int, c: int, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows [P, C] and cells by feature [P, C, K_d] of drawn rows: partial counts in the tasks, then one row per cell of the model."""
-    x = F.explode(F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).alias("k")), *(F.struct(F.lit(i).alias("f"), F.col(f).alias("k")) for i, f in enumerate(features)))).alias("x")
-    long = drawn.select(F.posexplode("a").alias("p", "c"), *features).select("p", "c", x).where("x.k >= 0").groupBy("p", "c", "x.f", "x.k").agg(F.count("*").alias("n"))
-    rows, phi = np.zeros((n, c)), [np.zeros((n, c, k)) for k in sizes]
-    for r in long.where(F.col("c") >= 0).collect():
-        if r.f < 0:
-            rows[r.p, r.c] = r.n
-        elif r.k < sizes[r.f]:
-            phi[r.f][r.p, r.c, r.k] = r.n
+    """Rows [P, C] and cells by feature [P, C, K_d] of drawn rows: tasks count all features in numpy, and send one number for each cell that they have seen."""
+    shapes = [(n, c), *((n, c, k) for k in sizes)]
+    ends = np.cumsum([0, *(math.prod(s) for s in shapes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ends[-1], np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, step := max(1, COUNTED // n)):
+                part = b.slice(k, step)
+                a = np.asarray(part.column(0).flatten().fill_null(-1)).reshape(part.num_rows, -1)[:, :n].astype(np.int64)
+                rows, phi = cells(_codes(part, 1, len(sizes)), a, c, sizes)
+                total += np.concatenate([rows.ravel(), *(f.ravel() for f in phi)])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    own = drawn.select("a", *(F.col(f).cast("int") for f in features)).mapInArrow(run, "cell long, n long")
+    got = own.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(ends[-1])
+    total[np.asarray(got.column("cell"))] = np.asarray(got.column("n"))
+    rows, *phi = (total[i:j].reshape(s) for i, j, s in zip(ends, ends[1:], shapes, strict=False))
     return rows, phi
 
 
@@ -153,17 +174,14 @@ def _summed(drawn: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def redraw_parameters(p: Particles, seed: int, step: int, count_mode: str = "rows") -> np.ndarray:
-    """pi and theta from their posteriors given the counts; returns their proposal log density by particle. count_mode "cells" counts cells in place of rows for pi."""
-    r = _rng(seed, 1, step)
+def redraw_parameters(p: Particles, seed: int, step: int, count_mode: str = "rows", particles: np.ndarray | None = None) -> np.ndarray:
+    """pi and theta from their posteriors given the counts; returns their proposal log density by particle. count_mode "cells" counts cells in place of rows for pi. particles: their numbers, from 0 by default."""
     m = p.rows if count_mode == "rows" else sum(f.sum(-1) for f in p.phi)
-    a = p.alpha_pi[:, None] + m
-    p.pi = log_dirichlet(r, a, None)
+    a, b = p.alpha_pi[:, None] + m, [p.alpha_theta[:, None, None] + f for f in p.phi]
+    p.pi, p.theta = parameter_draws(a, b, np.arange(p.n) if particles is None else particles, seed, step)
     q = dirichlet_score(a, p.pi)
-    for i, f in enumerate(p.phi):
-        b = p.alpha_theta[:, None, None] + f
-        p.theta[i] = log_dirichlet(r, b)
-        q += dirichlet_score(b, p.theta[i]).sum(-1)
+    for shape, t in zip(b, p.theta, strict=True):
+        q += dirichlet_score(shape, t).sum(-1)
     return q
 
 
@@ -175,13 +193,14 @@ def log_target(p: Particles) -> np.ndarray:
     return out
 
 
-def hyperparameters(p: Particles, grid_pi: list[float], grid_theta: list[float], seed: int, step: int) -> None:
+def hyperparameters(p: Particles, grid_pi: list[float], grid_theta: list[float], seed: int, step: int, particles: np.ndarray | None = None) -> None:
     """Draws each particle's concentrations from their grids' posteriors."""
-    r = _rng(seed, 2, step)
-    for grid, name, blocks in ((grid_pi, "alpha_pi", [p.pi[:, None, :]]), (grid_theta, "alpha_theta", p.theta)):
+    own = np.arange(p.n) if particles is None else particles
+    for which, (grid, name, blocks) in enumerate(((grid_pi, "alpha_pi", [p.pi[:, None, :]]), (grid_theta, "alpha_theta", p.theta))):
         score = np.stack([sum(dirichlet_score(np.full(b.shape, a), b).sum(-1) for b in blocks) for a in grid], axis=-1)
         w = np.exp(score - _lse(score)[:, None]).cumsum(-1)
-        setattr(p, name, np.array(grid)[np.minimum((w <= r.random(p.n)[:, None]).sum(-1), len(grid) - 1)])
+        u = draws.unit(draws.fold(draws.key(seed, step, draws.HYPER, which), own))
+        setattr(p, name, np.array(grid)[np.minimum((w <= u[:, None]).sum(-1), len(grid) - 1)])
 
 
 def weights(log_w: np.ndarray) -> np.ndarray:
@@ -194,7 +213,8 @@ def effective_size(log_w: np.ndarray) -> float:
 
 def resampled(p: Particles, seed: int, step: int) -> np.ndarray:
     """Multinomial ancestors; all state follows them and the weights become equal."""
-    up = np.sort(np.minimum((weights(p.log_w).cumsum()[None] <= _rng(seed, 3, step).random(p.n)[:, None]).sum(-1), p.n - 1))
+    u = draws.unit(draws.fold(draws.key(seed, step, draws.ANCESTOR), np.arange(p.n)))
+    up = np.minimum(np.searchsorted(weights(p.log_w).cumsum(), u, side="right"), p.n - 1)
     p.pi, p.theta, p.rows, p.phi = p.pi[up], [t[up] for t in p.theta], p.rows[up], [f[up] for f in p.phi]
     p.gamma, p.alpha_pi, p.alpha_theta = p.gamma[up], p.alpha_pi[up], p.alpha_theta[up]
     p.log_w = np.full(p.n, -math.log(p.n))
@@ -447,10 +467,16 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - _lse(x)[..., None]
 
 
+def initial_logits(sizes: list[int], n_clusters: int, seed: int) -> list[np.ndarray]:
+    """Small normal draws for pi [C] and by feature [C, K], by (seed, feature, cluster, category); pi comes before feature 0 and has one category."""
+    own = draws.fold(draws.key(seed, 0, draws.LOGIT), np.arange(len(sizes) + 1))
+    by = [draws.fold(draws.fold(k, np.arange(n_clusters))[:, None], np.arange(size)) for k, size in zip(own, [1, *sizes], strict=True)]
+    return [0.1 * draws.normal(by[0])[:, 0], *(0.1 * draws.normal(k) for k in by[1:])]
+
+
 def gradient_fit(fit: Fit, batch_size: int, steps: int, n_rows: int, rate: float = 0.1, optimizer: str = "adam", random: bool = True, history: list[list[np.ndarray]] | None = None) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """Adam or sign descent on mini-batches, random or in order; returns pi, theta (log) and the losses. The logits after each step are added to `history`."""
-    r = _rng(fit.seed, 9)
-    params = [0.1 * r.standard_normal(fit.p.pi.shape[1]), *(0.1 * r.standard_normal((fit.p.pi.shape[1], k)) for k in fit.sizes)]
+    params = initial_logits(fit.sizes, fit.p.pi.shape[1], fit.seed)
     m, v, losses = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], []
     for t in range(steps):
         fit.step = t

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from mixlake.plans import benchmark, fits, more  # noqa: F401  their queries register themselves
+    from mixlake.plans import benchmark, boosting, fits, more, swarm  # noqa: F401  their queries register themselves
 
     return dict(_QUERIES)
 

@@ -17,12 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixlake.functions.exprs import NEG_INF, draw_index, lgamma, lse_array, safe_ln, uniform
+from mixlake.operators.schema import unused_name
 from mixlake.operators.scoring import Packed, lists, lse
 from mixlake.sources.scratch import materialize
 
 EPS = 1e-10
 #: Log-probabilities of a model that is sent to all tasks as constants, at most.
 PACKED = 500_000
+#: Features of one side of a block of pairs.
+BLOCK = 8
 
 
 def sufficient_statistics(rows: DataFrame, features: list[str], cluster: str = "cluster", kind: str = "int") -> DataFrame:
@@ -31,14 +34,6 @@ def sufficient_statistics(rows: DataFrame, features: list[str], cluster: str = "
     return rows.select(F.col(cluster).alias("cluster"), cells).where("x.category is not null and cluster is not null").groupBy("cluster", "x.feature", "x.category").agg(F.count("*").alias("n"))
 
 
-def unused_name(names: list[str]) -> str:
-    """A name that isn't among these, in any case."""
-    taken, name = {n.lower() for n in names}, "_every"
-    while name in taken:
-        name += "_"
-    return name
-
-
 @dataclass(frozen=True)
 class Model:
     pi: DataFrame
@@ -196,17 +191,42 @@ class Model:
         return self.marginals().where(F.col("p") > EPS).groupBy("feature").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
 
     def mutual_information(self) -> DataFrame:
-        """(feature_i, feature_j, mi) for i < j, in nats. One job for all pairs."""
-        t = self.theta
-        a = t.select("cluster", F.col("feature").alias("feature_i"), F.col("category").alias("k"), F.col("log_p").alias("lp_i"))
-        b = t.select("cluster", F.col("feature").alias("feature_j"), F.col("category").alias("l"), F.col("log_p").alias("lp_j"))
-        both = a.join(b, "cluster").where("feature_i < feature_j").join(self.pi.withColumnRenamed("log_p", "log_pi"), "cluster")
-        joint = both.groupBy("feature_i", "feature_j", "k", "l").agg(F.sum(F.exp(F.col("log_pi") + F.col("lp_i") + F.col("lp_j"))).alias("p"))
-        p_i = F.sum("p").over(W.partitionBy("feature_i", "feature_j", "k"))
-        p_j = F.sum("p").over(W.partitionBy("feature_i", "feature_j", "l"))
-        terms = joint.withColumn("p_i", p_i).withColumn("p_j", p_j)
-        term = F.when(F.col("p") > EPS, F.col("p") * F.ln((F.col("p") + EPS) / (F.col("p_i") * F.col("p_j") + EPS))).otherwise(0.0)
-        return terms.groupBy("feature_i", "feature_j").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+        """(feature_i, feature_j, mi) for i < j, in nats.
+
+        A product of the features' matrices (category, cluster) by blocks: a task has the features of two blocks of BLOCK, and
+        makes the joint probabilities of each of their pairs by one matrix product over the clusters.
+        """
+        order = sorted(self.features)
+        block = F.create_map(*(F.lit(x) for i, f in enumerate(order) for x in (f, i // BLOCK)))
+        n, c = -(-len(order) // BLOCK), self.n_clusters
+        cells = self.theta.where(F.col("feature").isin(order)).withColumn("g", F.element_at(block, F.col("feature")))
+        cells = cells.join(self.pi.withColumnRenamed("log_p", "log_pi"), "cluster")
+        keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.struct(F.least(h, F.col("g")).alias("i"), F.greatest(h, F.col("g")).alias("j")))
+        dealt = cells.select(F.explode(keys).alias("at"), "feature", "category", "cluster", "log_p", "log_pi").select("at.i", "at.j", "feature", F.col("category").cast("int").alias("category"), F.col("cluster").cast("int").alias("cluster"), "log_p", "log_pi")
+
+        def run(table: pa.Table) -> pa.Table:
+            feature, own = np.asarray(table.column("feature").to_pylist(), object), {}
+            category, cluster, log_p = (np.asarray(table.column(x)) for x in ("category", "cluster", "log_p"))
+            prior = np.zeros(c)
+            prior[cluster] = np.exp(np.asarray(table.column("log_pi")))
+            for f in sorted(set(feature)):
+                at = feature == f
+                _, place = np.unique(category[at], return_inverse=True)
+                own[f] = np.zeros((place.max() + 1, c))
+                own[f][place, cluster[at]] = np.exp(log_p[at])
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            place_of = {f: k // BLOCK for k, f in enumerate(order)}
+            out = []
+            for a in own:
+                for b in own:
+                    if a < b and (place_of[a], place_of[b]) == (i, j):
+                        p = (own[a] * prior) @ own[b].T
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            term = np.where(p > EPS, p * np.log((p + EPS) / (p.sum(1)[:, None] * p.sum(0) + EPS)), 0.0)
+                        out.append((a, b, max(float(term.sum()), 0.0)))
+            return pa.table({"feature_i": pa.array([r[0] for r in out], pa.string()), "feature_j": pa.array([r[1] for r in out], pa.string()), "mi": pa.array([r[2] for r in out], pa.float64())})
+
+        return dealt.groupBy("i", "j").applyInArrow(run, "feature_i string, feature_j string, mi double")
 
     def mutual_information_cluster(self) -> DataFrame:
         """(feature, mi) between each feature and the cluster."""

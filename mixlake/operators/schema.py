@@ -3,55 +3,117 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixlake.functions.exprs import bin_digitize, bin_right_closed
 from mixlake.operators.ordering import running_sums
 from mixlake.sources.scratch import materialize
 
-PARTS = 2048
+#: Sketches know ranks to one in so many; a refining pass has this many parts for all columns together, and at least so many for each rank.
+ACCURACY, PARTS, LEAST = 10_000, 1_000_000, 64
+#: Levels of a table that are sent to all tasks, at most, and their characters.
+PACKED_LEVELS, PACKED_TEXT = 100_000, 8_000_000
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the doubles' order: -0.0 as 0.0, NaN above all."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))).view(np.uint64)
+
+
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >= 1 << 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
 def order_statistics(df: DataFrame, column: str, fractions: list[float]) -> list[float]:
-    """The values at the nearest ranks round(q * (n - 1)) of the column's non-null values, exactly.
+    """The values at the nearest ranks round(q * (n - 1)) of the column's non-null values, exactly. No values give no edges."""
+    return order_statistics_of(df, {column: fractions})[column]
+
 
-    Histograms narrow the interval of each rank until it holds one value: a few aggregations, each with
-    PARTS rows per rank at most, and never a sort of the column. No values give no edges.
+def order_statistics_of(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float]]:
+    """order_statistics() of many columns by the same scans, two or three whatever their number.
+
+    The first scan makes a mergeable quantile sketch of each column, which brackets every rank. Each further one counts what lies
+    below a bracket and in the parts of it, all columns in one pass of numpy, until a bracket holds one value; never a sort of a column.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return []
-    goals = {i: (math.floor(q * (n - 1) + 0.5), 0, low, high) for i, q in enumerate(fractions)}
-    found: dict[int, float] = {}
+    names = list(wanted)
+    if not names:
+        return {}
+    x = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)))
+    around = lambda q: [min(max(q + d / ACCURACY, 0.0), 1.0) for d in (-2, 2)]
+    sketches = (F.percentile_approx(f"x{i}", [v for q in wanted[c] for v in around(q)], ACCURACY).alias(f"s{i}") for i, c in enumerate(names) if wanted[c])
+    first = x.agg(*(F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))), *sketches).first()
+    whole = (0, (1 << 64) - 1)
+    found: dict[tuple[int, int], float] = {}
+    goals: dict[tuple[int, int], tuple[int, int, int]] = {}  # rank and bracket, both ends in it
+    for i, c in enumerate(names):
+        n = first[f"n{i}"]
+        for j, q in enumerate(wanted[c] if n else []):
+            low, high = (int(k) for k in _keys(np.array(first[f"s{i}"][2 * j : 2 * j + 2], float)))
+            goals[i, j] = (math.floor(q * (n - 1) + 0.5), 0 if q <= 2 / ACCURACY else low, whole[1] if q >= 1 - 2 / ACCURACY else high)
     while goals:
-        for i in [i for i, (_, _, a, b) in goals.items() if a == b]:
-            found[i] = goals.pop(i)[2]
-        spans = sorted({(a, b) for _, _, a, b in goals.values()})
-        if not spans:
-            break
-        key = F.lit(None).cast("int")
-        for k, (a, b) in enumerate(spans):
-            width = (b - a) / PARTS
-            part = F.least(F.floor((F.col("x") - a) / width) if width > 0 else F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")).cast("int")
-            if a + width <= a or b - width >= b:  # neighbours among doubles: the two ends only
-                part = F.when(F.col("x") > a, PARTS - 1).otherwise(0)
-            key = F.when((F.col("x") >= a) & (F.col("x") <= b), part + k * PARTS).otherwise(key)
-        rows = x.withColumn("k", key).where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
-        by = {r.k: r for r in rows}
-        for i, (rank, before, a, b) in list(goals.items()):
-            k = spans.index((a, b)) * PARTS
-            for part in range(k, k + PARTS):
-                if part in by:
-                    if rank < before + by[part].n:
-                        goals[i] = (rank, before, by[part].a, by[part].b)
-                        break
-                    before += by[part].n
-    return [found[i] for i in range(len(fractions))]
+        brackets = sorted({(i, low, high) for (i, _), (_, low, high) in goals.items()})
+        parts = max(LEAST, PARTS // len(brackets))
+        seen = _parts(x, brackets, parts)
+        for (i, j), (rank, low, high) in list(goals.items()):
+            below, rows = seen[i, low, high]
+            for n, least, most in rows:
+                if below <= rank < below + n:
+                    if least == most:
+                        found[i, j] = _value(least)
+                        del goals[i, j]
+                    else:
+                        goals[i, j] = (rank, least, most)
+                    break
+                below += n
+            else:  # the sketch has missed it
+                goals[i, j] = (rank, *whole)
+    return {c: [found[i, j] for j in range(len(wanted[c]))] if first[f"n{i}"] else [] for i, c in enumerate(names)}
+
+
+def _parts(x: DataFrame, brackets: list[tuple[int, int, int]], parts: int) -> dict[tuple[int, int, int], tuple[int, list[tuple[int, int, int]]]]:
+    """By bracket (column, low, high) how many values lie below, and (n, least, most) of each part of it that has values, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, cells = np.zeros(len(brackets), np.int64), [{} for _ in brackets]
+        for b in batches:
+            sorted_keys: dict[int, np.ndarray] = {}
+            for k, (i, low, high) in enumerate(brackets):
+                if i not in sorted_keys:
+                    sorted_keys[i] = np.sort(_keys(np.asarray(b.column(i).drop_null(), float)))
+                keys = sorted_keys[i]
+                begin, end = np.searchsorted(keys, np.uint64(low), "left"), np.searchsorted(keys, np.uint64(high), "right")
+                below[k] += begin
+                inside = keys[begin:end]
+                if len(inside):
+                    part = (inside - np.uint64(low)) // np.uint64((high - low) // parts + 1)
+                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    last = np.append(first[1:], len(part)) - 1
+                    for p, n, least, most in zip(part[first].tolist(), (last - first + 1).tolist(), inside[first].tolist(), inside[last].tolist(), strict=True):
+                        old = cells[k].get(p)
+                        cells[k][p] = (n, least, most) if old is None else (old[0] + n, min(old[1], least), max(old[2], most))
+        out = [(k, -1, int(n), 0, 0) for k, n in enumerate(below)] + [(k, p, *v) for k, own in enumerate(cells) for p, v in own.items()]
+        signed = lambda v: v - (1 << 63)  # noqa: E731  the keys' order, as longs
+        columns = [[r[0] for r in out], [r[1] for r in out], [r[2] for r in out], [signed(r[3]) for r in out], [signed(r[4]) for r in out]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bracket", "part", "n", "least", "most"])
+
+    got = x.mapInArrow(run, "bracket long, part long, n long, least long, most long").groupBy("bracket", "part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).toArrow()
+    out = {b: [0, []] for b in brackets}
+    for k, part, n, least, most in sorted(zip(*(got.column(c).to_pylist() for c in ("bracket", "part", "n", "least", "most")), strict=True)):
+        if part < 0:
+            out[brackets[k]][0] = n
+        else:
+            out[brackets[k]][1].append((n, least + (1 << 63), most + (1 << 63)))
+    return {b: tuple(v) for b, v in out.items()}
 
 
 @dataclass(frozen=True)
@@ -72,15 +134,14 @@ class TableSchema:
     def fit(cls, df: DataFrame, n_bins: int = 20, coerce: bool = False) -> TableSchema:
         """Strings are categorical, doubles numerical; other types raise unless `coerce` casts them. Levels are sorted, nulls left out, and written to the shared folder."""
         df = coerced(df) if coerce else df
-        features = []
         for name, kind in df.dtypes:
-            if kind == "string":
-                features.append(Feature(name, "categorical"))
-            elif kind == "double":
-                features.append(Feature(name, "numerical", tuple(order_statistics(df, name, [i / n_bins for i in range(n_bins + 1)]))))
-            else:
+            if kind not in ("string", "double"):
                 raise ValueError(f"{name}: {kind} is neither string nor double")
-        return cls(tuple(features), materialize(levels(df, [f.name for f in features if f.kind == "categorical"]), "levels"))
+        kinds = dict(df.dtypes)
+        edges = order_statistics_of(df, {c: [i / n_bins for i in range(n_bins + 1)] for c, k in kinds.items() if k == "double"})
+        features = tuple(Feature(c, "numerical", tuple(edges[c])) if k == "double" else Feature(c, "categorical") for c, k in kinds.items())
+        own = levels(df, [f.name for f in features if f.kind == "categorical"])
+        return cls(features, materialize(own, "levels") if any(f.kind == "categorical" for f in features) else own)
 
     def domain(self) -> DataFrame:
         """(feature, category, label) of every value a code can have; bins have the number as label."""
@@ -96,19 +157,56 @@ class TableSchema:
         cut = bin_right_closed if binning == "right_closed" else bin_digitize
         return df.withColumns({f.name: cut(F.col(f.name), list(f.edges)) for f in self.features if f.kind == "numerical"})
 
+    @cached_property
+    def packed(self) -> dict[str, pa.Array]:
+        """The levels, by their codes, of the features that together have PACKED_LEVELS and PACKED_TEXT at most, those with fewest first."""
+        sizes = self.levels.groupBy("feature").agg(F.count("*").alias("k"), F.sum(F.octet_length("label")).alias("text")).orderBy("k", "feature").collect()  # a row for each feature
+        levels_left, text_left, taken = PACKED_LEVELS, PACKED_TEXT, []
+        for r in sizes:
+            levels_left, text_left = levels_left - r.k, text_left - r.text
+            if levels_left < 0 or text_left < 0:
+                break
+            taken.append(r.feature)
+        if not taken:
+            return {}
+        got = self.levels.where(F.col("feature").isin(taken)).orderBy("feature", "category").toArrow()
+        feature = np.asarray(got.column("feature").to_pylist())
+        return {f: got.column("label").filter(pa.array(feature == f)).combine_chunks() for f in taken}
+
     def encode(self, df: DataFrame) -> DataFrame:
         """Every feature becomes an int code; nulls and unseen levels become null. Other columns stay.
 
-        Each categorical column is joined with its levels; small ones are broadcast by their size at run time.
+        The columns of small dictionaries are looked up together, in one pass without a join; each of the
+        others is joined with its levels.
         """
-        out = self.discretize(df)
+        out, packed = self.discretize(df), self.packed
+        small = [f.name for f in self.features if f.kind == "categorical" and f.name in packed]
+        if small:
+            dictionaries, names = [packed[f] for f in small], [f"f{i}" for i in range(len(small))]
+
+            @F.arrow_udf("struct<" + ", ".join(f"{n}: int" for n in names) + ">")
+            def look_up(*columns: pa.Array) -> pa.Array:
+                codes = [pc.index_in(c.cast(d.type), value_set=d) for c, d in zip(columns, dictionaries, strict=True)]
+                return pa.StructArray.from_arrays(codes, names=names)
+
+            found = unused_name(out.columns)
+            out = out.withColumn(found, look_up(*(F.col(f"`{c}`") for c in small)))
+            out = out.withColumns({c: F.col(f"{found}.f{i}") for i, c in enumerate(small)}).drop(found)
         for f in self.features:
-            if f.kind == "categorical":
+            if f.kind == "categorical" and f.name not in packed:
                 own = self.levels.where(F.col("feature") == f.name).select(F.col("label").alias("_label"), F.col("category").alias("_code"))
                 out = out.join(own, F.col(f.name) == F.col("_label"), "left").withColumn(f.name, F.col("_code")).drop("_label", "_code")
         return out
 
 
+def unused_name(names: list[str]) -> str:
+    """A name that isn't among these, in any case."""
+    taken, name = {n.lower() for n in names}, "_every"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def df_range(like: DataFrame, n: int) -> DataFrame:
     return like.sparkSession.range(n)
 
@@ -119,8 +217,9 @@ def levels(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "feature string, category int, label string")
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("label")) for c in columns))).alias("x")
     seen = df.select(pairs).select("x.*").where("label is not null").distinct()
-    number = F.row_number().over(W.partitionBy("feature").orderBy("label")) - 1
-    return seen.select("feature", number.cast("int").alias("category"), "label")
+    # numbered range by range, so that no task has to hold a column's levels
+    numbered = running_sums(seen, ["label"], {"category": F.lit(1)}, ["feature"])
+    return numbered.select("feature", (F.col("category") - 1).cast("int").alias("category"), "label")
 
 
 def coerced(df: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ rows has no distribution: distances to it are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,15 +75,72 @@ def js_grouped(a: DataFrame, b: DataFrame, columns: list[str], keys: list[str],
     return js_of_counts(counted, [*keys, "feature"], eps).groupBy(*keys).agg(F.avg("js").alias("js"))
 
 
-def js_pairs(a: DataFrame, b: DataFrame, columns: list[str], eps: float = EPS, dense: dict[str, int] | None = None) -> DataFrame:
-    """(feature_i, feature_j, js) for i <= j: marginals on the diagonal, observed pairs of values off it. dense: number of codes of each column."""
+#: Categories of all columns together whose pairs tasks count as one matrix, at most.
+COUNTED = 4096
+#: Rows that are multiplied at a time; their counts are exact in single precision.
+GRAM_ROWS = 8192
+
+
+def pair_counts(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature_i, feature_j, category, n1, n2) for i <= j in the columns' order: how often both sides have each pair of cells that occurs.
+
+    One scan lists the columns' cells. In a second one tasks turn their rows into one-hot codes and add up the products of
+    blocks of columns, so that a row gives no rows of its own; one number for each pair of cells is shuffled. Columns with
+    more than COUNTED cells in all are counted pair by pair instead, with the same result.
+    """
+    both = a.select(F.lit(1).alias("side"), *(_text(c).alias(f"x{i}") for i, c in enumerate(columns))).unionByName(b.select(F.lit(2).alias("side"), *(_text(c).alias(f"x{i}") for i, c in enumerate(columns))))
+    names = [f"x{i}" for i in range(len(columns))]
+    long = both.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(names)))).alias("x")).select("x.*").distinct()
+    listed = long.limit(COUNTED + 1).collect()
+    if len(listed) > COUNTED:
+        return _counted_by_pair(a, b, columns)
+    own = [pa.array(sorted(r.v for r in listed if r.i == i), pa.string()) for i in range(len(columns))]
+    ends = np.cumsum([0, *map(len, own)])
+    size, block = int(ends[-1]), 512
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, GRAM_ROWS):
+                part = whole.slice(k, GRAM_ROWS)
+                sides = np.asarray(part.column(0))
+                at = np.stack([np.asarray(pc.index_in(part.column(i + 1).cast(pa.string()), value_set=v)).astype(np.int64) + ends[i] for i, v in enumerate(own)], axis=1)
+                for side in (1, 2):
+                    some = at[sides == side]
+                    if len(some):
+                        hot = np.zeros((len(some), size), np.float32)
+                        hot[np.arange(len(some))[:, None], some] = 1
+                        sums = total.setdefault(side, np.zeros((size, size), np.int64))
+                        for i in range(0, size, block):
+                            sums[i : i + block, i:] += np.rint(hot[:, i : i + block].T @ hot[:, i:]).astype(np.int64)
+        for side, sums in total.items():
+            x, y = np.nonzero(np.triu(sums))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), side)), pa.array(x * size + y), pa.array(sums[x, y])], names=["side", "cell", "n"])
+
+    n = [F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2)]
+    cells = both.select("side", *names).mapInArrow(run, "side long, cell long, n long").groupBy("cell").agg(*n)
+    x, y = F.floor(F.col("cell") / size).cast("int"), (F.col("cell") % size).cast("int")
+    # cells are numbered column by column: a label for each, of COUNTED at most
+    feature, label = (F.lit(list(v)) for v in ([columns[i] for i, v in enumerate(own) for _ in v], [t for v in own for t in v.to_pylist()]))
+    i, j = F.get(feature, x), F.get(feature, y)
+    pair = F.struct(F.get(label, x).alias("i"), F.get(label, y).alias("j")).alias("category")
+    return cells.select(i.alias("feature_i"), j.alias("feature_j"), pair, "n1", "n2").where((F.col("feature_i") != F.col("feature_j")) | (F.col("category.i") == F.col("category.j")))
+
+
+def _counted_by_pair(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """pair_counts() from a row for each pair of columns of a row."""
     pairs = [(i, j) for x, i in enumerate(columns) for j in columns[x:]]
 
     def long(df: DataFrame, side: int) -> DataFrame:
         x = F.explode(F.array(*(F.struct(F.lit(i).alias("feature_i"), F.lit(j).alias("feature_j"), F.struct(_text(i).alias("i"), _text(j).alias("j")).alias("category")) for i, j in pairs))).alias("x")
         return df.select(F.lit(side).alias("side"), x).select("side", "x.*")
 
-    counted = counts(long(a, 1).unionByName(long(b, 2)), ["feature_i", "feature_j", "category"])
+    return counts(long(a, 1).unionByName(long(b, 2)), ["feature_i", "feature_j", "category"])
+
+
+def js_pairs(a: DataFrame, b: DataFrame, columns: list[str], eps: float = EPS, dense: dict[str, int] | None = None) -> DataFrame:
+    """(feature_i, feature_j, js) for i <= j: marginals on the diagonal, observed pairs of values off it. dense: number of codes of each column."""
+    counted = pair_counts(a, b, columns)
     if not dense:
         return js_of_counts(counted, ["feature_i", "feature_j"], eps)
     sizes = F.create_map(*(F.lit(x) for c, k in dense.items() for x in (c, k)))
@@ -88,14 +150,12 @@ def js_pairs(a: DataFrame, b: DataFrame, columns: list[str], eps: float = EPS, d
 
 def js_boolean_pairs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_i, feature_j, jsd) for i < j of Boolean columns, over their four joint cells; no root and no eps, empty cells count 0."""
-    pairs = [(i, j) for x, i in enumerate(columns) for j in columns[x + 1 :]]
+    return _jsd(pair_counts(a, b, columns).where("feature_i <> feature_j"), ["feature_i", "feature_j"])
 
-    def long(df: DataFrame, side: int) -> DataFrame:
-        x = F.explode(F.array(*(F.struct(F.lit(i).alias("feature_i"), F.lit(j).alias("feature_j"), (F.col(i).cast("int") * 2 + F.col(j).cast("int")).alias("category")) for i, j in pairs))).alias("x")
-        return df.select(F.lit(side).alias("side"), x).select("side", "x.*")
 
-    counted = counts(long(a, 1).unionByName(long(b, 2)), ["feature_i", "feature_j", "category"])
-    return _jsd(counted, ["feature_i", "feature_j"])
+def js_one_hot_mean(a: DataFrame, b: DataFrame, columns: list[str], bivariate: bool = True) -> DataFrame:
+    """One row: the mean divergence of Boolean columns, over their pairs or over the columns. Null for a single column's pairs."""
+    return (js_boolean_pairs if bivariate else js_one_hot)(a, b, columns).agg(F.avg("jsd").alias("jsd"))
 
 
 def js_one_hot(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

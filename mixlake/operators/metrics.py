@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,12 +78,27 @@ def mean_interval(df: DataFrame, column: str, confidence: float = 0.95) -> tuple
 
 
 def autocorrelation(df: DataFrame, order: str, value: str, most: int = 30) -> DataFrame:
-    """(lag, rho): the biased autocorrelation of values at consecutive integers of `order`, by an equi-join on the shifted place."""
-    n, mean, var = df.agg(F.count("*"), F.avg(value), F.sum((F.col(value)) * F.col(value))).first()
-    total = var - n * mean * mean
-    x = df.select(F.col(order).alias("t"), (F.col(value) - F.lit(mean)).alias("x"))
-    lags = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("lag", (F.col("t") + F.col("lag")).alias("t"), F.col("x").alias("y"))
-    return lags.join(x, "t").groupBy("lag").agg((F.sum(F.col("x") * F.col("y")) / F.lit(total)).alias("rho"))
+    """(lag, rho): the biased autocorrelation of values at consecutive integers of `order`, for lags 0 to `most`.
+
+    The series is cut into blocks of BLOCK places; a block also has the `most` places after it, so it is shuffled once, and
+    tasks add up all lags of a block in numpy. Places without a value, and null values, add nothing.
+    """
+    n, mean, square = df.agg(F.count(value), F.avg(value), F.sum(F.col(value) * F.col(value))).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "lag int, rho double")
+    total, size = square - n * mean * mean, max(BLOCK, most + 1)
+    block, place = F.floor(F.col("t") / size), F.pmod("t", F.lit(size))
+    own = df.where(F.col(value).isNotNull()).select(F.col(order).cast("long").alias("t"), (F.col(value).cast("double") - F.lit(mean)).alias("x"))
+    own = own.withColumn("block", F.explode(F.when(place < most, F.array(block - 1, block)).otherwise(F.array(block))))
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("block")[0].as_py() * size
+        x = np.zeros(size + most)
+        x[np.asarray(table.column("t")) - first] = np.asarray(table.column("x"))
+        return pa.table({"lag": pa.array(range(most + 1), pa.int32()), "s": pa.array([float(x[:size] @ x[lag : lag + size]) for lag in range(most + 1)])})
+
+    sums = own.groupBy("block").applyInArrow(run, "lag int, s double")
+    return sums.groupBy("lag").agg((F.sum("s") / F.lit(total)).alias("rho"))
 
 
 def chain_effective_size(rho: DataFrame, n: int) -> DataFrame:
@@ -160,15 +177,27 @@ def throughput(runs: DataFrame, steps: str, batch: str, rejuvenations: str, seco
 
 
 def checkpoint_of(steps: DataFrame, targets: list[int], save_every: int = 1, step: str = "step") -> DataFrame:
-    """(target, step): the saved step at or before each target's place, target rounded down to a multiple of save_every; the
-    closest one where that is absent (the smaller of two), the last beyond the last."""
-    goals = [(t, t // save_every * save_every) for t in targets]
+    """(target, step): the saved step of each target's place, target rounded down to a multiple of save_every, if it is there; else the
+    one closest to the target itself, the smaller of two; the last for targets beyond the last."""
     s = F.col(step)
-    picks = F.array(*(F.struct(F.lit(t).cast("long").alias("target"), F.min_by(step, F.struct(F.abs(s - g), s)).cast("long").alias("near"), F.max(step).cast("long").alias("last")) for t, g in goals))
+    picks = F.array(*(F.struct(F.lit(t).cast("long").alias("target"), F.min_by(step, F.struct((s != t // save_every * save_every).alias("other"), F.abs(s - t), s)).cast("long").alias("near"), F.max(step).cast("long").alias("last")) for t in targets))
     x = steps.agg(picks.alias("x")).select(F.explode("x").alias("x"))
     return x.select("x.target", F.when(F.col("x.target") > F.col("x.last"), F.col("x.last")).otherwise(F.col("x.near")).alias(step))
 
 
+def grouped_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., median): exact, the mean of the middle two of an even number of non-null values; groups without values are left out.
+
+    Values are numbered range by range, so a group of any size is in no single task.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
+    at = running_sums(own, ["_value"], {"_place": F.lit(1)}, by)
+    same = [F.col(f"_l{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+    size = at.groupBy(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(by))).agg(F.max("_place").alias("_n"))
+    middle = (F.col("_place") >= F.floor((F.col("_n") + 1) / 2)) & (F.col("_place") <= F.floor(F.col("_n") / 2) + 1)
+    return at.join(size, same).where(middle).groupBy(*by).agg(F.avg("_value").alias("median"))
+
+
 def target_choice(df: DataFrame) -> str | None:
     """The string column of middle cardinality among those with 2 to 20 distinct values."""
     names = [c for c, k in df.dtypes if k == "string"]

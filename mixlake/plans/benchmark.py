@@ -88,9 +88,9 @@ def uniform_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particle_of_rows(table(spark, sf_dir, "orders").select("o_orderkey"), weights, 7, "o_orderkey")
 
 
-@query("q20_checkpoints", "SELECT CAST(t AS BIGINT) AS target, CASE WHEN t > max(s) THEN max(s) ELSE arg_min(s, (abs(s - t // 10 * 10), s)) END AS step FROM (SELECT DISTINCT user_id * 10 AS s FROM events), (SELECT unnest([0, 5, 17, 100, 1003, 1000000000]) AS t) GROUP BY t")
+@query("q20_checkpoints", "SELECT CAST(t AS BIGINT) AS target, CASE WHEN t > max(s) THEN max(s) ELSE arg_min(s, (s <> t // 10 * 10, abs(s - t), s)) END AS step FROM (SELECT DISTINCT user_id * 20 AS s FROM events), (SELECT unnest([0, 5, 17, 100, 1003, 1000000000]) AS t) GROUP BY t")
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.checkpoint_of(table(spark, sf_dir, "events").select((F.col("user_id") * 10).alias("step")), [0, 5, 17, 100, 1003, 1_000_000_000], 10)
+    return M.checkpoint_of(table(spark, sf_dir, "events").select((F.col("user_id") * 20).alias("step")), [0, 5, 17, 100, 1003, 1_000_000_000], 10)
 
 
 @query("q22_state_counts", model_sql() + "SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, count(*) FILTER (isfinite(lp)) AS n_finite, count(*) FILTER (NOT isfinite(lp)) AS n_impossible, round(sum(exp(lp)), 6) AS total FROM theta GROUP BY cluster")

@@ -96,6 +96,11 @@ def js_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.js_one_hot(*_bools(spark, sf_dir), list(_BOOL)).withColumn("jsd", rounded(F.col("jsd")))
 
 
+@query("j07_bivariate_mean", "WITH lng AS (" + " UNION ALL ".join(f"SELECT o_orderkey % 2 AS side, '{i}' AS feature_i, '{j}' AS feature_j, CAST({_BOOL[i]} AS INT) * 2 + CAST({_BOOL[j]} AS INT) AS category FROM orders" for i, j in _BPAIRS) + "), cnt AS (SELECT feature_i, feature_j, category, count(*) FILTER (side = 0) AS n1, count(*) FILTER (side = 1) AS n2 FROM lng GROUP BY ALL), one AS (WITH " + jsd_sql("feature_i, feature_j").replace("round(", "(").replace(", 6) AS jsd", ") AS jsd") + ") SELECT round(avg(jsd), 9) AS jsd FROM one")
+def js_bivariate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.js_one_hot_mean(*_bools(spark, sf_dir), list(_BOOL)).withColumn("jsd", rounded(F.col("jsd"), 9))
+
+
 @query("j08_marginals", f"WITH {_LONG} SELECT feature, category, round(count(*) / sum(count(*)) OVER (PARTITION BY feature), 6) AS p FROM lng GROUP BY feature, category")
 def marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.marginals(table(spark, sf_dir, "orders"), CATS).withColumn("p", rounded(F.col("p")))
@@ -183,7 +188,9 @@ def best_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r17_group_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"), rounded(F.median("value")).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("user_id").alias("users"))
+    events = table(spark, sf_dir, "events")
+    own = events.groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("user_id").alias("users"))
+    return own.join(M.grouped_median(events, ["event_type"], "value"), "event_type").withColumn("median", rounded(F.col("median")))
 
 
 @query("r20_corr_label", "SELECT event_type, CASE WHEN corr(event_id, value) > 0.1 THEN 'increasing' WHEN corr(event_id, value) < -0.1 THEN 'decreasing' ELSE 'flat' END AS direction, round(corr(event_id, value), 6) AS corr FROM events GROUP BY event_type")

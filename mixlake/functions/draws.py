@@ -100,9 +100,10 @@ def unit_sql(k: str) -> str:
 
 
 def gamma_sql(source: str, keep: str, shape: str = "a", tries: int = 24) -> str:
-    """A query of `keep` columns and g, gamma draws for the rows of `source` with key column h and shapes of at least 1."""
+    """A query of `keep` columns and g, gamma draws for the rows of `source` with key column h and column `shape`."""
     u = lambda j: unit_sql(fold_sql("h", f"t * {_EACH} + {j}"))
+    less = f"CASE WHEN {shape} < 1 THEN pow({unit_sql(fold_sql('h', _ALL - 1))}, 1 / {shape}) ELSE 1 END"
     x = f"sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)})"
-    drawn = f"SELECT *, {shape} - 1.0 / 3 AS d, {x} AS x, ln({u(2)}) AS lu FROM {source}, (SELECT range AS t FROM range({tries}))"
+    drawn = f"SELECT *, CAST({shape} AS DOUBLE) + CASE WHEN {shape} < 1 THEN 1 ELSE 0 END - 1.0::DOUBLE / 3 AS d, {less} AS less, {x} AS x, ln({u(2)}) AS lu FROM {source}, (SELECT range AS t FROM range({tries}))"
     tried = f"SELECT *, (1 + x / sqrt(9 * d)) * (1 + x / sqrt(9 * d)) * (1 + x / sqrt(9 * d)) AS v FROM ({drawn})"
-    return f"SELECT {keep}, arg_min(d * v, t) AS g FROM ({tried}) WHERE v > 0 AND lu < x * x / 2 + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1 END) GROUP BY {keep}"
+    return f"SELECT {keep}, arg_min(d * v * less, t) AS g FROM ({tried}) WHERE v > 0 AND lu < x * x / 2 + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1 END) GROUP BY {keep}"

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlake.functions import draws
+from mixlake.functions.exprs import uniform
 
 #: Steps' files of one size that are merged into one of the next size.
 FAN = 4
@@ -359,9 +360,8 @@ class Fit:
         return rows if end is None else rows.where(F.col("row_id") < end)
 
     def random_batch(self, size: int, n_rows: int) -> DataFrame:
-        """About `size` rows, chosen by a hash of (seed, step, row_id): no sort of the table."""
-        h = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(self.step), "row_id"), F.lit(1 << 30))
-        return self.rows.where(h < int((1 << 30) * min(1.0, size / n_rows)))
+        """About `size` rows, chosen by a number of (seed, step, row_id): no sort of the table."""
+        return self.rows.where(uniform(self.seed, "batch", self.step, F.col("row_id")) < size / n_rows)
 
 
 def smc(fit: Fit, n_rows: int, batch_size: int, steps: int, rejuvenation: int = 0) -> Fit:

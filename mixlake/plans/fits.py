@@ -1,7 +1,7 @@
 """Registered queries of fits, and of sources and sinks: what they give that SQL can give too.
 
-Draws are random, but what they add up to isn't: every particle's counts are the table's, a trainer has seen
-as many rows as its steps hold, and scores and gradients at given parameters are sums over the table.
+Draws have keys, so SQL repeats whole fits; a trainer has seen as many rows as its steps hold; scores and
+gradients at given parameters are sums over the table.
 """
 
 from __future__ import annotations
@@ -18,27 +18,27 @@ from mixlake.operators import inference as I
 from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
 from mixlake.operators.model import Model
+from mixlake.plans import replay as R
 from mixlake.plans.more import _encoded
 from mixlake.plans.registry import CLUSTERS, FEATURES, fitted, joint_sql, model_sql, query, table
 from mixlake.sources import tables as T
 from mixlake.sources.scratch import shared_dir
 
-_CELLS = "SELECT CAST(p.range AS INTEGER) AS particle, feature, CAST(k AS INTEGER) AS category, count(*) AS n, count(*) AS n_assigned FROM lng, range({}) p GROUP BY ALL"
-
 
 def _cells(spark: SparkSession, fit: I.Fit) -> DataFrame:
-    """(particle, feature, category, n, n_assigned): cells that the fit's counts hold, and those of the clusters it wrote, over all clusters."""
+    """(particle, feature, cluster, category, n, n_assigned): cells that the fit's counts hold, and those of the clusters it wrote."""
     _, written = I.counts(fit.assigned(), FEATURES, fit.p.n, fit.p.pi.shape[1], fit.sizes)
-    sums = [(f, own.sum(1), out.sum(1)) for f, own, out in zip(FEATURES, fit.p.phi, written, strict=True)]
-    rows = [(p, f, k, int(own[p, k]), int(out[p, k])) for f, own, out in sums for p in range(fit.p.n) for k in range(own.shape[1]) if own[p, k] or out[p, k]]
-    return spark.createDataFrame(rows, "particle int, feature string, category int, n long, n_assigned long")
+    rows = []
+    for f, own, out in zip(FEATURES, fit.p.phi, written, strict=True):
+        rows += [(int(p), f, int(c), int(k), int(own[p, c, k]), int(out[p, c, k])) for p, c, k in np.argwhere((own != 0) | (out != 0))]
+    return spark.createDataFrame(rows, "particle int, feature string, cluster int, category int, n long, n_assigned long")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-@query("m02_initial_cells", model_sql() + _CELLS.format(2))
+@query("m02_initial_cells", R.fit_sql(11, 2, [("true", False)]) + R.CELLS)
 def initial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sizes, _ = _encoded(spark, sf_dir)
     fit = I.Fit(rows, FEATURES, sizes, shared_dir(spark), 2, CLUSTERS, seed=11)
@@ -46,13 +46,13 @@ def initial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, fit)
 
 
-@query("i13_smc_cells", model_sql() + _CELLS.format(3))
+@query("i13_smc_cells", R.fit_sql(12, 3, R.smc_moves(12, 3, 1)) + R.CELLS)
 def smc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sizes, n = _encoded(spark, sf_dir)
     return _cells(spark, I.smc(I.Fit(rows, FEATURES, sizes, shared_dir(spark), 3, CLUSTERS, seed=12), n, -(-n // 3), 3, 1))
 
 
-@query("i15_mcmc_cells", model_sql() + _CELLS.format(1))
+@query("i15_mcmc_cells", R.fit_sql(13, 1, R.mcmc_moves(13, 4, 1)) + R.CELLS)
 def mcmc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sizes, n = _encoded(spark, sf_dir)
     return _cells(spark, I.mcmc(I.Fit(rows, FEATURES, sizes, shared_dir(spark), 1, CLUSTERS, seed=13), n, n // 4, 1))

@@ -10,6 +10,7 @@ from mixlake.operators import distances as D
 from mixlake.operators import metrics as M
 from mixlake.operators import schema as S
 from mixlake.operators.model import Model, averaged
+from mixlake.plans import replay as R
 from mixlake.plans.registry import CLUSTERS, FEATURES, _IMPUTE, _MARG, edges_sql, SEED, fitted, hidden, joint_sql, model_sql, query, raw_orders, table, u_sql
 from mixlake.sources.scratch import shared_dir
 
@@ -406,10 +407,11 @@ def _summary(spark: SparkSession, fit, n_rows: int) -> DataFrame:
     if (fit.p.rows.sum(-1) != n_rows).any():
         raise RuntimeError("a particle lacks rows")
     rows = [(p, c, float(w[p]), float(fit.p.pi[p, c]), int(fit.p.rows[p, c])) for p in range(fit.p.n) for c in range(fit.p.pi.shape[1])]
-    return spark.createDataFrame(rows, "particle int, cluster int, weight double, log_pi double, n long")
+    out = spark.createDataFrame(rows, "particle int, cluster int, weight double, log_pi double, n long")
+    return out.withColumns({c: rounded(F.col(c)) for c in ("weight", "log_pi")})
 
 
-@query("smc_fit")
+@query("smc_fit", R.fit_sql(1, 4, R.smc_moves(1, 3, 1)) + R.SUMMARY)
 def smc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, smc
 
@@ -417,7 +419,7 @@ def smc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, smc(Fit(rows, FEATURES, sizes, shared_dir(spark), 4, 3, seed=1), n, -(-n // 3), 3, 1), n)
 
 
-@query("mcmc_fit")
+@query("mcmc_fit", R.fit_sql(2, 1, R.mcmc_moves(2, 4, 2)) + R.SUMMARY)
 def mcmc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, mcmc
 
@@ -425,7 +427,7 @@ def mcmc_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, mcmc(Fit(rows, FEATURES, sizes, shared_dir(spark), 1, 3, seed=2), n, n // 4, 2), n)
 
 
-@query("hyper_fit")
+@query("hyper_fit", R.fit_sql(3, 3, R.smc_moves(3, 2, 0), [0.5, 1.0, 2.0]) + R.SUMMARY)
 def hyper_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, smc
 
@@ -434,10 +436,10 @@ def hyper_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, smc(Fit(rows, FEATURES, sizes, shared_dir(spark), 3, 3, seed=3, grids=grids), n, -(-n // 2), 2), n)
 
 
-@query("sgd_fit")
+@query("sgd_fit", R.DESCENT + R.descent_sql("a", 4, [R.chosen(4, t, f"({R.N} // 2)") for t in range(4)], 0.1) + " " + R.losses("a", 4))
 def sgd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixlake.operators.inference import Fit, gradient_fit
 
     rows, sizes, n = _encoded(spark, sf_dir)
     _, _, losses = gradient_fit(Fit(rows, FEATURES, sizes, shared_dir(spark), 1, 3, seed=4), n // 2, 4, n)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step int, loss double")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step int, loss double").withColumn("loss", rounded(F.col("loss"), 3))

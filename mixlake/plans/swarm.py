@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlake.functions import draws
-from mixlake.functions.draws import gamma_sql, key_sql, unit_sql
+from mixlake.functions.draws import key_sql, unit_sql
 from mixlake.functions.exprs import rounded
 from mixlake.operators import inference as I
 from mixlake.operators.swarm import Swarm, deal
+from mixlake.plans import replay as R
 from mixlake.plans.more import _encoded
 from mixlake.plans.registry import CLUSTERS, FEATURES, model_sql, query
 from mixlake.sources.scratch import shared_dir
@@ -25,41 +26,10 @@ def _step(spark: SparkSession, sf_dir: str, grids=None) -> Swarm:
     return swarm
 
 
-def _shapes(step: int, pi: str, theta: str) -> str:
-    """Cells (p, f, c, k) with their shapes and keys: f is -1 for the weights of clusters, which are its k."""
-    return f"""SELECT p, -1 AS f, 0 AS c, cluster AS k, {pi} AS a, {key_sql([_SEED, step, draws.WEIGHT], 'p', 'cluster')} AS h FROM par CROSS JOIN cl LEFT JOIN npi USING (p, cluster)
-  UNION ALL SELECT p, f, cluster, k, {theta}, {key_sql([_SEED, step, draws.THETA], 'p', 'f', 'cluster', 'k')} FROM par CROSS JOIN cl CROSS JOIN dm LEFT JOIN nth USING (p, f, cluster, k)"""
-
-
-def _dirichlet(source: str) -> str:
-    return f"SELECT p, f, c, k, ln(CASE WHEN f < 0 THEN q ELSE greatest(q, 1e-10) END) AS lp FROM (SELECT p, f, c, k, greatest(g, 1e-300) / sum(greatest(g, 1e-300)) OVER (PARTITION BY p, f, c) AS q FROM ({gamma_sql(source, 'p, f, c, k')}))"
-
-
-_STEP = (
-    model_sql()
-    + f""", par AS (SELECT range AS p FROM range({_P})),
-dm AS (SELECT 0 AS f, k FROM ls UNION ALL SELECT 1, k FROM lp UNION ALL SELECT 2, range FROM range(5)),
-g0 AS MATERIALIZED ({_shapes(-1, '1.0', '1.0').replace(' LEFT JOIN npi USING (p, cluster)', '').replace(' LEFT JOIN nth USING (p, f, cluster, k)', '')}),
-t0 AS MATERIALIZED ({_dirichlet('g0')}),
-bt AS MATERIALIZED (SELECT * FROM enc WHERE o_orderkey < (SELECT (count(*) + 2) // 3 FROM enc)),
-jt AS MATERIALIZED (SELECT o_orderkey, w.p, w.k AS c, w.lp + x.lp + y.lp + z.lp AS v FROM bt, t0 w, t0 x, t0 y, t0 z WHERE w.f = -1 AND x.p = w.p AND y.p = w.p AND z.p = w.p AND x.c = w.k AND y.c = w.k AND z.c = w.k AND x.f = 0 AND x.k = f0 AND y.f = 1 AND y.k = f1 AND z.f = 2 AND z.k = f2),
-js AS (SELECT *, top + ln(sum(exp(v - top)) OVER (PARTITION BY o_orderkey, p)) AS lse FROM (SELECT *, max(v) OVER (PARTITION BY o_orderkey, p) AS top FROM jt)),
-jc AS (SELECT *, sum(exp(v - lse)) OVER (PARTITION BY o_orderkey, p ORDER BY c) AS cum FROM js),
-ur AS MATERIALIZED (SELECT o_orderkey, p, {unit_sql(key_sql([_SEED, 0, draws.ROW], 'o_orderkey', 'p'))} AS u FROM bt, par),
-ag AS MATERIALIZED (SELECT o_orderkey, p, least(count(*) FILTER (cum <= u), {CLUSTERS - 1}) AS cluster FROM jc JOIN ur USING (o_orderkey, p) GROUP BY ALL),
-npi AS (SELECT p, cluster, count(*) AS n FROM ag GROUP BY ALL),
-nth AS (SELECT p, f, cluster, k, count(*) AS m FROM (SELECT p, ag.cluster, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS k FROM ag JOIN bt USING (o_orderkey)) GROUP BY ALL),
-g1 AS MATERIALIZED ({_shapes(0, '1.0 + coalesce(n, 0)', '1.0 + coalesce(m, 0)')}),
-t1 AS MATERIALIZED ({_dirichlet('g1')}),
-sc AS (SELECT p, f, c, sum((a - 1) * lp) - sum(lgamma(a)) + lgamma(sum(a)) AS q, lgamma(count(*)) + sum((a - 1) * lp) AS target FROM g1 JOIN t1 USING (p, f, c, k) GROUP BY p, f, c),
-qr AS (SELECT p, sum(v - lse) AS q FROM js JOIN ag USING (o_orderkey, p) WHERE c = cluster GROUP BY p),
-wt AS MATERIALIZED (SELECT sc.p, any_value(qr.q) + sum(sc.q) AS q, sum(target) AS target FROM sc JOIN qr USING (p) GROUP BY sc.p),
-wn AS (SELECT p, q, target, target - q AS log_w, exp(target - q - max(target - q) OVER ()) / sum(exp(target - q - top)) OVER () AS w FROM (SELECT *, max(target - q) OVER () AS top FROM wt))
-"""
-)
-
-
-@query("i06_assignments", _STEP + "SELECT o_orderkey AS row_id, p AS particle, CAST(cluster AS INTEGER) AS cluster FROM ag")
+_STEP = R.fit_sql(_SEED, _P, [(R.block(0, R.third(3), False), True)])
+
+
+@query("i06_assignments", _STEP + "SELECT o_orderkey AS row_id, p AS particle, CAST(cluster AS INTEGER) AS cluster FROM nw0")
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clusters that a step has drawn for its rows, in every particle."""
     swarm = _step(spark, sf_dir)
@@ -72,7 +42,7 @@ def _then(swarm: Swarm) -> DataFrame:
     return swarm.assigned()
 
 
-@query("i04_step_parameters", _STEP + f"SELECT p AS particle, CASE f WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'o_orderpriority' ELSE 'o_totalprice' END AS feature, CAST(c AS INTEGER) AS cluster, CAST(k AS INTEGER) AS category, round(lp, 6) AS log_p FROM t1 WHERE f >= 0")
+@query("i04_step_parameters", _STEP + f"SELECT p AS particle, CASE f WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'o_orderpriority' ELSE 'o_totalprice' END AS feature, CAST(c AS INTEGER) AS cluster, CAST(k AS INTEGER) AS category, round(lp, 6) AS log_p FROM tr0 WHERE f >= 0")
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """theta of every particle, drawn from its posterior given the step's clusters."""
     swarm = _step(spark, sf_dir)
@@ -80,7 +50,7 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swarm.weights()[1].withColumn("log_p", rounded(F.col("log_p")))
 
 
-@query("i12_step_weights", _STEP + "SELECT p AS particle, round(q, 3) AS q, round(target, 3) AS target, round(log_w, 3) AS log_w, round(w, 6) AS w FROM wn")
+@query("i12_step_weights", _STEP + "SELECT p AS particle, round(q, 3) AS q, round(target, 3) AS target, round(log_w, 3) AS log_w, round(w, 6) AS w FROM wq0 JOIN wt0 USING (p) JOIN wn0 USING (p)")
 def step_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposal, target and weight of every particle after one step, before resampling."""
     swarm = _step(spark, sf_dir)
@@ -89,21 +59,14 @@ def step_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("particle", rounded(F.col("q"), 3).alias("q"), rounded(F.col("gamma"), 3).alias("target"), rounded(F.col("log_w"), 3).alias("log_w"), rounded(F.col("w")).alias("w"))
 
 
-@query("i10_step_ancestors", _STEP + f", cw AS (SELECT p, sum(w) OVER (ORDER BY p) AS cum FROM wn), ua AS (SELECT p, {unit_sql(key_sql([_SEED, 1, draws.ANCESTOR], 'p'))} AS u FROM par) SELECT ua.p AS particle, CAST(least(count(*) FILTER (cum <= u), {_P - 1}) AS BIGINT) AS ancestor FROM ua, cw GROUP BY ua.p")
+@query("i10_step_ancestors", _STEP + f", ua AS (SELECT p, {unit_sql(key_sql([_SEED, 1, draws.ANCESTOR], 'p'))} AS u FROM par) SELECT ua.p AS particle, CAST(least(count(*) FILTER (cum <= u), {_P - 1}) AS BIGINT) AS ancestor FROM ua, cw0 GROUP BY ua.p")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ancestors that the step's weights give."""
     swarm = _step(spark, sf_dir)
     return swarm.ancestors(swarm.weighted)
 
 
-def _hyper(which: int, groups: str, column: str) -> str:
-    score = "SELECT p, a, sum((a - 1) * s - k * lgamma(a) + lgamma(k * a)) AS v FROM (SELECT p, f, c, sum(lp) AS s, count(*) AS k FROM t1 WHERE " + groups + f" GROUP BY p, f, c), (SELECT unnest({_GRID}) AS a) GROUP BY p, a"
-    w = f"SELECT p, a, exp(v - max(v) OVER (PARTITION BY p)) AS e FROM ({score})"
-    cum = f"SELECT p, a, sum(e) OVER (PARTITION BY p ORDER BY a) / sum(e) OVER (PARTITION BY p) AS cum FROM ({w})"
-    return f"SELECT p, [{', '.join(map(str, _GRID))}][1 + least(count(*) FILTER (cum <= {unit_sql(key_sql([_SEED, 0, draws.HYPER, which], 'p'))}), {len(_GRID) - 1})] AS {column} FROM ({cum}) GROUP BY p"
-
-
-@query("i17_step_hyper", _STEP + f"SELECT p AS particle, CAST(alpha_pi AS DOUBLE) AS alpha_pi, CAST(alpha_theta AS DOUBLE) AS alpha_theta FROM ({_hyper(0, 'f < 0', 'alpha_pi')}) JOIN ({_hyper(1, 'f >= 0', 'alpha_theta')}) USING (p)")
+@query("i17_step_hyper", R.fit_sql(_SEED, _P, [(R.block(0, R.third(3), False), True)], _GRID) + "SELECT p AS particle, alpha_pi, alpha_theta FROM ah0")
 def step_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The concentrations that every particle draws from grids after one step."""
     swarm = _step(spark, sf_dir, (_GRID, _GRID))
@@ -123,30 +86,7 @@ def rejuvenation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATE = 0.1
 
 
-def _descent(kind: str) -> str:
-    """Named subqueries of three steps: losses l0 to l2 of all orders, before each."""
-    out = f"x0{kind} AS MATERIALIZED (SELECT f, c, k, 0.1 * sqrt(-2 * ln(u)) * cos(2 * pi() * w) AS x, 0.0 AS m, 0.0 AS v FROM (SELECT f, c, k, {unit_sql(draws.fold_sql('h', 0))} AS u, {unit_sql(draws.fold_sql('h', 1))} AS w FROM keys))"
-    for t in range(3):
-        s, now = f"{t}{kind}", f"x{t}{kind}"
-        out += f""",
-lp{s} AS MATERIALIZED (SELECT f, c, k, x, m, v, x - top - ln(sum(exp(x - top)) OVER (PARTITION BY f, g)) AS lp FROM (SELECT *, CASE WHEN f < 0 THEN 0 ELSE c END AS g, max(x) OVER (PARTITION BY f, CASE WHEN f < 0 THEN 0 ELSE c END) AS top FROM {now})),
-jt{s} AS MATERIALIZED (SELECT o_orderkey, f0, f1, f2, c, val - top - ln(sum(exp(val - top)) OVER (PARTITION BY o_orderkey)) AS lr, top + ln(sum(exp(val - top)) OVER (PARTITION BY o_orderkey)) AS lse FROM (SELECT *, max(val) OVER (PARTITION BY o_orderkey) AS top FROM (SELECT o_orderkey, f0, f1, f2, w.c, w.lp + x.lp + y.lp + z.lp AS val FROM enc, lp{s} w, lp{s} x, lp{s} y, lp{s} z WHERE w.f = -1 AND x.c = w.c AND y.c = w.c AND z.c = w.c AND x.f = 0 AND x.k = f0 AND y.f = 1 AND y.k = f1 AND z.f = 2 AND z.k = f2))),
-rs{s} AS (SELECT -1 AS f, c, 0 AS k, sum(exp(lr)) AS r FROM jt{s} GROUP BY c UNION ALL SELECT f, c, k, sum(exp(lr)) FROM (SELECT c, lr, unnest([0, 1, 2]) AS f, unnest([f0, f1, f2]) AS k FROM jt{s}) GROUP BY ALL),
-gr{s} AS (SELECT f, c, k, x, m, v, CASE WHEN f < 0 THEN (SELECT count(*) FROM enc) ELSE sum(coalesce(r, 0)) OVER (PARTITION BY f, c) END * exp(lp) - coalesce(r, 0) AS g FROM lp{s} LEFT JOIN rs{s} USING (f, c, k)),
-l{s} AS (SELECT -sum(lse) AS loss FROM jt{s} WHERE c = 0)"""
-        if kind == "s":
-            step = f"x - {_RATE} * sign(g)"
-        else:
-            step = f"x - {_RATE} * ((0.9 * m + 0.1 * g) / {1 - 0.9 ** (t + 1)!r}) / (sqrt((0.999 * v + 0.001 * g * g) / {1 - 0.999 ** (t + 1)!r}) + 1e-8)"
-        out += f",\nx{t + 1}{kind} AS MATERIALIZED (SELECT f, c, k, {step} AS x, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM gr{s})"
-    return out
-
-
-_KEYS = f"""keys AS MATERIALIZED (SELECT -1 AS f, cluster AS c, 0 AS k, {key_sql([_SEED, 0, draws.LOGIT, 0], 'cluster', 0)} AS h FROM cl
-  UNION ALL SELECT f, cluster, k, {key_sql([_SEED, 0, draws.LOGIT], 'f + 1', 'cluster', 'k')} FROM cl, (SELECT 0 AS f, k FROM ls UNION ALL SELECT 1, k FROM lp UNION ALL SELECT 2, range FROM range(5)))"""
-
-
-@query("i20_descent_losses", model_sql() + f", {_KEYS}, {_descent('a')}, {_descent('s')} " + " UNION ALL ".join(f"SELECT '{name}' AS optimizer, CAST({t} AS INTEGER) AS step, round(loss, 3) AS loss FROM l{t}{kind}" for name, kind in (("adam", "a"), ("sign", "s")) for t in range(3)))
+@query("i20_descent_losses", R.DESCENT + R.descent_sql("a", _SEED, ["true"] * 3, _RATE) + ", " + R.descent_sql("s", _SEED, ["true"] * 3, _RATE, True) + " " + R.losses("a", 3, "'adam' AS optimizer, ") + " UNION ALL " + R.losses("s", 3, "'sign' AS optimizer, "))
 def descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The negative log-likelihood of all orders before each of three steps of descent, by two optimisers."""
     rows, sizes, n = _encoded(spark, sf_dir)

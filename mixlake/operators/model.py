@@ -144,7 +144,7 @@ class Model:
             return self._filled(rows, self._scored(kind, lambda own, codes: pa.StructArray.from_arrays(own.likeliest(codes), names=names)))
         out = self.posterior(rows, "_post")
         for f in self.features:
-            out = out.crossJoin(F.broadcast(self.table_of(f)))
+            out = out.crossJoin(self.table_of(f))
             best = F.aggregate(f"_t_{f}", F.struct(F.lit(-1.0).alias("p"), F.lit(-1).alias("k")), lambda s, e: _better(s, e, F.col("_post")))["k"]
             out = out.withColumn(f, F.coalesce(F.col(f), best)).drop(f"_t_{f}")
         return out.drop("_post")
@@ -165,7 +165,7 @@ class Model:
         out = self.posterior(rows, "_post")
         out = out.withColumn("_c", draw_index(F.transform("_post", F.exp), uniform(seed, "c", F.col(row_id))))
         for f in self.features:
-            out = out.crossJoin(F.broadcast(self.table_of(f)))
+            out = out.crossJoin(self.table_of(f))
             weights = F.transform(f"_t_{f}", lambda e: F.exp(F.get(e["arr"], F.col("_c"))))
             drawn = F.get(F.transform(f"_t_{f}", lambda e: e["category"]), draw_index(weights, uniform(seed, f, F.col(row_id))))
             out = out.withColumn(f, F.coalesce(F.col(f), drawn)).drop(f"_t_{f}")

@@ -176,8 +176,8 @@ class TableSchema:
     def encode(self, df: DataFrame) -> DataFrame:
         """Every feature becomes an int code; nulls and unseen levels become null. Other columns stay.
 
-        The columns of small dictionaries are looked up together, in one pass without a join; each of the
-        others is joined with its levels.
+        The columns of small dictionaries are looked up together, in one pass without a join; the cells of all
+        others are joined with their levels at once.
         """
         out, packed = self.discretize(df), self.packed
         small = [f.name for f in self.features if f.kind == "categorical" and f.name in packed]
@@ -192,11 +192,19 @@ class TableSchema:
             found = unused_name(out.columns)
             out = out.withColumn(found, look_up(*(F.col(f"`{c}`") for c in small)))
             out = out.withColumns({c: F.col(f"{found}.f{i}") for i, c in enumerate(small)}).drop(found)
-        for f in self.features:
-            if f.kind == "categorical" and f.name not in packed:
-                own = self.levels.where(F.col("feature") == f.name).select(F.col("label").alias("_label"), F.col("category").alias("_code"))
-                out = out.join(own, F.col(f.name) == F.col("_label"), "left").withColumn(f.name, F.col("_code")).drop("_label", "_code")
-        return out
+        large = [f.name for f in self.features if f.kind == "categorical" and f.name not in packed]
+        return self._joined(out, large) if large else out
+
+    def _joined(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """df with the codes of columns whose levels stay in Spark: one join of all their cells with the levels, whatever their number."""
+        row = unused_name(df.columns)
+        key, codes = f"{row}row", [f"{row}{i}" for i in range(len(names))]
+        rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows")  # so that numbers stay
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("label")) for c in names))).alias("x")
+        long = rows.select(F.col(row).alias(key), cells).select(key, "x.*").where("label is not null").join(self.levels.where(F.col("feature").isin(names)), ["feature", "label"])
+        wide = long.groupBy(key).agg(*(F.max(F.when(F.col("feature") == c, F.col("category"))).alias(k) for c, k in zip(names, codes, strict=True)))
+        out = rows.join(wide, F.col(row) == F.col(key), "left").withColumns({c: F.col(k) for c, k in zip(names, codes, strict=True)})
+        return out.select(*df.columns)
 
 
 def unused_name(names: list[str]) -> str:

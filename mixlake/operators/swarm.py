@@ -50,6 +50,10 @@ class Blocks:
     def size(self, block: int) -> int:
         return min(self.block_rows, self.n_rows - block * self.block_rows)
 
+    def some(self, n: int, seed: int, step: int) -> list[int]:
+        """n different blocks, by a hash of (seed, step, block)."""
+        return np.argsort(draws.fold(draws.key(seed, step, draws.BLOCK), np.arange(self.n)), kind="stable")[:n].tolist()
+
     def read(self, spark, blocks: list[int]) -> DataFrame:
         """(block, place, row_id, features): the rows of some blocks; no other folder is read."""
         kinds = ", ".join(["row_id long", "place long", *(f"`{f}` int" for f in self.features), "block int"])
@@ -240,9 +244,8 @@ class Swarm:
     # ---- runs and results
 
     def random_blocks(self, n: int) -> list[int]:
-        """n different blocks of all, by a hash of (seed, step, block)."""
-        keys = draws.fold(draws.key(self.seed, self.step, draws.BLOCK), np.arange(self.blocks.n))
-        return np.argsort(keys, kind="stable")[:n].tolist()
+        """n different blocks of all, by (seed, step)."""
+        return self.blocks.some(n, self.seed, self.step)
 
     def run(self, steps: int | None = None, rejuvenation: int = 0) -> Swarm:
         """Weighted steps over the blocks in order, beginning again after the last; after each, `rejuvenation` moves of random blocks, which leave weights alone."""
@@ -309,6 +312,113 @@ class Swarm:
         return out.groupBy("particle").agg(F.sum("ll").alias("ll"))
 
 
+class BlockFit:
+    """The same fit with rows in tasks and particles on the driver, for few particles and blocks of any size.
+
+    A block that has moved is a folder of its rows with their codes and clusters. A move reads its blocks' folders, or the dealt rows of
+    those that haven't moved, takes their old clusters out of the counts and writes new folders; no other row is read, and nothing is joined.
+    """
+
+    def __init__(self, spark, blocks: Blocks, sizes: list[int], n_particles: int, n_clusters: int, seed: int = 0, alpha_pi: float = 1.0, alpha_theta: float = 1.0, count_mode: str = "rows", q_mode: str = "normalized", grids: tuple[list[float], list[float]] | None = None):
+        self.spark, self.blocks, self.sizes, self.seed = spark, blocks, sizes, seed
+        self.count_mode, self.q_mode, self.grids = count_mode, q_mode, grids
+        self.p = I.init_particles(sizes, n_particles, n_clusters, seed, alpha_pi, alpha_theta)
+        self.held: dict[int, tuple[str, int]] = {}  # block: the path of the move that has its clusters, maps before it
+        self.maps: list[np.ndarray] = []
+        self.step = 0
+        self.history: list[dict] = []
+        self.folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/block-fit-{uuid.uuid4().hex}"
+
+    def _rows(self, blocks: list[int]) -> DataFrame:
+        """(block, place, row_id, features, a): the blocks' rows with their clusters in the present particles, -1 for none."""
+        fresh = [b for b in blocks if b not in self.held]
+        own = self.blocks.read(self.spark, fresh).withColumn("a", F.array_repeat(F.lit(-1), self.p.n)) if fresh else None
+        for path, before in sorted({self.held[b] for b in blocks if b in self.held}):
+            up = np.arange(self.p.n)
+            for m in reversed(self.maps[before:]):
+                up = m[up]
+            of = [b for b in blocks if self.held.get(b) == (path, before)]
+            kinds = ", ".join(["place long", "row_id long", *(f"`{f}` int" for f in self.blocks.features), "a array<int>", "block int"])
+            part = self.spark.read.schema(kinds).parquet(path).where(F.col("block").isin(of))
+            part = part.select("block", "place", "row_id", *self.blocks.features, F.transform(F.array(*(F.lit(int(x)) for x in up)), lambda x: F.get("a", x)).alias("a"))
+            own = part if own is None else own.unionByName(part)
+        return own
+
+    def move(self, blocks: list[int], weigh: bool) -> None:
+        """Draws the blocks' clusters again in every particle, then the parameters; with `weigh` also the weights, and resamples when fewer than half of the particles count."""
+        p, n, c, sizes, seed, step, q_mode, features = self.p, self.p.n, self.p.pi.shape[1], self.sizes, self.seed, self.step, self.q_mode, list(self.blocks.features)
+        pi, theta, first = p.pi, p.theta, 3  # block, place and row_id come before the features
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for k in range(0, whole.num_rows, some := max(1, WORKED // (n * c))):
+                    b = whole.slice(k, some)
+                    a, q = I.drawn_clusters(I._codes(b, first, len(sizes)), np.asarray(b.column("row_id")), pi, theta, np.arange(n), seed, step, q_mode)
+                    yield pa.RecordBatch.from_arrays([*b.columns, I._lists(a.astype(np.int32)), I._lists(q)], names=[*b.schema.names, "a", "q"])
+
+        kinds = ", ".join(["block int", "place long", "row_id long", *(f"`{f}` int" for f in features), "was array<int>", "a array<int>", "q array<double>"])
+        path = f"{self.folder}/move-{step:06d}"
+        self._rows(blocks).withColumnRenamed("a", "was").mapInArrow(run, kinds).write.partitionBy("block").parquet(path)
+        rows, phi, q = self._changes(path, features, n, c)
+        p.rows = p.rows + rows
+        p.phi = [x + y for x, y in zip(p.phi, phi, strict=True)]
+        self.held |= {b: (path, len(self.maps)) for b in blocks}
+        q += I.redraw_parameters(p, seed, step, self.count_mode)
+        if self.grids:
+            I.hyperparameters(p, *self.grids, seed, step)
+        target = I.log_target(p)
+        if weigh:
+            p.log_w = p.log_w + target - p.gamma - q
+        p.gamma = target
+        self.step += 1
+        if weigh:
+            ess = I.effective_size(p.log_w)
+            resampled = ess < n / 2 and n > 1
+            self.history.append({"step": step, "ess": ess, "resampled": resampled})
+            if resampled:
+                self.maps.append(I.resampled(p, seed, self.step))
+
+    def _changes(self, path: str, features: list[str], n: int, c: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """What a move has changed: rows [P, C], cells by feature [P, C, K_d], and the proposal's log probability [P]. One number for each cell comes from a task."""
+        sizes = self.sizes
+        shapes = [(n, c), *((n, c, k) for k in sizes)]
+        ends = np.cumsum([0, *(math.prod(s) for s in shapes)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, q = np.zeros(ends[-1], np.int64), np.zeros(n)
+            for whole in batches:
+                for k in range(0, whole.num_rows, some := max(1, I.COUNTED // n)):
+                    b = whole.slice(k, some)
+                    codes = I._codes(b, 3, len(sizes))
+                    for i, sign in ((0, -1), (1, 1)):
+                        rows, phi = I.cells(codes, np.asarray(b.column(i).flatten()).reshape(-1, n).astype(np.int64), c, sizes)
+                        total += sign * np.concatenate([rows.ravel(), *(f.ravel() for f in phi)])
+                    q += np.asarray(b.column(2).flatten()).reshape(-1, n).sum(0)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, ends[-1] + np.arange(n)])), pa.array(np.concatenate([total[at], np.zeros(n, np.int64)])), pa.array(np.concatenate([np.zeros(len(at)), q]))], names=["cell", "n", "q"])
+
+        kinds = ", ".join(["place long", "row_id long", *(f"`{f}` int" for f in features), "was array<int>", "a array<int>", "q array<double>", "block int"])
+        own = self.spark.read.schema(kinds).parquet(path).select("was", "a", "q", *features)
+        got = own.mapInArrow(run, "cell long, n long, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).toArrow()
+        cell = np.asarray(got.column("cell"))
+        total, q = np.zeros(ends[-1] + n), np.zeros(ends[-1] + n)
+        total[cell], q[cell] = np.asarray(got.column("n")), np.asarray(got.column("q"))
+        rows, *phi = (total[i:j].reshape(s) for i, j, s in zip(ends, ends[1:], shapes, strict=False))
+        return rows, phi, q[ends[-1] :]
+
+    def run(self, steps: int | None = None, rejuvenation: int = 0) -> BlockFit:
+        """As Swarm.run()."""
+        for t in range(self.blocks.n if steps is None else steps):
+            self.move([t % self.blocks.n], True)
+            for _ in range(rejuvenation):
+                self.move(self.blocks.some(1, self.seed, self.step), False)
+        return self
+
+    def assigned(self) -> DataFrame:
+        """(row_id, particle, cluster) of the rows of all blocks that have moved."""
+        return self._rows(sorted(self.held)).select("row_id", F.posexplode("a").alias("particle", "cluster"))
+
+
 def _packed(ids: np.ndarray, p: I.Particles, q: np.ndarray, back: pa.Array) -> pa.RecordBatch:
     """A row for each particle."""
     flat = lambda parts: I._lists(np.concatenate([x.reshape(len(ids), -1) for x in parts], axis=1))

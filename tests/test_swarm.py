@@ -126,3 +126,21 @@ def test_resampling_follows_the_weights(spark, data):
         state = swarm.state.withColumn("log_w", log_w)
         up = [r.ancestor for r in swarm.ancestors(state).collect()]
         assert len(up) == 400 and (set(up) == {0, 1, 2, 3} if share else 200 < len(set(up)) < 300)
+
+
+def test_blocks_of_rows_equal_dealt_particles(spark, data):
+    rows, names, sizes = data
+    blocks, grids = S.deal(rows, names, 130, seed=4), ([0.5, 1.0, 2.0], [0.5, 1.0])
+    swarm = S.Swarm(spark, blocks, sizes, 5, 3, seed=11, grids=grids).run(6, 1)
+    fit = S.BlockFit(spark, blocks, sizes, 5, 3, seed=11, grids=grids).run(6, 1)
+    got = state_of(swarm)
+    assert np.allclose(got["pi"], fit.p.pi) and np.array_equal(got["rows"], fit.p.rows) and np.allclose(got["log_w"], fit.p.log_w)
+    assert np.allclose(got["theta"], np.concatenate([t.reshape(5, -1) for t in fit.p.theta], axis=1))
+    assert swarm.resamplings == len(fit.maps) and [h["resampled"] for h in swarm.history] == [h["resampled"] for h in fit.history]
+    assert sorted(map(tuple, swarm.assigned().collect())) == sorted(map(tuple, fit.assigned().collect()))
+    # a move reads its own block's folder only
+    b = blocks.some(1, 11, fit.step)
+    read = fit._rows(b)
+    assert len(read.collect()) == blocks.size(b[0])
+    scan = read._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() == blocks.size(b[0])

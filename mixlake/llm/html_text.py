@@ -9,6 +9,7 @@ and the cells of a table's column are aligned. No text that a reader would see i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +40,8 @@ TABLE_WALL = frozenset({"table"})
 WIDEST, MOST_SPANNED = 60, 1000
 #: Levels of lists that are indented; deeper ones stand below the last.
 MOST_INDENTED = 64
+#: A table's lines may be put together anew this often, by tables around it, and take so many times its text and, for each cell, so many times that.
+MOST_PUT, ROOM = 6, 8
 
 # names don't give characters back, so a tag is read once
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -103,16 +106,54 @@ def _hides(raw: str) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDING_STYLE.search(_unescaped(found.get("style", ""))))
 
 
+class _Laid:
+    """Lines that are laid out: strings and what is laid out within them, held by reference. raw and cells: the text's length and its table cells; height: how often its lines were put together anew."""
+
+    __slots__ = ("parts", "n", "width", "raw", "cells", "height")
+
+    def __init__(self):
+        self.parts: list[str | _Laid] = []
+        self.n = self.width = self.raw = self.cells = self.height = 0
+
+    def put(self, part: str | _Laid) -> None:
+        """Adds a line, or all lines of another."""
+        self.parts.append(part)
+        if isinstance(part, str):
+            self.n, self.width = self.n + 1, max(self.width, len(part))
+        else:
+            self.n, self.width, self.height = self.n + part.n, max(self.width, part.width), max(self.height, part.height)
+
+    def count(self, inner: _Laid) -> None:
+        self.raw, self.cells = self.raw + inner.raw, self.cells + inner.cells
+
+    def lines(self) -> Iterator[str]:
+        todo = [iter(self.parts)]
+        while todo:
+            for part in todo[-1]:
+                if not isinstance(part, str):
+                    todo.append(iter(part.parts))
+                    break
+                yield part
+            else:
+                todo.pop()
+
+    @property
+    def room(self) -> int:
+        """Characters that its lines may take when they are put together."""
+        return ROOM * (self.raw + ROOM * self.cells)
+
+
 class _Lines:
     """Text laid out line by line; runs of white space are one space, none at a line's ends."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.laid = _Laid()
         self.parts: list[str] = []
         self.space = self.blank = False
         self.indent, self.bullet = 0, ""
 
     def add(self, text: str, pre: bool) -> None:
+        self.laid.raw += len(text)
         if pre:
             first, *more = text.split("\n")
             self._put(first)
@@ -132,41 +173,131 @@ class _Lines:
     def _put(self, text: str) -> None:
         if text:
             if not self.parts:
-                if self.blank and self.lines:
-                    self.lines.append("")
-                self.blank = False
+                self._space()
                 self.parts.append("  " * self.indent + self.bullet)
                 self.bullet = ""
             self.parts.append(text)
 
+    def _space(self) -> None:
+        """The empty line before a block."""
+        if self.blank and self.laid.parts:
+            self.laid.put("")
+        self.blank = False
+
     def end(self, blank: bool = False, keep: bool = False) -> None:
         """Ends the line. blank: an empty line follows; keep: an empty line of preformatted text stays."""
         if self.parts:
-            self.lines.append("".join(self.parts))
-        elif keep and self.lines:
-            self.lines.append("")
+            self.laid.put("".join(self.parts))
+        elif keep and self.laid.parts:
+            self.laid.put("")
         self.parts, self.space = [], False
         self.blank |= blank
 
+    def table(self, laid: _Laid) -> None:
+        """Lines of a table, indented as text here is if there is room for that."""
+        self.end()
+        self.laid.count(laid)
+        if not laid.n:
+            return
+        self._space()
+        indent, bullet = "  " * self.indent, self.bullet
+        self.bullet = ""
+        if not (indent or bullet):
+            self.laid.put(laid)
+        elif laid.height < MOST_PUT and laid.n * len(indent + bullet) <= laid.room:
+            own = _Laid()
+            for k, line in enumerate(laid.lines()):
+                own.put(indent + bullet * (k == 0) + line)
+            own.height = laid.height + 1
+            self.laid.put(own)
+        else:
+            if bullet:
+                self.laid.put(indent + bullet.rstrip(" "))
+            self.laid.put(laid)
+
     def text(self) -> str:
         self.end()
-        return "\n".join(self.lines)
-
-
-def _laid_out(rows: list[list[str]]) -> list[str]:
-    """The lines of a table: cells of a column start at the same place."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    widths: list[int] = []
-    for row in cells:
-        for i, c in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], min(WIDEST, max(map(len, c))))
-    out = []
-    for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            line = " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False))
-            out.append(line.rstrip(" "))
+        return "\n".join(self.laid.lines())
+
+    def cell(self) -> _Laid:
+        """What a cell holds: its lines but for empty ones."""
+        self.end()
+        out = _Laid()
+        out.raw, out.cells = self.laid.raw, self.laid.cells + 1
+        for part in self.laid.parts:
+            part = part.rstrip(" ") if isinstance(part, str) else part
+            if part:
+                out.put(part)
+        return out
+
+
+def _laid_out(rows: list[list[tuple[_Laid, int]]]) -> _Laid:
+    """The lines of a table of cells and the columns that they span: cells of a column start at the same place.
+
+    Columns in which no cell starts have no place. A line ends with its last cell, the first line of a row with the row's. A row whose
+    lines would take more room than its text warrants, by cells of many lines beside many others or by wide spans, isn't aligned: cells of
+    one line stand side by side, others below one another. So do cells that hold lines which were put together MOST_PUT times.
+    """
+    widths: dict[int, int] = {}
+    placed: list[list[tuple[int, int, _Laid]]] = []  # column, the one after its span, cell
+    for row in rows:
+        at, own = 0, []
+        for cell, span in row:
+            widths[at] = max(widths.get(at, 0), min(WIDEST, cell.width))
+            own.append((at, at + span, cell))
+            at += span
+        placed.append(own)
+    columns, offsets, empty = sorted(widths), [0], []
+    for c in columns:
+        empty.append(" " * widths[c] + " | ")
+        offsets.append(offsets[-1] + len(empty[-1]))
+    template, out = "".join(empty), _Laid()
+    for row in placed:
+        for _, _, cell in row:
+            out.count(cell)
+        starts = [bisect_left(columns, at) for at, _, _ in row]
+        end = offsets[bisect_left(columns, row[-1][1])]
+        if len(row) == 1 and end == offsets[starts[0] + 1]:
+            out.put(row[0][2])
+            continue
+        cells, inner = [cell for _, _, cell in row], _Laid()
+        for cell in cells:
+            inner.count(cell)
+            inner.height = max(inner.height, cell.height)
+        size, below = end, 1
+        for i, cell in zip(reversed(starts), reversed(cells), strict=True):
+            size += max(0, cell.n - below) * offsets[i + 1]
+            below = max(below, cell.n)
+        own = _Laid()
+        if inner.height >= MOST_PUT:
+            for cell in cells:
+                own.put(cell)
+            out.put(own)
+            continue
+        if size <= inner.room:
+            active = [(i, widths[columns[i]], cell.lines(), cell.n) for i, cell in zip(starts, cells, strict=True)]
+            for k in range(max(1, *(cell.n for cell in cells))):
+                active = [x for x in active if x[3] > k]
+                line, before = [], 0
+                for i, width, lines, _ in active:
+                    line += [template[before : offsets[i]], next(lines).ljust(width)]
+                    before = offsets[i] + width
+                if k == 0:
+                    line.append(template[before : end - 3])
+                own.put("".join(line).rstrip(" "))
+        elif all(cell.n <= 1 for cell in cells):
+            own.put(" | ".join(next(cell.lines(), "") for cell in cells).rstrip(" "))
+        else:
+            for cell in cells:
+                own.put(cell)
+            out.put(own)
+            continue
+        kept = _Laid()
+        for line in own.parts:
+            if line:
+                kept.put(line)
+        kept.height = inner.height + 1
+        out.put(kept)
     return out
 
 
@@ -174,7 +305,7 @@ class _Page:
     def __init__(self):
         self.open: list[tuple[str, bool]] = []  # tag, hidden
         self.out = [_Lines()]  # of the page, and of each open cell
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[tuple[_Laid, int]]]] = []
         self.spans: list[int] = []
         self.lists: list[int | None] = []  # the next number of each open list, None for bullets
         self.pre = 0
@@ -300,13 +431,10 @@ class _Page:
         if tag in ("td", "th"):
             if self.spans and len(self.out) > 1:
                 self.out.pop()
-                self.tables[-1][-1] += [lines.text(), *[""] * (self.spans.pop() - 1)]
+                self.tables[-1][-1].append((lines.cell(), max(1, self.spans.pop())))
             return
         if tag == "table" and self.tables:
-            rows = _laid_out([r for r in self.tables.pop() if r])
-            for row in rows:
-                lines.end()
-                lines._put(row)
+            lines.table(_laid_out([r for r in self.tables.pop() if r]))
         if tag == "pre":
             self.pre -= 1
         if tag in ("ul", "ol") and self.lists:

@@ -60,3 +60,73 @@ def test_hostile_pages_end_soon(page):
 
 def test_long_numbers():
     assert render("&#" + "0" * 9000 + "65;&#" + "1" * 9000 + ";&#x" + "0" * 9000 + "41;") == "A�A"
+
+
+def plain_table(rows):
+    """The lines of a table of (lines, span) cells, on a grid: every column in which a cell starts has its width, and a line is cut after its last cell."""
+    starts, grid = set(), []
+    for row in rows:
+        at, own = 0, []
+        for lines, span in row:
+            starts.add(at)
+            own.append((at, at + span, [x for x in lines if x]))
+            at += span
+        grid.append(own)
+    columns = sorted(starts)
+    width = {c: max(min(60, max(map(len, lines), default=0)) for own in grid for at, _, lines in own if at == c) for c in columns}
+    out = []
+    for own in grid:
+        for k in range(max(1, *(len(lines) for _, _, lines in own))):
+            text = {at: lines[k] for at, _, lines in own if len(lines) > k}
+            last = own[-1][1] - 1 if k == 0 else max(text)
+            line = " | ".join(text.get(c, "").ljust(width[c]) for c in columns if c <= last)
+            out.append(line.rstrip(" "))
+    return "\n".join(x for x in out if x)
+
+
+def test_tables_equal_a_grid(monkeypatch):
+    import random
+
+    from mixlake.llm import html_text
+
+    monkeypatch.setattr(html_text, "ROOM", 1000)  # all rows are aligned
+    r = random.Random(4)
+    for _ in range(400):
+        rows = []
+        for _ in range(r.randint(1, 4)):
+            rows.append([([("w" * r.choice([1, 3, 9, 70]) if r.random() < 0.8 else "") for _ in range(r.choice([1, 1, 1, 2, 3]))], r.choice([1, 1, 1, 2, 3])) for _ in range(r.randint(1, 5))])
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={span}>" + "<br>".join(lines) for lines, span in row) for row in rows) + "</table>"
+        assert render(page) == plain_table(rows)
+
+
+def many_lines(n):
+    return "<table><tr><td>" + "a<br>" * n + "<td>b" * n + "</table>"
+
+
+def lines_in_the_last(n):
+    return "<table><tr>" + "<td>b" * n + "<td>" + "a<br>" * n + "</table>"
+
+
+def nested(n, cells="<td>x<td>"):
+    return f"<table><tr>{cells}" * n
+
+
+HOSTILE_TABLES = [
+    many_lines(100_000), lines_in_the_last(100_000), nested(50_000), nested(50_000, "<td>text"), nested(50_000, "<td>text<p>more<td>"), nested(30_000, "<td><ul><li>x"),
+    nested(30_000, "<td>a<br>b<br>c<td>y<tr><td>x<td>"), "<table>" + "<tr>" + "<td colspan=1000>x" * 55_000, "<table>" + "<tr><td colspan=1000>x<td>y" * 35_000,
+    "<table><tr>" + f"<td>{'h' * 60}" * 1000 + "<tr><td colspan=999>x<td>y" * 35_000, "<table><tr>" + f"<td>{'h' * 60}" * 1000 + "<tr><td colspan=999>x<br>z<td>y" * 28_000,
+    "<ul><li>" * 64 + "<table><tr><td>x" * 60_000, "<table>" + "<tr><td>" * 120_000 + "x", "<table>" + "<tr><td>a<td>b" * 70_000,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE_TABLES)
+def test_hostile_tables_take_time_and_room_in_proportion(page):
+    begin = time.process_time()
+    text = render(page)
+    assert time.process_time() - begin < 20 and len(text) <= 32 * len(page)
+
+
+def test_no_text_of_a_hostile_table_is_lost():
+    page = "<table><tr>" + "".join(f"<td>c{i}<br>d{i}" for i in range(3000)) + "".join(f"<table><tr><td>n{i}<td>m{i}" for i in range(300))
+    words = render(page).replace("|", " ").split()
+    assert sorted(words) == sorted([f"{k}{i}" for i in range(3000) for k in "cd"] + [f"{k}{i}" for i in range(300) for k in "nm"])

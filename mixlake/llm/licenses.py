@@ -7,7 +7,7 @@ match shares a token with the template's prefix, its first m - need + 1 tokens i
 at least `need` tokens; and what can still follow the first shared token, by its positions in both,
 must reach `need`. Blocks that pass these filters are verified, so no match is lost. As the words of
 a long paragraph may come from anywhere in it, a paragraph must also hold the template's pairs of
-successive words, as many as are left where 1 - CONTAINMENT of the words are lost. All of this is DataFrame
+successive words, as many as are left whichever 1 - CONTAINMENT of its words are lost. All of this is DataFrame
 and SQL functions. Texts are read and cut into words once; of the blocks only those are kept that could match.
 """
 
@@ -25,8 +25,8 @@ from mixlake.llm.shared import LOWER, UPPER, lower_ascii, materialize, table
 #: A word, and phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Part of a template's tokens that a block must hold.
-CONTAINMENT = 0.8
+#: Part of a template's tokens that a block must hold: of templates with up to 12 words all, as any of those may tell licenses apart.
+CONTAINMENT = 0.92
 #: What may stand before the words of a wrapped notice's line, and what lies between paragraphs.
 MARKER, BETWEEN = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--|\.\.|(?:dnl|rem|REM)(?=[ \t]))?[ \t\r]*", r"\n\n+"
 _PLACES = "array<struct<start:int,label:string>>"
@@ -133,7 +133,8 @@ def matches(blocks: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, con
     index = []
     for number, label, words in own:
         need, ranked, pairs = _need(words, containment), sorted(words, key=place.__getitem__), _pairs(_cut(templates[number][1]))
-        least = math.ceil((2 * containment - 1) * len(pairs) - 1e-9)  # a lost word takes two pairs with it
+        taken = sorted((sum(w in pair.split(" ") for pair in pairs) for w in words), reverse=True)
+        least = max(0, len(pairs) - sum(taken[: len(words) - need]))  # the pairs left where the words in most pairs are lost
         index += [(w, number, label, p, need, ranked, pairs, least) for p, w in enumerate(ranked[: len(ranked) - need + 1])]
     small = spark.createDataFrame(index, "token string, template int, label string, place int, need int, ranked array<string>, pairs array<string>, least int")
     # known words of a block in global order; unknown ones don't count, so fewer may follow than size allows

@@ -57,3 +57,31 @@ def test_wrapped_notices(spark):
     got = {r.doc_id: {(x.label, x.share) for x in r.found} for r in L.scan(docs).collect()}
     assert got.pop(900) == set() and len(got) == 40
     assert all((L.TEMPLATES[i // 10][0], 1.0) in found for i, found in got.items())
+
+
+def test_lines_of_other_licenses_have_no_wrong_label(spark):
+    lines = ["Licensed under CC BY 4.0", "Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2", "Released under the BSD License", "Licensed under the Apache License, Version 1.1"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.found for r in L.scan(docs).collect()} == {i: [] for i in range(len(lines))}
+
+
+def test_paragraphs_match_brute_force(spark):
+    """Every notice of which any few words are replaced, wherever its lines break, as long as enough words are left; and no text that lacks them."""
+    r, texts, want = random.Random(6), [], []
+    for _, (label, t) in enumerate(L.TEMPLATES):
+        words = L._cut(t)
+        own = sorted(set(words))
+        need = L._need(own, L.CONTAINMENT)
+        often = sorted(own, key=lambda w: -words.count(w))
+        for k in range(12):
+            lost = set(often[: min(k, len(own) - need + 1)] if k % 2 else r.sample(own, min(k, len(own) - need + 1)))
+            left = [f"zz{r.randrange(9)}" if w in lost else w for w in words]
+            lines = [" ".join(left[i : i + 4]) for i in range(0, len(left), 4)]
+            texts.append("\n".join(lines))
+            blocks = [set(left)] + [set(x.split()) for x in lines]
+            want.append({x for x, _, v in ((lab, n, set(v)) for n, lab, v in L.template_tokens()) if any(len(b & v) / len(v) >= L.CONTAINMENT for b in blocks) and x == label})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: {f.label for f in x.found} for x in L.scan(docs).collect()}
+    for i, labels in enumerate(want):
+        assert labels <= got[i], texts[i]
+        assert (L.TEMPLATES[i // 12][0] in got[i]) == bool(labels), texts[i]

@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mixlake.llm.shared import aligned, materialize, table
+from mixlake.llm.shared import aligned, discard, materialize, table
 
 NEIGHBOURS, REVERSE = 30, 20
 #: Rows that a window of the start compares, tables of hyperplanes, and mean rows of a bucket.
-WINDOW, TABLES, BUCKET_ROWS = 256, 12, 48
+WINDOW, TABLES, BUCKET_ROWS = 256, 3, 48
 #: Rounds end when at most this share of the edges is new.
 SETTLED = 0.02
 #: Pairs of a crowded bucket's rows that deal it again, and how often at most; what is left then is compared in windows.
@@ -121,17 +121,20 @@ def _block(ids: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = No
     return u[real], v[real], w[real]
 
 
-def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Pairs from many blocks in batches of about `rows`."""
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Pairs from many blocks, the NEIGHBOURS best of each u among about `rows` at a time: what a task sends for a node that many introduce is bounded."""
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += len(part[0])
         if size >= rows:
-            yield _pairs(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-            held, size = [], 0
+            best = _best(*(np.concatenate([h[i] for h in held]) for i in range(3)), NEIGHBOURS)
+            held, size = [best], len(best[0])
+            if size >= rows // 2:
+                yield _pairs(*best)
+                held, size = [], 0
     if size:
-        yield _pairs(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        yield _pairs(*_best(*(np.concatenate([h[i] for h in held]) for i in range(3)), NEIGHBOURS))
 
 
 def _start(coded: DataFrame, n: int, seed: int) -> DataFrame:
@@ -228,16 +231,17 @@ def _introduce(graph: DataFrame, coded: DataFrame, seed: int) -> DataFrame:
     return members.join(known, "node").select("hub", "node", "code", "worst").repartition("hub").sortWithinPartitions("hub").mapInArrow(run, _GRAPH)
 
 
-def neighbour_graph(coded: DataFrame, seed: int = 0) -> DataFrame:
+def neighbour_graph(coded: DataFrame, seed: int = 0, rounds: int | None = None) -> DataFrame:
     """(u, v, s): about the NEIGHBOURS nearest nodes of every node. Fewer than two nodes have no edges.
 
-    Rounds go on until the graph is settled; neighbours only get nearer, so they end.
+    Rounds go on until the graph is settled, or to their number if it is given; neighbours only get nearer, so they end.
     """
     n = coded.count()
     graph = materialize(_merge(_start(coded, n, seed)), "graph")
-    for k in itertools.count():
+    for k in itertools.count() if rounds is None else range(rounds):
         grown = materialize(_merge(_introduce(graph, coded, seed + k).unionByName(graph)), "graph")
         new = grown.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
+        discard(graph)
         graph = grown
         if new <= SETTLED * NEIGHBOURS * n:
             break
@@ -285,7 +289,8 @@ def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, beam: int = B
         met = met.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
         scored = met.join(coded.select("node", "code"), "node").join(codes, "query_id").select("query_id", "node", "code", "q").mapInArrow(rescore, shape)
         after = marked.select("query_id", "node", "s", (F.col("followed") | F.col("_go")).alias("followed"))
-        state = materialize(keep(after.unionByName(scored)), "beam")
+        old, state = state, materialize(keep(after.unionByName(scored)), "beam")
+        discard(old)
     return state.select("query_id", "node")
 
 

@@ -64,9 +64,9 @@ def merged(queued: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, times, taken, source.
+    """One row per document: doc_id, size, source_size, target, times, taken, source, copy.
 
-    size counts words (null text: 0); times says how often the mix takes the document, at most
+    size counts words (null text: 0); copy numbers the rows that agree in doc_id, source and size, from 0; times says how often the mix takes the document, at most
     `epochs`; taken is size times that. Null sources are one source, sorted last. Repeated rows queue
     each; the order depends on values only, so reruns agree whatever the partitions. Empty
     documents have no words to take and are taken 0 times. Other columns are left out,
@@ -80,20 +80,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     in_time = F.count_if((F.col("spent") <= budget) & (F.col("size") > 0)).cast("int")
     times = merged(queued, epochs).groupBy("doc_id", "rank", "size", "copy").agg(in_time.alias("times"))
     goals = goals.withColumnRenamed("rank", "_rank")
-    return times.join(goals, F.col("rank") == F.col("_rank")).select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), "source")
+    return times.join(goals, F.col("rank") == F.col("_rank")).select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), "source", "copy")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, also rows without doc_id. Rows that agree in doc_id, source and size share their turns evenly, rounded up."""
-    key, times, size = unused(docs, "_key"), unused(docs, "_times"), unused(docs, "_size")
-    own = lambda i, s, n: F.xxhash64(i, s, n)
-    plan = mix(docs, doc_id, source, text, **options).groupBy("doc_id", "source", "size").agg(F.ceil(F.avg("times")).cast("int").alias(times)).where(F.col(times) > 0)
-    plan = plan.select(own("doc_id", "source", "size").alias(key), *(F.col(c).alias(f"_plan_{c}") for c in ("doc_id", "source", "size")), times)
-    plan = plan.hint("merge")  # one plan at every size: the plan has a row per document
-    rows = docs.withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    left = [rows[doc_id], rows[source], rows[size]]
-    same = [a.eqNullSafe(plan[f"_plan_{c}"]) for a, c in zip(left, ("doc_id", "source", "size"), strict=True)]
-    both = rows.join(plan, (own(*left) == plan[key]) & same[0] & same[1] & same[2])
+    """The rows of docs, each as often as the mix takes it, also rows without doc_id.
+
+    Rows that agree in doc_id, source and size are numbered range by range, and take the turns of the queue's copies of their
+    numbers: which of them comes first is open, as the queue doesn't tell them apart, but their turns add up to the plan's.
+    docs are written once with a number for each row, so that numbers stay; texts are shuffled once.
+    """
+    row, times, size = unused(docs, "_row"), unused(docs, "_times"), unused(docs, "_size")
+    rows = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")}), "numbered")
+    light = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size"))
+    own = running_sums(light, ["row"], {"copy": F.lit(1)}, ["doc_id", "source", "size"]).withColumn("copy", F.col("copy") - 1)
+    key = F.xxhash64("doc_id", "source", "size", "copy").alias("key")
+    plan = mix(docs, doc_id, source, text, **options).where(F.col("times") > 0)
+    plan = plan.select(key, *(F.col(c).alias(f"plan_{c}") for c in ("doc_id", "source", "size", "copy")), F.col("times").alias(times))
+    same = [F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in ("doc_id", "source", "size", "copy")]
+    own = own.select(key.alias("own_key"), "row", "doc_id", "source", "size", "copy")
+    # one plan at every size: all sides have a row for each document
+    turns = own.join(plan.hint("merge"), (F.col("own_key") == F.col("key")) & same[0] & same[1] & same[2] & same[3]).select(F.col("row").alias("turn_row"), times)
+    both = rows.join(turns.hint("merge"), F.col(row) == F.col("turn_row"))
     return both.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(rows[c] for c in docs.columns))
 
 

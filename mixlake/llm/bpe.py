@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -199,10 +198,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixBPE:
-    """One encoder for each worker process, which keeps its caches between batches and tasks."""
-    return PrefixBPE(load_ranks(path))
+_ENCODERS: dict[str, PrefixBPE] = {}
+
+
+def encoder(path: str, ranks=None) -> PrefixBPE:
+    """One encoder for each worker process and tokenizer, which keeps its caches between batches and tasks. ranks: the broadcast of sent_ranks(); without it the file is read."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = PrefixBPE(load_ranks(path) if ranks is None else ranks.value)
+    return _ENCODERS[path]
+
+
+def sent_ranks(spark: SparkSession, path: str):
+    """The ranks of a file that the driver reads, broadcast: as many as the tokenizer has."""
+    return spark.sparkContext.broadcast(load_ranks(path))
 
 
 def default_path() -> str:
@@ -222,13 +231,14 @@ def _mapped(docs: DataFrame, text: str, path: str | None, pattern: str | None, f
     docs = without(docs, [f.name for f in fields], text)
     path, pattern = path or default_path(), pattern or default_pattern()
     place = docs.columns.index(text)
+    ranks = sent_ranks(docs.sparkSession, path)
     names = [unused(docs, f"_new_{f.name}") for f in fields]
     schema = T.StructType([*docs.drop(text).schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        bpe, split = encoder(path), regex.compile(pattern).findall
+        bpe, split = encoder(path, ranks), regex.compile(pattern).findall
         kinds = [{"long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}.get(f.dataType.simpleString(), pa.list_(pa.int32())) for f in fields]
         for batch in batches:
             texts = batch.column(place)
@@ -265,10 +275,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """rows with ids replaced by text_bytes (binary): the ids' bytes, joined. Null ids give null."""
     path = path or default_path()
+    ranks = sent_ranks(rows.sparkSession, path)
 
     @F.pandas_udf("binary")
     def joined(column):
-        bpe = encoder(path)
+        bpe = encoder(path, ranks)
         return column.map(lambda x: None if x is None else bpe.decode(x))
 
     return rows.withColumn("text_bytes", joined(F.col(ids))).drop(ids)

@@ -43,6 +43,8 @@ TESTS = {
     "card": f"if({_DIGITS} between 13 and 19, luhn_check(regexp_replace({{h}}, '[^0-9]', '')), false)",
     "phone": f"{_DIGITS} between 9 and 15",
 }
+#: What a text has that any of their hits is in.
+NEEDS = {"email": "contains(t, '@')", "ip": "contains(t, '.') and t rlike '[0-9]'", "card": "t rlike '[0-9][ -]?[0-9]'", "phone": "contains(t, '+')"}
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 #: Any of them, leftmost first; an address begins where its run of letters does.
 SEED = "|".join((EMAIL.replace(r"|\G", ""), PHONE, IP, CARD))
@@ -100,14 +102,17 @@ def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     says whether it has ENOUGH letters and digits, the last four are hashes, null where there is no such context. row is a number of its own once written.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.translate(F.coalesce(F.col(text), F.lit("")), MARKS, OTHER * len(MARKS)).alias("t"))
+    # a pattern is tried only on texts with a character that it needs; on others it finds nothing
     for k in KINDS:
-        rows = _find(rows, "t", PATTERNS[k], f"_{k}", TESTS[k].format(h="{hit}")).drop(f"_{k}_gaps")
+        rows = rows.withColumn("_may", F.expr(f"if({NEEDS[k]}, t, '')"))
+        rows = _find(rows, "_may", PATTERNS[k], f"_{k}", TESTS[k].format(h="{hit}")).drop(f"_{k}_gaps", "_may")
     base = ", ".join(f"transform(filter(_{k}, s -> s.hit is not null), s -> named_struct('kind', {i}, 'start', s.start, 'stop', s.stop))" for i, k in enumerate(KINDS))
     rows = rows.select("row", "doc_id", "t", F.expr(f"array_sort(cast(concat({base}) as {_SPAN}))").alias("base"))
-    rows = _find(rows, "t", SEED, "_any")
+    rows = _find(rows.withColumn("_may", F.expr("if(size(base) > 0, t, '')")), "_may", SEED, "_any")
     mark = f"substring('{MARKS}', k + 1, 1)"
     piece = f"element_at(transform(array({_kind_of('h.whole')}), k -> if(k is null, h.whole, concat({mark}, replace(h.whole, ' ', concat(' ', {mark}))))), 1)"
-    rows = rows.select("row", "doc_id", "base", F.expr(f"array_join(zip_with(_any_gaps, _any, (g, h) -> concat(g, if(h is null, '', {piece}))), '')").alias("m"))
+    rows = rows.select("row", "doc_id", "base", F.expr(f"array_join(zip_with(_any_gaps, _any, (g, h) -> concat(g, if(h is null, '', {piece}))), '')").alias("m"), "t")
+    rows = rows.withColumn("m", F.expr("if(size(base) > 0, m, t)")).drop("t")
     p = _sql(CANDIDATE)
     rows = rows.withColumn("hits", F.expr(f"regexp_extract_all(m, {p}, 0)")).withColumn("gaps", F.expr(f"if(size(hits) > 0, split(m, {p}, -1), array(m))"))
     rows = rows.withColumn("bare", F.expr(f"transform(hits, h -> translate(h, '{MARKS}', ''))"))

@@ -340,6 +340,11 @@ class Fit:
         self.step += 1
         return q
 
+    def assign_from_prior(self) -> np.ndarray:
+        """The start that looks at no cell: every row's cluster is drawn from pi alone, then the parameters given all rows."""
+        self.p.theta = [np.zeros_like(t) for t in self.p.theta]
+        return self.gibbs(self.rows, False)
+
     def smc_step(self, batch: DataFrame, seen: bool = False) -> None:
         """A move, the weight update, and resampling when fewer than half of the particles count."""
         q = self.gibbs(batch, seen)

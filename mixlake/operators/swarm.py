@@ -12,6 +12,7 @@ the driver, gives the same numbers from the same batches. That form is for few p
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,10 @@ WORKED = 2_000_000
 _STATE = "particle long, pi array<double>, theta array<double>, rows array<double>, phi array<double>, log_w double, gamma double, alpha_pi double, alpha_theta double, q double, back array<long>"
 
 
+#: What a saved state holds besides its tables.
+_SAVED = ("sizes", "n", "c", "seed", "count_mode", "q_mode", "grids", "shards", "step", "resamplings", "history")
+
+
 @dataclass(frozen=True)
 class Blocks:
     """Rows dealt into blocks: a table (row_id, place, features as codes) in folders by block."""
@@ -83,6 +88,7 @@ class Swarm:
         self.history: list[dict] = []  # step, ess, resampled
         self.held: dict[int, tuple[DataFrame, int, int]] = {}  # block: table of clusters, resamplings before it, place in its arrays
         self.weighted: DataFrame | None = None  # the last weighted step's particles before they were resampled
+        self.kept: set[str] = set()  # tables that saved states name
         c = n_clusters
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +102,41 @@ class Swarm:
 
         self.state = materialize(spark.range(0, n_particles, 1, self.shards).mapInArrow(run, _STATE), "particles")
 
+    # ---- saved states
+
+    def save(self, path: str) -> None:
+        """Writes what the fit is made of as path/step=N, one row; the tables that it names stay, and the fit goes on with new ones."""
+        held = {b: (t._scratch, before, begin) for b, (t, before, begin) in self.held.items()}
+        own = {k: getattr(self, k) for k in _SAVED}
+        blocks = {"path": self.blocks.path, "features": self.blocks.features, "n_rows": self.blocks.n_rows, "block_rows": self.blocks.block_rows}
+        self.kept |= {self.state._scratch, *(p for p, *_ in held.values())}
+        text = json.dumps({**own, "blocks": blocks, "held": held, "state": self.state._scratch})
+        self.spark.createDataFrame([(text,)], "fit string").coalesce(1).write.mode("overwrite").parquet(f"{path}/step={self.step:08d}")
+
+    @classmethod
+    def resume(cls, spark, path: str, step: int | None = None) -> Swarm | None:
+        """The fit that save() wrote after `step` moves, or last; None where there is none. It goes on as if it had never stopped."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        rows = spark.read.schema("fit string, step int").parquet(path)
+        rows = rows.orderBy(F.desc("step")).limit(1) if step is None else rows.where(F.col("step") == step)
+        found = rows.collect()
+        if not found:
+            return None
+        own = json.loads(found[0].fit)
+        out = cls.__new__(cls)
+        out.spark, out.weighted = spark, None
+        for k in _SAVED:
+            setattr(out, k, own[k])
+        out.blocks = Blocks(own["blocks"]["path"], tuple(own["blocks"]["features"]), own["blocks"]["n_rows"], own["blocks"]["block_rows"])
+        tables = {p: _table(spark, p) for p in {v[0] for v in own["held"].values()}}
+        out.held = {int(b): (tables[p], before, begin) for b, (p, before, begin) in own["held"].items()}
+        out.state = _table(spark, own["state"]).drop("clusters")
+        out.state._scratch = own["state"]
+        out.kept = {own["state"], *tables}
+        return out
+
     # ---- moves
 
     def move(self, blocks: list[int], weigh: bool) -> None:
@@ -197,7 +238,7 @@ class Swarm:
 
     def _drop(self, tables: list[DataFrame]) -> None:
         """Deletes those of the tables that nothing names any more."""
-        used = {t._scratch for t, *_ in self.held.values()} | {self.state._scratch}
+        used = {t._scratch for t, *_ in self.held.values()} | {self.state._scratch} | self.kept
         for path, t in {t._scratch: t for t in tables}.items():
             if path not in used:
                 discard(t)
@@ -419,6 +460,13 @@ class BlockFit:
         return self._rows(sorted(self.held)).select("row_id", F.posexplode("a").alias("particle", "cluster"))
 
 
+def _table(spark, path: str) -> DataFrame:
+    """A table of particles and clusters that a move has written."""
+    out = spark.read.schema(f"{_STATE}, clusters array<int>").parquet(path)
+    out._scratch = path
+    return out
+
+
 def _packed(ids: np.ndarray, p: I.Particles, q: np.ndarray, back: pa.Array) -> pa.RecordBatch:
     """A row for each particle."""
     flat = lambda parts: I._lists(np.concatenate([x.reshape(len(ids), -1) for x in parts], axis=1))

@@ -46,6 +46,15 @@ def initial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, fit)
 
 
+@query("m02_prior_start", R.fit_sql(15, 3, [("true", False)], blind_start=True) + R.CELLS)
+def prior_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells after a start that draws clusters from their weights alone."""
+    rows, sizes, _ = _encoded(spark, sf_dir)
+    fit = I.Fit(rows, FEATURES, sizes, shared_dir(spark), 3, CLUSTERS, seed=15)
+    fit.assign_from_prior()
+    return _cells(spark, fit)
+
+
 @query("i13_smc_cells", R.fit_sql(12, 3, R.smc_moves(12, 3, 1)) + R.CELLS)
 def smc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sizes, n = _encoded(spark, sf_dir)

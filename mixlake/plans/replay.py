@@ -43,15 +43,16 @@ def _grid_draw(s: int, seed: int, which: int, groups: str, grid: list[float], co
     return f"(SELECT p, [{', '.join(f'CAST({a} AS DOUBLE)' for a in grid)}][1 + least(count(*) FILTER (cum <= {unit_sql(key_sql([seed, s, draws.HYPER, which], 'p'))}), {len(grid) - 1})] AS {column} FROM ({cum}) GROUP BY p)"
 
 
-def _move(s: int, seed: int, particles: int, where: str, weigh: bool, grid: list[float] | None) -> str:
-    """Named subqueries of move s: from ag, t, al, lw of number s to those of s + 1."""
+def _move(s: int, seed: int, particles: int, where: str, weigh: bool, grid: list[float] | None, blind: bool = False) -> str:
+    """Named subqueries of move s: from ag, t, al, lw of number s to those of s + 1. blind: clusters are drawn by their weights alone."""
+    joint = "w.lp" if blind else "w.lp + x.lp + y.lp + z.lp"
     resampled = f"CASE WHEN (SELECT 1 / sum(w * w) FROM wn{s}) < {particles} / 2.0 THEN least((SELECT count(*) FROM cw{s} WHERE cum <= u), {particles - 1}) ELSE p END" if weigh and particles > 1 else "p"
     log_w = "log_w + target - gamma - q" if weigh else "log_w"
     after = f"CASE WHEN (SELECT 1 / sum(w * w) FROM wn{s}) < {particles} / 2.0 THEN -ln({particles}) ELSE wt{s}.log_w END" if weigh and particles > 1 else f"wt{s}.log_w"
     alphas = f"SELECT p, alpha_pi, alpha_theta FROM {_grid_draw(s, seed, 0, 'f < 0', grid, 'alpha_pi')} JOIN {_grid_draw(s, seed, 1, 'f >= 0', grid, 'alpha_theta')} USING (p)" if grid else f"SELECT * FROM al{s}"
     return f""",
 bt{s} AS MATERIALIZED (SELECT * FROM enc WHERE {where}),
-jt{s} AS MATERIALIZED (SELECT o_orderkey, w.p, w.k AS c, w.lp + x.lp + y.lp + z.lp AS v FROM bt{s}, t{s} w, t{s} x, t{s} y, t{s} z WHERE w.f = -1 AND x.p = w.p AND y.p = w.p AND z.p = w.p AND x.c = w.k AND y.c = w.k AND z.c = w.k AND x.f = 0 AND x.k = f0 AND y.f = 1 AND y.k = f1 AND z.f = 2 AND z.k = f2),
+jt{s} AS MATERIALIZED (SELECT o_orderkey, w.p, w.k AS c, {joint} AS v FROM bt{s}, t{s} w, t{s} x, t{s} y, t{s} z WHERE w.f = -1 AND x.p = w.p AND y.p = w.p AND z.p = w.p AND x.c = w.k AND y.c = w.k AND z.c = w.k AND x.f = 0 AND x.k = f0 AND y.f = 1 AND y.k = f1 AND z.f = 2 AND z.k = f2),
 js{s} AS MATERIALIZED (SELECT *, top + ln(sum(exp(v - top)) OVER (PARTITION BY o_orderkey, p)) AS lse FROM (SELECT *, max(v) OVER (PARTITION BY o_orderkey, p) AS top FROM jt{s})),
 jc{s} AS (SELECT *, sum(exp(v - lse)) OVER (PARTITION BY o_orderkey, p ORDER BY c) AS cum FROM js{s}),
 ur{s} AS MATERIALIZED (SELECT o_orderkey, p, {unit_sql(key_sql([seed, s, draws.ROW], 'o_orderkey', 'p'))} AS u FROM bt{s}, par),
@@ -75,15 +76,15 @@ al{s + 1} AS MATERIALIZED (SELECT up{s}.p, alpha_pi, alpha_theta FROM up{s} JOIN
 lw{s + 1} AS MATERIALIZED (SELECT up{s}.p, {after} AS log_w, gamma FROM up{s} JOIN wt{s} ON wt{s}.p = ancestor)"""
 
 
-def fit_sql(seed: int, particles: int, moves: list[tuple[str, bool]], grid: list[float] | None = None) -> str:
-    """Named subqueries of a fit's moves, (condition of the batch, whether it is weighted): after them fit_ag (o_orderkey, p, cluster), fit_t (p, f, c, k, lp) and fit_w (p, w)."""
+def fit_sql(seed: int, particles: int, moves: list[tuple[str, bool]], grid: list[float] | None = None, blind_start: bool = False) -> str:
+    """Named subqueries of a fit's moves, (condition of the batch, whether it is weighted), the first one blind if so told: after them fit_ag (o_orderkey, p, cluster), fit_t (p, f, c, k, lp) and fit_w (p, w)."""
     out = model_sql() + f""", par AS (SELECT range AS p FROM range({particles})), {_DM},
 g AS MATERIALIZED ({_shapes(seed, -1, '0 AS n, 1.0::DOUBLE AS a', '0, 1.0::DOUBLE')}),
 t0 AS MATERIALIZED ({_dirichlet('g')}),
 al0 AS (SELECT p, 1.0::DOUBLE AS alpha_pi, 1.0::DOUBLE AS alpha_theta FROM par), lw0 AS (SELECT p, 0.0::DOUBLE AS log_w, 0.0::DOUBLE AS gamma FROM par),
 ag0 AS (SELECT o_orderkey, 0::BIGINT AS p, 0::BIGINT AS cluster FROM enc WHERE false)"""
     for s, (where, weigh) in enumerate(moves):
-        out += _move(s, seed, particles, where, weigh, grid)
+        out += _move(s, seed, particles, where, weigh, grid, blind_start and s == 0)
     end = len(moves)
     return out + f""",
 fit_ag AS (SELECT * FROM ag{end}), fit_t AS (SELECT * FROM t{end}),

@@ -144,3 +144,26 @@ def test_blocks_of_rows_equal_dealt_particles(spark, data):
     assert len(read.collect()) == blocks.size(b[0])
     scan = read._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
     assert scan.metrics().apply("numOutputRows").value() == blocks.size(b[0])
+
+
+def test_saved_states_go_on_as_if_there_had_been_no_stop(spark, data, tmp_path):
+    rows, names, sizes = data
+    blocks = S.deal(rows, names, 150, seed=3)
+    whole = S.Swarm(spark, blocks, sizes, 6, 3, seed=3).run(4, 1)
+    first = S.Swarm(spark, blocks, sizes, 6, 3, seed=3).run(2, 1)
+    assert S.Swarm.resume(spark, f"file://{tmp_path}/none") is None
+    first.save(f"file://{tmp_path}/saved")
+    first.move([2], True)
+    first.save(f"file://{tmp_path}/saved")
+    for step in (4, None):
+        again = S.Swarm.resume(spark, f"file://{tmp_path}/saved", step)
+        if step is None:
+            again.move(again.random_blocks(1), False)
+        else:
+            again.move([2], True)
+            again.move(again.random_blocks(1), False)
+        again.move([3], True)
+        again.move(again.random_blocks(1), False)
+        a, b = state_of(whole), state_of(again)
+        assert all(np.allclose(a[k], b[k]) for k in a) and again.step == whole.step
+        assert sorted(map(tuple, again.assigned().collect())) == sorted(map(tuple, whole.assigned().collect()))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from mixlake.llm.bpe import encode
 from mixlake.llm.shared import materialize, shared_dir, table
+from mixlake.operators.ordering import running_sums
 
 #: Tokens of a sequence, sequences of a shard, and the key of the order.
 LENGTH, SHARD, KEY = 4096, 1024, 20_240_601
@@ -27,8 +28,6 @@ LENGTH, SHARD, KEY = 4096, 1024, 20_240_601
 END, PAD = 0xFF, 0xFE
 #: Ids after the last of the 50,256 of the tokenizer.
 END_ID, PAD_ID = 50_256, 50_257
-#: Rows of one range of the hash, about; ranges at most. A range's sum is one row for the driver.
-RANGE_ROWS, RANGES = 2000, 1 << 16
 ROUNDS = 6
 
 
@@ -70,29 +69,29 @@ def packed_ids(ids: Column, width: int = 2) -> Column:
 def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end: bytes = bytes([END]), pad: bytes = bytes([PAD]), length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """One row per sequence: slot, shard, position in the shard, sequence (its number before the permutation), doc_ids, payload.
 
-    tokens: binary, len(end) bytes per token. Every payload has length tokens; the last sequence is padded.
-    Null tokens count as none, so such documents are END only, as are empty ones. Documents that agree in
-    doc_id and tokens follow one another; repeated rows are written each; null doc_ids are null in doc_ids.
-    Long documents span sequences. An empty table gives no sequence. Other columns are left out.
+    tokens: binary, len(end) bytes per token; doc_id: an integer column, others raise a TypeError. Every payload has length tokens;
+    the last sequence is padded. Null tokens count as none, so such documents are END only, as are empty ones. Documents are laid end to end
+    in the order of a hash of doc_id and tokens; equal rows follow one another in any order, as they are alike, and are written each; null
+    doc_ids are null in doc_ids. Long documents span sequences. An empty table gives no sequence. Other columns are left out.
+
+    The documents are written once with numbers. Where each begins is a running sum over hashes and lengths, range by range, so
+    copies are split like other rows; the tokens are shuffled to their numbers' places and, cut, to their shards.
     """
     width, stride = len(end), len(end) * length
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.coalesce(F.col(tokens), F.lit(b"")), F.lit(end)).alias("tokens"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "tokens"))
-    bits = min(int(math.log2(RANGES)), max(0, math.ceil(math.log2(max(1, docs.count() / RANGE_ROWS)))))
-    rows = rows.withColumn("part", F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0))
-    sums = {r.part: r.n for r in rows.groupBy("part").agg(F.sum(F.octet_length("tokens")).alias("n")).collect()}
-    begins, total = {}, 0
-    for part in sorted(sums):
-        begins[part], total = total, total + sums[part]
+    kind = docs.schema[doc_id].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{doc_id} must be an integer column")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(tokens), F.lit(b"")), F.lit(end)).alias("tokens"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    lengths = rows.select("row", F.xxhash64("doc_id", "tokens").alias("h"), F.octet_length("tokens").cast("long").alias("n"))
+    begins = running_sums(lengths, ["h", "row"], {"upto": "n"}).select(F.col("row").alias("at_row"), (F.col("upto") - F.col("n")).alias("at"))
+    total = rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     n = -(-total // stride)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = None, 0
         for batch in batches:
             out: list[tuple] = []
-            for own, doc, data in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if own != part:
-                    part, at = own, begins[own]
+            for at, doc, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 view, k = memoryview(data.as_buffer()), 0
                 while k < len(view):
                     room = stride - at % stride
@@ -131,11 +130,8 @@ def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", e
         if slot is not None:
             yield send([done()])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    if kind not in ("bigint", "int", "smallint", "tinyint"):
-        raise TypeError(f"{doc_id} must be an integer column")
-    rows = rows.select("part", "h", F.col("doc_id").cast("long"), "tokens").repartition("part").sortWithinPartitions("part", "h")
-    pieces = rows.mapInArrow(cut, "shard long, slot long, begin int, sequence long, doc_id long, piece binary")
+    placed = rows.join(begins.hint("merge"), F.col("row") == F.col("at_row")).select("at", "doc_id", "tokens")
+    pieces = placed.mapInArrow(cut, "shard long, slot long, begin int, sequence long, doc_id long, piece binary")
     dealt = pieces.repartition("shard").sortWithinPartitions("slot", "begin")
     return dealt.mapInArrow(join, "shard long, slot long, position long, sequence long, doc_ids array<long>, payload binary")
 
@@ -249,7 +245,6 @@ def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences of all documents' tokenizer ids, two bytes each, as the written shards hold them."""
     docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", packed_ids(F.col("ids")).alias("tokens"))
-    docs = materialize(docs, "tokens")  # read three times, encoded once
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/shards-{uuid.uuid4().hex}"
     rows = sequences(docs, end=END_ID.to_bytes(2, "little"), pad=PAD_ID.to_bytes(2, "little"))
     return read_back(materialize(write_dealt(rows, folder), "slots"), folder, LENGTH * 2)

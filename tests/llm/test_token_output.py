@@ -16,8 +16,7 @@ def test_permutation_is_a_bijection(n):
     assert n < 100 or (places != O.permuted(np.arange(n), n, 4)).any() and (places[1:] - places[:-1] == 1).mean() < 0.1
 
 
-def test_shards_hold_every_document_once(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(O, "RANGE_ROWS", 20)
+def test_shards_hold_every_document_once(spark, tmp_path):
     r = random.Random(0)
     rows = [(i, "é" * r.choice([0, 1, 10, 300, 5000]) + str(i), 1) for i in range(150)] + [(None, None, 1), (3, None, 1), (4, "same", 1), (4, "same", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3).select("doc_id", "slot", O.byte_tokens(F.col("text")).alias("tokens"))
@@ -66,3 +65,27 @@ def test_query_writes_shards_of_tokenizer_ids(spark, monkeypatch):
     decode = bpe.encoder(bpe.default_path()).decode
     assert Counter(decode(d) for d in docs) == Counter((t or "").encode() for _, t in texts)
     assert list(O.read_slots(folders[0], 0, len(got), 2 * O.LENGTH)) == [bytes(x.payload) for x in sorted(got, key=lambda x: x.slot)]
+
+
+def test_order_and_slots_match_brute_force(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, *range(40)]), "x" * r.choice([0, 3, 60, 700])) for _ in range(120)] + [(7, "copy")] * 300
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4).select("doc_id", O.byte_tokens(F.col("text")).alias("tokens"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("d"), F.concat("tokens", F.lit(bytes([O.END]))).alias("t")).select("d", "t", F.xxhash64("d", "t").alias("h")).collect()
+    stream, owner = b"", []
+    for x in sorted(hashed, key=lambda x: x.h):
+        stream += bytes(x.t)
+        owner += [x.d] * len(x.t)
+    n = -(-len(stream) // 64)
+    slots = O.permuted(np.arange(n), n, 11)
+    want = {}
+    for k in range(n):
+        own = owner[64 * k : 64 * k + 64]
+        want[int(slots[k])] = (k, stream[64 * k : 64 * k + 64].ljust(64, bytes([O.PAD])), [d for i, d in enumerate(own) if i == 0 or stream[64 * k + i - 1] == O.END])
+    got = {x.slot: (x.sequence, bytes(x.payload), list(x.doc_ids)) for x in O.sequences(docs, length=64, shard=8, key=11).collect()}
+    assert got == want
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        O.sequences(spark.createDataFrame([("a", bytearray(b"x"))], "doc_id string, tokens binary"))

@@ -17,13 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only a reread."""
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost only a reread. codec: of Parquet, the session's by default."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

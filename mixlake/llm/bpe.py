@@ -35,10 +35,13 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        #: length of the longest token that ends in each byte
-        self.reach = [0] * 256
+        self.sizes, self.names = {i: len(b) for b, i in ranks.items()}, {i: str(i) for i in ranks.values()}
+        #: lengths of the tokens that end in the same three bytes, the longest first, and of those that may end anywhere
+        ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
+            if len(token) > 2:
+                ends.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[int, bool] = {}
@@ -109,31 +112,32 @@ class PrefixBPE:
 
     def grow(self, last: list[int], piece: bytes, until: int | None = None) -> None:
         """Adds to `last`, the last tokens of the first prefixes of piece, those of the longer ones."""
-        token_of, known, reach = self.ranks.get, self.pairs.get, self.reach
+        token_of, known, lengths, add = self.ranks.get, self.pairs.get, self.lengths.get, last.append
         for end in range(len(last) + 1, (len(piece) if until is None else until) + 1):
-            for begin in range(max(0, end - reach[piece[end - 1]]), end):
-                token = token_of(piece[begin:end])
-                if token is None:
+            for length in lengths(piece[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                if length >= end:
+                    if length == end and (token := token_of(piece[:end])) is not None and self.stands(token):
+                        add(token)
+                        break
                     continue
-                if begin:
-                    fits = known(last[begin - 1] << 32 | token)
-                    if fits is None:
-                        fits = self.compatible(last[begin - 1], token)
-                else:
-                    fits = self.stands(token)
-                if fits:
-                    last.append(token)
-                    break
+                token = token_of(piece[end - length : end])
+                if token is not None:
+                    key = last[end - length - 1] << 32 | token
+                    fits = known(key)
+                    if fits or fits is None and self.compatible(last[end - length - 1], token):
+                        add(token)
+                        break
             else:
                 raise ValueError("the ranks lack a byte of the text")
 
     def walk(self, last: list[int]) -> tuple[int, ...]:
         """The whole piece's tokens, from the end back."""
-        out, at = [], len(last)
+        out, at, size = [], len(last), self.sizes
         while at:
-            out.append(last[at - 1])
-            at -= len(self.bytes[last[at - 1]])
-        return tuple(reversed(out))
+            token = last[at - 1]
+            out.append(token)
+            at -= size[token]
+        return tuple(out[::-1])
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if (token := self.ranks.get(piece)) is not None and self.stands(token):
@@ -146,7 +150,7 @@ class PrefixBPE:
         """Puts pieces into the cache. In order, a piece starts from the rows of the prefix it shares with the one before."""
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        before, last = b"", []
+        before, last, name = b"", [], self.names.__getitem__
         for piece in sorted(p.encode() for p in pieces - self.pieces.keys()):
             shared = 0
             for x, y in zip(before, piece, strict=False):
@@ -156,7 +160,7 @@ class PrefixBPE:
             del last[shared:]
             self.grow(last, piece)
             ids = self.walk(last)
-            self.pieces[piece.decode()] = (ids, " ".join(map(str, ids)))
+            self.pieces[piece.decode()] = (ids, " ".join(map(name, ids)))
             before = piece
 
     def decode(self, ids: Iterator[int]) -> bytes:

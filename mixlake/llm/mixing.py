@@ -91,7 +91,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     docs are written once with a number for each row, so that numbers stay; texts are shuffled once.
     """
     row, times, size = unused(docs, "_row"), unused(docs, "_times"), unused(docs, "_size")
-    rows = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")}), "numbered")
+    rows = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")}), "numbered", codec="zstd")
     light = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).alias("size"))
     own = running_sums(light, ["row"], {"copy": F.lit(1)}, ["doc_id", "source", "size"]).withColumn("copy", F.col("copy") - 1)
     key = F.xxhash64("doc_id", "source", "size", "copy").alias("key")

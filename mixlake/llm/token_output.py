@@ -29,6 +29,8 @@ END, PAD = 0xFF, 0xFE
 #: Ids after the last of the 50,256 of the tokenizer.
 END_ID, PAD_ID = 50_256, 50_257
 ROUNDS = 6
+#: Documents, or pieces of them, that a task handles at a time.
+HELD = 512
 
 
 def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -89,7 +91,7 @@ def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", e
     n = -(-total // stride)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
             out: list[tuple] = []
             for at, doc, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 view, k = memoryview(data.as_buffer()), 0
@@ -115,7 +117,7 @@ def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", e
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "slot", "position", "sequence", "doc_ids", "payload"])
 
-        for batch in batches:
+        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
             out = []
             for s, m, doc, piece in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if s != slot:

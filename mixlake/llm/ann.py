@@ -35,7 +35,7 @@ INTRODUCED = 10
 #: Nearest of a window that each of its rows takes from the start.
 SENT = 12
 #: Nodes in a query's beam, followed at a time, that every search may start from.
-BEAM, FOLLOWED, ENTRIES = 96, 24, 256
+BEAM, FOLLOWED, ENTRIES = 192, 24, 256
 
 
 def _norm(v: str) -> Column:

@@ -56,3 +56,23 @@ def test_without_labels(spark):
     got = X.classify(docs.limit(20), labels.limit(0)).collect()
     assert len({r.score for r in got}) == 1 and {r.predicted for r in got} == {0}
     assert X.classify(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARD_ROWS", 100)
+    docs, labels = corpus(spark)
+    filler = " ".join(f"quiet{i}" for i in range(3000))  # beyond 20,000 characters
+    more = [(2000 + i, f"{filler} vilething {filler}" if i % 2 else filler, "en", 1.0) for i in range(60)]
+    more_labels = [(2000 + i, 1, i % 2) for i in range(60)]
+    docs, labels = docs.unionByName(spark.createDataFrame(more, docs.schema)), labels.unionByName(spark.createDataFrame(more_labels, labels.schema))
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").where(X.learnable())
+    rows = X.labelled(docs, known.select("doc_id", "toxic"), 0)
+    want = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id").count()
+    assert rows.count() == want == rows.select("doc_id").distinct().count() and rows.select("shard").distinct().count() > 3
+    seen, n = X._counted(rows)
+    assert n.sum() == rows.where("not held").count() and seen[1, X.word_rows("vilething")[0, 0]] >= 10
+    model = X.fit(docs, labels)
+    again = X.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(model.table, again.table) and model.scale == again.scale and model.thresholds == again.thresholds
+    one, other = model.scores([X.word_rows(f"{filler} vilething {filler}"), X.word_rows(filler)])
+    assert one > 0.7 > other

@@ -167,3 +167,22 @@ def test_saved_states_go_on_as_if_there_had_been_no_stop(spark, data, tmp_path):
         a, b = state_of(whole), state_of(again)
         assert all(np.allclose(a[k], b[k]) for k in a) and again.step == whole.step
         assert sorted(map(tuple, again.assigned().collect())) == sorted(map(tuple, whole.assigned().collect()))
+
+
+def test_few_particles_with_blocks_of_any_size(spark, data, monkeypatch):
+    """What a step gives is the same with rows in tasks, where a block needn't be sent whole."""
+    rows, names, sizes = data
+    blocks = S.deal(rows, names, 200)
+    sent, fit = S.Swarm(spark, blocks, sizes, 4, 3, seed=9), S.BlockFit(spark, blocks, sizes, 4, 3, seed=9)
+    sent.move([0], True)
+    monkeypatch.setattr(S, "SENT", 1000)
+    fit.move([0], True)
+    assert sent.history[-1]["resampled"] == fit.history[-1]["resampled"]
+    weighted, sent.state = sent.state, sent.weighted
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(sent.assigned(), fit.assigned(weighted=True))
+    assert np.allclose([tuple(r) for r in sent.particles().orderBy("particle").collect()], [tuple(r) for r in fit.particles(fit.weighted).orderBy("particle").collect()])
+    order = ["particle", "feature", "cluster", "category"]
+    assert np.allclose([r.log_p for r in sent.weights()[1].orderBy(*order).collect()], [r.log_p for r in fit.cells(fit.weighted.theta, "log_p", "double").orderBy(*order).collect()])
+    sent.state = weighted
+    assert same(sent.counts(), fit.cells([x.astype(int) for x in fit.p.phi], "n", "long").where("n > 0")) and same(sent.counts(), fit.assigned_cells())

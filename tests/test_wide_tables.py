@@ -124,3 +124,11 @@ def test_checkpoints_are_measured_from_the_target(spark):
     steps = spark.createDataFrame([(0,), (20,), (40,)], "step long")
     got = {x.target: x.step for x in M.checkpoint_of(steps, [0, 4, 17, 25, 30, 39, 41], 10).collect()}
     assert got == {0: 0, 4: 0, 17: 20, 25: 20, 30: 20, 39: 40, 41: 40}
+
+
+def test_few_levels_need_no_python_worker(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0), ("new", None)], "x string, y double")
+    schema = S.TableSchema.fit(rows.where("x is null or x != 'new'"), 2)
+    out = schema.encode(rows)
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.x for r in out.collect() if r.x is not None) == [0, 1] and out.where("x is null").count() == 2

@@ -8,6 +8,7 @@ Margins are written to the shared folder every few rounds; in between tasks appl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlake.operators import metrics as M
-from mixlake.operators.schema import TableSchema
+from mixlake.operators.schema import TableSchema, unused_name
 from mixlake.operators.scoring import lists
 from mixlake.sources.scratch import discard, materialize
 
 #: Gradients are counted in parts of this.
 ONE = 1 << 20
+#: Combinations of codes and label that a table can have, at most, for its equal rows to be counted and handled once.
+COMBINED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -91,7 +94,7 @@ class Boosted:
         """
         width, outputs = 1 + max(sizes, default=0), 1 if classes == 2 else classes
         base = rows.where(F.col(label).isNotNull()).select(*(F.col(f).cast("int").alias(f"x{i}") for i, f in enumerate(features)), F.col(label).cast("int").alias("y"))
-        state = materialize(base.withColumn("margin", F.array_repeat(F.lit(0.0), outputs)), "margins")
+        state = materialize(_counted(base, sizes, classes).withColumn("margin", F.array_repeat(F.lit(0.0), outputs)), "margins")
         done: list[tuple[Tree, ...]] = []
         fresh: list[tuple[Tree, ...]] = []
         for t in range(rounds):
@@ -123,6 +126,13 @@ class Boosted:
         return rows.withColumn(name, run(*(F.col(f).cast("int") for f in self.features)))
 
 
+def _counted(rows: DataFrame, sizes: list[int], classes: int, name: str = "n") -> DataFrame:
+    """rows with a column of numbers: equal rows as one with their number where there can be few different ones, else each with 1."""
+    if math.prod(k + 1 for k in sizes) * (classes + 1) > COMBINED:
+        return rows.withColumn(name, F.lit(1).cast("long"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias(name))
+
+
 def _matrix(columns: list[pa.Array], sizes: tuple[int, ...] | list[int]) -> np.ndarray:
     """Codes + 1, 0 for missing ones, as (rows, features)."""
     out = np.empty((len(columns[0]), len(columns)), np.int64)
@@ -176,11 +186,11 @@ def _histograms(state: DataFrame, sizes: list[int], classes: int, depth: int, fr
                 continue
             codes, margins = _state_columns(b, sizes)
             p = _probabilities(_margins(codes, margins, fresh, depth), classes)
-            y = np.asarray(b.column("y"))
+            y, rows = np.asarray(b.column("y")), np.asarray(b.column("n")).astype(float)
             for o, tree in enumerate(growing):
                 own = p[:, 1] if classes == 2 else p[:, o]
-                g = np.rint((own - (y == (1 if classes == 2 else o))) * ONE)
-                h = np.maximum(np.rint(own * (1 - own) * ONE), 1)
+                g = np.rint((own - (y == (1 if classes == 2 else o))) * ONE) * rows
+                h = np.maximum(np.rint(own * (1 - own) * ONE), 1) * rows
                 slots = np.full(len(tree.feature), -1)
                 slots[opens[o]] = np.arange(len(opens[o]))
                 slot = slots[tree.nodes(codes, depth)]
@@ -188,7 +198,7 @@ def _histograms(state: DataFrame, sizes: list[int], classes: int, depth: int, fr
                 at = (((o * most + slot[there])[:, None] * features + np.arange(features)) * width + codes[there]).ravel()
                 for total, w in ((g_sum, g), (h_sum, h)):
                     total += np.bincount(at, np.repeat(w[there], features), minlength=cells).astype(np.int64)  # whole numbers, far below 2^53
-                n_sum += np.bincount(at, minlength=cells)
+                n_sum += np.bincount(at, np.repeat(rows[there], features), minlength=cells).astype(np.int64)
         at = np.flatnonzero(n_sum)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g_sum[at]), pa.array(h_sum[at]), pa.array(n_sum[at])], names=["cell", "g", "h", "n"])
 
@@ -250,13 +260,15 @@ def utility(train: DataFrame, test: DataFrame, target: str, n_bins: int = 20, ro
     encode = lambda df: schema.encode(df.select(*features, coded))
     learned = encode(train)
     model = Boosted.fit(learned, features, sizes, ordered, "_label", max(2, len(known)), rounds, depth, rate, l2)
-    scored = materialize(model.probabilities(encode(test)).select("_label", "probabilities"), "scored")
+    number = unused_name([*features, "_label"])
+    asked = _counted(encode(test).select(*features, "_label"), sizes, max(2, len(known)), number)
+    scored = materialize(model.probabilities(asked).select("_label", "probabilities", F.col(number).alias("_n")), "scored")
     p = F.col("probabilities")
-    answers = M.accuracy(scored.withColumn("_best", (F.array_position(p, F.array_max(p)) - 1).cast("int")), "_best", "_label")
+    answers = M.accuracy(scored.withColumn("_best", (F.array_position(p, F.array_max(p)) - 1).cast("int")), "_best", "_label", "_n")
     if len(known) <= 2:
-        ranks = M.auc(scored.select(p[1].alias("s"), F.col("_label").alias("y")), "s", "y")
+        ranks = M.auc(scored.select(p[1].alias("s"), F.col("_label").alias("y"), "_n"), "s", "y", "_n")
     else:
-        by = scored.select(F.col("_label").cast("string").alias("y"), *(p[i].alias(f"s{i}") for i in range(len(known))))
-        ranks = M.auc_one_vs_rest(by, "y", "y", [str(i) for i in range(len(known))], [f"s{i}" for i in range(len(known))]).agg(F.avg("auc").alias("auc"))
-    counts = learned.agg(F.count("*").alias("n_train"))
+        by = scored.select(F.col("_label").cast("string").alias("y"), "_n", *(p[i].alias(f"s{i}") for i in range(len(known))))
+        ranks = M.auc_one_vs_rest(by, "y", "y", [str(i) for i in range(len(known))], [f"s{i}" for i in range(len(known))], "_n").agg(F.avg("auc").alias("auc"))
+    counts = train.agg(F.count("*").alias("n_train"))
     return counts.crossJoin(answers).crossJoin(ranks).select("n_train", F.coalesce(F.col("n"), F.lit(0)).alias("n_test"), F.lit(len(known)).alias("n_classes"), "accuracy", "auc")  # three tables of one row

@@ -135,9 +135,10 @@ def nearest_key(df: DataFrame, key: str, targets: list[int]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("target"), F.col(f"t{i}").cast("long").alias(key)) for i, t in enumerate(targets)))).alias("x")).select("x.*")
 
 
-def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: ROC-AUC from counts of each distinct score, summed range by range; ties count half. Null if a class has no rows."""
-    by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+def auc(scored: DataFrame, score: str, label: str, n: str | None = None) -> DataFrame:
+    """One row: ROC-AUC from counts of each distinct score, summed range by range; ties count half. Null if a class has no rows. n: the column of how many rows one stands for."""
+    each = F.lit(1) if n is None else F.col(n)
+    by = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label) * each).alias("pos"), F.sum((1 - F.col(label)) * each).alias("neg"))
     rows = running_sums(by, ["s"], {"upto": "neg"})
     return rows.agg(F.try_divide(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -148,16 +149,18 @@ def label_codes(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return running_sums(both, ["label"], {"code": F.lit(1)}).withColumn("code", (F.col("code") - 1).cast("int"))
 
 
-def accuracy(predicted: DataFrame, prediction: str, label: str) -> DataFrame:
-    """One row: n, accuracy and the macro mean of recalls over the labels that occur."""
-    by = predicted.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"), F.count_if(F.col(prediction) == F.col(label)).alias("hit"))
+def accuracy(predicted: DataFrame, prediction: str, label: str, n: str | None = None) -> DataFrame:
+    """One row: n, accuracy and the macro mean of recalls over the labels that occur. n: the column of how many rows one stands for."""
+    each = F.lit(1) if n is None else F.col(n)
+    by = predicted.groupBy(F.col(label).alias("l")).agg(F.sum(each).alias("n"), F.sum(F.when(F.col(prediction) == F.col(label), each).otherwise(0)).alias("hit"))
     return by.agg(F.sum("n").alias("n"), F.try_divide(F.sum("hit").cast("double"), F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("macro_recall"))
 
 
-def auc_one_vs_rest(scored: DataFrame, row_id: str, label: str, classes: list[str], scores: list[str]) -> DataFrame:
-    """(class, auc) of each class against the rest, all in one pass: `scores` holds the column with each class's score."""
+def auc_one_vs_rest(scored: DataFrame, row_id: str, label: str, classes: list[str], scores: list[str], n: str | None = None) -> DataFrame:
+    """(class, auc) of each class against the rest, all in one pass: `scores` holds the column with each class's score. n: the column of how many rows one stands for."""
+    each = (F.lit(1) if n is None else F.col(n)).alias("each")
     x = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(s).cast("double").alias("s"), (F.col(label) == c).cast("int").alias("y")) for c, s in zip(classes, scores, strict=True)))).alias("x")
-    by = scored.select(x).select("x.*").groupBy("class", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    by = scored.select(x, each).select("x.*", "each").groupBy("class", "s").agg(F.sum(F.col("y") * F.col("each")).alias("pos"), F.sum((1 - F.col("y")) * F.col("each")).alias("neg"))
     rows = running_sums(by, ["class", "s"], {"upto": "neg"})
     # ranks within a class: what lies before it is the least of its own sums
     own = rows.groupBy("class").agg(F.min(F.col("upto") - F.col("neg")).alias("b"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("t"))

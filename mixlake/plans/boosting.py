@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mixlake.functions.exprs import rounded
 from mixlake.operators.boosting import utility
 from mixlake.plans.registry import FEATURES, SEED, edges_sql, fitted, query, table
+from mixlake.sources.scratch import materialize
 
 _EVEN = "(SELECT * FROM orders WHERE o_orderkey % 2 = 0)"
 _STUMP = f"""WITH edges AS MATERIALIZED {edges_sql(_EVEN, 'o_totalprice', 20)},
@@ -37,7 +38,7 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, model, _ = fitted(spark, sf_dir)
     names = lambda df: df.select(*(F.col(f).cast("string").alias(f) for f in FEATURES))
     real = names(rows)
-    made = names(model.sample(real.count(), SEED))
+    made = materialize(names(model.sample(real.count(), SEED)), "made")  # drawn once
     out = None
     for source, train in (("real", real), ("synthetic", made)):
         one = utility(train, real, "o_orderstatus", rounds=5, depth=3).withColumn("source", F.lit(source))

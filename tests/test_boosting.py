@@ -109,3 +109,19 @@ def test_edges_of_utility(spark):
     one = B.utility(real, real.where("y = 'a'"), "y", 5, 2, 2).first()
     assert one.auc is None and one.n_test == 2
     assert B.utility(real, real.limit(0), "y", 5, 2, 2).first().n_test == 0
+
+
+def test_equal_rows_are_handled_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    rows = [(f"a{r.integers(3)}", float(r.integers(4)), f"c{r.integers(3)}") for _ in range(2000)]
+    df = spark.createDataFrame(rows, "n string, y double, target string")
+    base = df.select(F.substring("n", 2, 1).cast("int").alias("x0"), F.substring("target", 2, 1).cast("int").alias("y"))
+    few = B._counted(base, [3], 3)
+    assert few.count() == 9 and few.agg(F.sum("n")).first()[0] == 2000
+    want = B.utility(df, df, "target", 4, rounds=2, depth=2).collect()
+    monkeypatch.setattr(B, "COMBINED", 0)
+    assert B._counted(base, [3], 3).count() == 2000
+    got = B.utility(df, df, "target", 4, rounds=2, depth=2).collect()
+    assert want[0][:4] == got[0][:4] and want[0][4] == pytest.approx(got[0][4], abs=1e-12)

@@ -186,3 +186,16 @@ def test_few_particles_with_blocks_of_any_size(spark, data, monkeypatch):
     assert np.allclose([r.log_p for r in sent.weights()[1].orderBy(*order).collect()], [r.log_p for r in fit.cells(fit.weighted.theta, "log_p", "double").orderBy(*order).collect()])
     sent.state = weighted
     assert same(sent.counts(), fit.cells([x.astype(int) for x in fit.p.phi], "n", "long").where("n > 0")) and same(sent.counts(), fit.assigned_cells())
+
+
+def test_many_blocks_share_folders(spark, data, monkeypatch):
+    monkeypatch.setattr(S, "FOLDERS", 4)
+    rows, names, _ = data
+    one = S.deal(rows, names, 20, seed=5)  # 30 blocks
+    assert one.shared == 8 and one.n == 30
+    folders = {f.split("shelf=")[1].split("/")[0] for f in spark.read.parquet(one.path).inputFiles()}
+    assert len(folders) <= 4
+    monkeypatch.setattr(S, "FOLDERS", 256)
+    other = S.deal(rows, names, 20, seed=5)
+    for some in ([0], [7, 8, 29], list(range(30))):
+        assert sorted(map(tuple, one.read(spark, some).collect())) == sorted(map(tuple, other.read(spark, some).collect()))

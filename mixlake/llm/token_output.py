@@ -12,13 +12,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlake.llm.bpe import encode
+from mixlake.llm.bpe_batch import packed
 from mixlake.llm.shared import materialize, shared_dir, table
 from mixlake.operators.ordering import running_sums
 
@@ -31,6 +32,10 @@ END_ID, PAD_ID = 50_256, 50_257
 ROUNDS = 6
 #: Documents, or pieces of them, that a task handles at a time.
 HELD = 512
+#: Levels of zstd: of documents' tokens in their table, and of pieces in the shuffle.
+LEVEL, SHUFFLED = 6, 3
+#: monotonically_increasing_id() has the number of the task that wrote a row above these bits.
+WRITER = 33
 
 
 def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -68,74 +73,110 @@ def packed_ids(ids: Column, width: int = 2) -> Column:
     return pack(ids)
 
 
-def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end: bytes = bytes([END]), pad: bytes = bytes([PAD]), length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """One row per sequence: slot, shard, position in the shard, sequence (its number before the permutation), doc_ids, payload.
+class Dealt(NamedTuple):
+    """Pieces of sequences, each shard in one task and in order, and what their sequences are made of."""
 
-    tokens: binary, len(end) bytes per token; doc_id: an integer column, others raise a TypeError. Every payload has length tokens;
-    the last sequence is padded. Null tokens count as none, so such documents are END only, as are empty ones. Documents are laid end to end
-    in the order of a hash of doc_id and tokens; equal rows follow one another in any order, as they are alike, and are written each; null
-    doc_ids are null in doc_ids. Long documents span sequences. An empty table gives no sequence. Other columns are left out.
+    pieces: DataFrame
+    pad: bytes
+    shard: int
+
+
+def dealt(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end: bytes = bytes([END]), pad: bytes = bytes([PAD]), length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> Dealt:
+    """The pieces of sequences(): slot, begin (byte in the sequence), sequence, doc_id, size and piece, which is zstd where that is shorter than size.
 
-    The documents are written once with numbers. Where each begins is a running sum over hashes and lengths, range by range, so
-    copies are split like other rows; the tokens are shuffled to their numbers' places and, cut, to their shards.
+    The documents are written once, with numbers, hashes and lengths. Where each begins is a running sum over hashes and lengths, range by range, so
+    copies are split like other rows. The places lie in a folder for each task that wrote documents, so whoever reads
+    these looks up their places there, and tokens are shuffled only once: cut, to their shards.
     """
     width, stride = len(end), len(end) * length
     kind = docs.schema[doc_id].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{doc_id} must be an integer column")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(tokens), F.lit(b"")), F.lit(end)).alias("tokens"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    lengths = rows.select("row", F.xxhash64("doc_id", "tokens").alias("h"), F.octet_length("tokens").cast("long").alias("n"))
-    begins = running_sums(lengths, ["h", "row"], {"upto": "n"}).select(F.col("row").alias("at_row"), (F.col("upto") - F.col("n")).alias("at"))
-    total = rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "tokens").alias("h"), F.octet_length("tokens").cast("long").alias("n"), "doc_id", "tokens")
+    rows = materialize(rows, "tokens", codec="zstd", level=LEVEL)
+    places = running_sums(rows.select("row", "h", "n"), ["h", "row"], {"upto": "n"}).select(F.shiftright("row", WRITER).alias("writer"), "row", (F.col("upto") - F.col("n")).alias("at"))
+    folder = materialize(places.repartition("writer").sortWithinPartitions("writer", "row"), "places", partition_by=["writer"])._scratch
+    total = rows.agg(F.sum("n")).first()[0] or 0
     n = -(-total // stride)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        zstd, now, numbers, begins = pa.Codec("zstd", SHUFFLED), None, None, None
         for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
             out: list[tuple] = []
-            for at, doc, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                view, k = memoryview(data.as_buffer()), 0
+            for row, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if row >> WRITER != now:
+                    now = row >> WRITER
+                    found = dataset.dataset(f"{root}/writer={now}", filesystem=files, format="parquet").to_table(columns=["row", "at"]).sort_by("row")
+                    numbers, begins = found["row"].to_numpy(), found["at"].to_numpy()
+                place = int(np.searchsorted(numbers, row))
+                if place == len(numbers) or numbers[place] != row:
+                    raise OSError(f"{folder} lacks the place of row {row}")
+                at, view, k = int(begins[place]), memoryview(data.as_buffer()), 0
                 while k < len(view):
                     room = stride - at % stride
-                    out.append((at // stride, at % stride, doc.as_py(), bytes(view[k : k + room])))
-                    size = len(out[-1][3])
-                    at, k = at + size, k + size
+                    piece = view[k : k + room]
+                    out.append((at // stride, at % stride, doc, len(piece), squeezed(zstd, piece)))
+                    at, k = at + len(piece), k + len(piece)
                     if at == total and at % stride:
-                        out.append((at // stride, at % stride, None, pad * ((stride - at % stride) // width)))
+                        rest = pad * ((stride - at % stride) // width)
+                        out.append((at // stride, at % stride, None, len(rest), rest))
             if out:
-                number, begin, doc, data = zip(*out, strict=True)
+                number, begin, doc, size, data = zip(*out, strict=True)
                 slot = permuted(np.array(number, np.int64), n, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // shard, pa.int64()), pa.array(slot), pa.array(begin, pa.int32()), pa.array(number, pa.int64()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], names=["shard", "slot", "begin", "sequence", "doc_id", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(begin, pa.int32()), pa.array(number, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["slot", "begin", "sequence", "doc_id", "size", "piece"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, number, docs_, data = None, None, [], []
+    pieces = rows.select("row", "doc_id", "tokens").mapInArrow(cut, "slot long, begin int, sequence long, doc_id long, size int, piece binary")
+    return Dealt(pieces.repartition(F.expr(f"slot div {shard}")).sortWithinPartitions("slot", "begin"), pad, shard)
 
-        def done() -> tuple:
-            return slot // shard, slot, slot % shard, number, docs_, b"".join(data)
 
-        def send(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "slot", "position", "sequence", "doc_ids", "payload"])
+def squeezed(codec: pa.Codec, piece: memoryview) -> bytes:
+    """A piece as zstd, or as it is if that isn't shorter."""
+    small = codec.compress(piece, asbytes=True) if len(piece) > 64 else b""
+    return small if small and len(small) < len(piece) else bytes(piece)
 
-        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
-            out = []
-            for s, m, doc, piece in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if s != slot:
-                    if slot is not None:
-                        out.append(done())
-                    slot, number, docs_, data = s, m, [], []
-                if piece[:width] != pad or doc is not None or not docs_:
-                    docs_.append(doc)
-                data.append(piece)
-            if out:
-                yield send(out)
-        if slot is not None:
-            yield send([done()])
 
-    placed = rows.join(begins.hint("merge"), F.col("row") == F.col("at_row")).select("at", "doc_id", "tokens")
-    pieces = placed.mapInArrow(cut, "shard long, slot long, begin int, sequence long, doc_id long, piece binary")
-    dealt = pieces.repartition("shard").sortWithinPartitions("slot", "begin")
-    return dealt.mapInArrow(join, "shard long, slot long, position long, sequence long, doc_ids array<long>, payload binary")
+def joined(batches: Iterator[pa.RecordBatch], pad: bytes, shard: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of a task's sorted pieces, a batch for some hundred pieces."""
+    slot, number, docs, data, zstd = None, None, [], [], pa.Codec("zstd")
+
+    def done() -> tuple:
+        return slot // shard, slot, slot % shard, number, docs, b"".join(data)
+
+    def send(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "slot", "position", "sequence", "doc_ids", "payload"])
+
+    for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
+        out = []
+        for s, m, doc, size, piece in zip(*(batch.column(c).to_pylist() for c in ("slot", "sequence", "doc_id", "size", "piece")), strict=True):
+            if s != slot:
+                if slot is not None:
+                    out.append(done())
+                slot, number, docs, data = s, m, [], []
+            whole = piece if len(piece) == size else zstd.decompress(piece, size, asbytes=True)
+            if whole[: len(pad)] != pad or doc is not None or not docs:
+                docs.append(doc)
+            data.append(whole)
+        if out:
+            yield send(out)
+    if slot is not None:
+        yield send([done()])
+
+
+def sequences(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end: bytes = bytes([END]), pad: bytes = bytes([PAD]), length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
+    """One row per sequence: slot, shard, position in the shard, sequence (its number before the permutation), doc_ids, payload.
+
+    tokens: binary, len(end) bytes per token; doc_id: an integer column, others raise a TypeError. Every payload has length tokens;
+    the last sequence is padded. Null tokens count as none, so such documents are END only, as are empty ones. Documents are laid end to end
+    in the order of a hash of doc_id and tokens; equal rows follow one another in any order, as they are alike, and are written each; null
+    doc_ids are null in doc_ids. Long documents span sequences. An empty table gives no sequence. Other columns are left out.
+    """
+    pieces, pad, shard = dealt(docs, tokens, doc_id, end, pad, length, shard, key)
+    return pieces.mapInArrow(lambda batches: joined(batches, pad, shard), "shard long, slot long, position long, sequence long, doc_ids array<long>, payload binary")
 
 
 class _Shards:
@@ -165,19 +206,20 @@ class _Shards:
             self.out = None
 
 
-def write_dealt(rows: DataFrame, folder: str) -> DataFrame:
-    """write_shards() for the very rows of sequences(), whose shards are held by one task each already: they aren't dealt again. Gives the rows without payload."""
-    names = [c for c in rows.columns if c != "payload"]
+def write_dealt(rows: Dealt, folder: str) -> DataFrame:
+    """write_shards() for the pieces of dealt(), whose shards are held by one task each already: they aren't dealt again. Gives the rows of sequences() without payload."""
+    pieces, pad, shard = rows
+    names = ["shard", "slot", "position", "sequence", "doc_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(folder)
-        for batch in batches:
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                shards.put(shard, data)
+        for batch in joined(batches, pad, shard):
+            for number, data in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                shards.put(number, data)
             yield batch.select(names)
         shards.close()
 
-    return rows.mapInArrow(run, rows.drop("payload").schema)
+    return pieces.mapInArrow(run, "shard long, slot long, position long, sequence long, doc_ids array<long>")
 
 
 def write_shards(rows: DataFrame, folder: str) -> DataFrame:
@@ -226,7 +268,7 @@ def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
 
         files, root = fs.FileSystem.from_uri(folder)
         now, data = None, None
-        for batch in batches:
+        for batch in (whole.slice(k, HELD) for whole in batches for k in range(0, whole.num_rows, HELD)):
             out = []
             for shard, position in zip(batch.column("shard").to_pylist(), batch.column("position").to_pylist(), strict=True):
                 if shard != now:
@@ -246,7 +288,7 @@ def read_back(rows: DataFrame, folder: str, stride: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences of all documents' tokenizer ids, two bytes each, as the written shards hold them."""
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", packed_ids(F.col("ids")).alias("tokens"))
+    docs = packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/shards-{uuid.uuid4().hex}"
-    rows = sequences(docs, end=END_ID.to_bytes(2, "little"), pad=PAD_ID.to_bytes(2, "little"))
+    rows = dealt(docs, end=END_ID.to_bytes(2, "little"), pad=PAD_ID.to_bytes(2, "little"))
     return read_back(materialize(write_dealt(rows, folder), "slots"), folder, LENGTH * 2)

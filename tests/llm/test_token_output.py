@@ -89,3 +89,13 @@ def test_order_and_slots_match_brute_force(spark):
 def test_ids_must_be_integers(spark):
     with pytest.raises(TypeError):
         O.sequences(spark.createDataFrame([("a", bytearray(b"x"))], "doc_id string, tokens binary"))
+
+
+def test_tokens_are_shuffled_once_and_small(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["the", "license", "code", "token"]) for _ in range(r.choice([0, 5, 900])))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).select("doc_id", O.byte_tokens(F.col("text")).alias("tokens"))
+    plan = O.sequences(docs, length=256, shard=16)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    pieces = O.dealt(docs, length=256, shard=16).pieces.select(F.sum("size").alias("size"), F.sum(F.octet_length("piece")).alias("sent")).first()
+    assert pieces.size % 256 == 0 and pieces.sent < 0.7 * pieces.size

@@ -32,8 +32,10 @@ END_ID, PAD_ID = 50_256, 50_257
 ROUNDS = 6
 #: Documents, or pieces of them, that a task handles at a time.
 HELD = 512
-#: Levels of zstd: of documents' tokens in their table, and of pieces in the shuffle.
-LEVEL, SHUFFLED = 6, 3
+#: How the table of documents' tokens is written: in large pages, in which zstd finds more; zstd's level for pieces in the shuffle.
+TABLE, SHUFFLED = {"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20}, 5
+#: Shards that a task writes at most, unless the session's shuffle partitions are enough for fewer.
+TASK = 8
 #: monotonically_increasing_id() has the number of the task that wrote a row above these bits.
 WRITER = 33
 
@@ -94,7 +96,7 @@ def dealt(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end:
         raise TypeError(f"{doc_id} must be an integer column")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(tokens), F.lit(b"")), F.lit(end)).alias("tokens"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "tokens").alias("h"), F.octet_length("tokens").cast("long").alias("n"), "doc_id", "tokens")
-    rows = materialize(rows, "tokens", codec="zstd", level=LEVEL)
+    rows = materialize(rows, "tokens", codec="zstd", options=TABLE)
     places = running_sums(rows.select("row", "h", "n"), ["h", "row"], {"upto": "n"}).select(F.shiftright("row", WRITER).alias("writer"), "row", (F.col("upto") - F.col("n")).alias("at"))
     folder = materialize(places.repartition("writer").sortWithinPartitions("writer", "row"), "places", partition_by=["writer"])._scratch
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -130,7 +132,10 @@ def dealt(docs: DataFrame, tokens: str = "tokens", doc_id: str = "doc_id", end:
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(begin, pa.int32()), pa.array(number, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["slot", "begin", "sequence", "doc_id", "size", "piece"])
 
     pieces = rows.select("row", "doc_id", "tokens").mapInArrow(cut, "slot long, begin int, sequence long, doc_id long, size int, piece binary")
-    return Dealt(pieces.repartition(F.expr(f"slot div {shard}")).sortWithinPartitions("slot", "begin"), pad, shard)
+    shards = -(-n // shard)
+    parts = max(1, min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK))))
+    even = pieces.repartitionById(parts, F.expr(f"cast(slot div {shard} % {parts} as int)"))
+    return Dealt(even.sortWithinPartitions("slot", "begin"), pad, shard)
 
 
 def squeezed(codec: pa.Codec, piece: memoryview) -> bytes:

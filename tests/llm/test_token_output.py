@@ -99,3 +99,9 @@ def test_tokens_are_shuffled_once_and_small(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1
     pieces = O.dealt(docs, length=256, shard=16).pieces.select(F.sum("size").alias("size"), F.sum(F.octet_length("piece")).alias("sent")).first()
     assert pieces.size % 256 == 0 and pieces.sent < 0.7 * pieces.size
+
+
+def test_tasks_get_as_many_shards(spark):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit(bytearray(b"x" * 63)).alias("tokens"))
+    found = O.dealt(docs, length=64, shard=1).pieces.select(F.spark_partition_id().alias("task"), "slot").distinct().groupBy("task").count().collect()
+    assert sum(r["count"] for r in found) == 64 and {r["count"] for r in found} == {8}

@@ -7,6 +7,7 @@ together: they are a matrix, which loses a column. Nothing is kept between batch
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from mixlake.llm.shared import unused, without
 #: The pattern that cuts() follows; others aren't taken.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: Bytes of text that are handled together, or one longer text; pieces of more bytes go one by one.
+#: Bytes of text that are handled together; pieces of more bytes than LONG go one by one.
 BYTES, LONG = 2_000_000, 64
+#: Where a long text may be cut: no piece goes on from what isn't a space to a space, and none looks back.
+BORDER = re.compile(rb"[0-9A-Za-z](?=\x20)")
 NONE = np.iinfo(np.int32).max
 
 
@@ -164,6 +167,7 @@ class BatchBPE:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's begin, the end included; nulls have none."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts.validate(full=True)  # what isn't UTF-8 raises
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
@@ -180,6 +184,17 @@ class BatchBPE:
         every = ids[np.repeat(first[which] - upto[:-1], many) + np.arange(upto[-1])]
         return every, upto[np.searchsorted(begins, bounds)]
 
+    def encode_long(self, text: pa.StringScalar) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for one text, cut at borders, so that memory follows the cuts and the ids."""
+        data, begin, out = memoryview(text.as_buffer()), 0, []
+        while begin < len(data):
+            found = BORDER.search(data, begin + BYTES)
+            end = found.end() if found else len(data)
+            out.append(self.encode(pa.array([bytes(data[begin:end])], pa.binary()).cast(pa.string()))[0])
+            begin = end
+        ids = np.concatenate(out)
+        return ids, np.array([0, len(ids)])
+
 
 _ENCODERS: dict[str, BatchBPE] = {}
 
@@ -208,7 +223,9 @@ def packed(docs: DataFrame, text: str = "text", name: str = "tokens", width: int
             while begin < batch.num_rows:
                 end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + BYTES, side="right")))
                 part = batch.slice(begin, end - begin)
-                ids, edges = _ENCODERS[path].encode(part.column(place))
+                texts = part.column(place)
+                long = end == begin + 1 and texts[0].is_valid and len(texts[0].as_buffer()) > BYTES
+                ids, edges = _ENCODERS[path].encode_long(texts[0]) if long else _ENCODERS[path].encode(texts)
                 tokens = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(edges * width), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
                 rest = [(n, part.column(i)) for i, n in enumerate(part.schema.names) if i != place]
                 yield pa.RecordBatch.from_arrays([*(c for _, c in rest), tokens], names=[*(n for n, _ in rest), new])

@@ -63,3 +63,17 @@ def test_packed_equals_encode(spark):
     with pytest.raises(ValueError):
         B.packed(docs, width=1)
     assert np.frombuffer(B.packed(docs.where("doc_id = 0"), width=4).first().tokens, "<u4").size == bpe.encode(docs.where("doc_id = 0")).first().n_tokens
+
+
+def test_long_texts_are_cut(encoders, monkeypatch):
+    r = random.Random(2)
+    monkeypatch.setattr(B, "BYTES", 50)
+    for _ in range(20):
+        text = "".join(r.choice(["word", "don't", " ", " ", "  ", "\n", " \n", "é", "1", ".", "' s"]) for _ in range(400))
+        assert encoders[0].encode_long(pa.scalar(text))[0].tolist() == encoders[0].encode(pa.array([text]))[0].tolist()
+
+
+def test_what_is_not_utf8_raises(encoders):
+    bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, 3], pa.int32()).buffers()[1], pa.py_buffer(b"\x80ab")])
+    with pytest.raises(pa.ArrowInvalid):
+        encoders[0].encode(bad)
